@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capac
     tokenizer = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_blocks(batches, "text", 1 << 21):
+        for batch in row_blocks(batches, "text", 1 << 22):
             got, offsets = encoder(tokenizer).encode(batch.column("text"))
             ids = np.insert(got, offsets[1:], end_id).astype("<u4")
             lengths = np.diff(offsets) + 1

@@ -1,20 +1,66 @@
 """Encoding with a tokenizers file whose pre-tokenizer never joins text across white space.
 
-Each batch is split at ASCII white space and every distinct piece is encoded once per worker, so the library sees
-distinct pieces only. This equals encoding whole texts where the tokenizer drops white space (checked at load).
+Each batch is cut into pieces at places that the pre-tokenizer never joins across, and every distinct piece is encoded
+once per worker, so the library sees distinct pieces only.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from skein.llm.common import spans, strings, text_buffers
+from skein.llm.common import LOWER_TABLE, spans, strings, text_buffers
+
+MOST_CACHED = 600_000
+
+BLANK, LETTER, DIGIT, SIGN, QUOTE, ELSE = range(6)
+
+
+def _cuts() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each byte, and for each pair of classes whether a piece may end between them."""
+    kinds = np.full(256, ELSE, np.uint8)
+    kinds[33:127] = SIGN
+    kinds[list(b" \t\n\v\f\r")] = BLANK
+    kinds[[*range(65, 91), *range(97, 123)]] = LETTER
+    kinds[48:58] = DIGIT
+    kinds[ord("'")] = QUOTE
+    between = np.zeros((6, 6), bool)
+    between[LETTER, [DIGIT, SIGN, QUOTE]] = True
+    between[DIGIT, [LETTER, DIGIT, SIGN, QUOTE]] = True
+    between[SIGN, [LETTER, DIGIT]] = True
+    between[BLANK, [LETTER, DIGIT, SIGN, QUOTE, ELSE]] = True
+    return kinds, between.ravel()
+
+
+KINDS, BETWEEN = _cuts()
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut at white space and where an ASCII or Latin-1 letter or digit meets another kind; white space is dropped.
+
+    Gives the pieces, A-Z lower-cased, and each text's offsets into them. A pre-tokenizer that takes runs of letters,
+    single digits and runs of signs never joins across these cuts.
+    """
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(len(offsets), np.int64)
+    kind = KINDS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # not the signs for times and divided by
+    kind[lead] = kind[lead + 1] = LETTER
+    first = np.zeros(len(data), bool)
+    first[1:] = BETWEEN[kind[:-1] * 6 + kind[1:]]
+    solid = kind != BLANK
+    begins = offsets[:-1][np.diff(offsets) > 0]
+    first[begins] = solid[begins]
+    starts = np.flatnonzero(first)
+    kept = data[solid].tobytes().translate(LOWER_TABLE)
+    bounds = np.append(np.flatnonzero(first[solid]), len(kept))
+    return strings(kept, bounds).view(pa.large_binary()), np.searchsorted(starts, offsets)
+
 
-MOST_CACHED = 400_000
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -33,43 +79,49 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        probe = ["ab cd", "a\tb\n\nc", " x,y  z "]
-        for text in probe:
-            if self.tokenizer.encode(text, add_special_tokens=False).ids != [i for w in text.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
-                raise ValueError(f"{path} encodes white space; pieces can't be encoded alone")
+        for text in ("ab cd", "a\tb\n\nc", " x,y  z ", "don't é.5x 12's $$a"):
+            data = np.frombuffer(text.encode(), np.uint8)
+            alone = [p.decode() for p in pieces(data, np.array([0, len(data)]))[0].to_pylist()]
+            if self.tokenizer.encode(text, add_special_tokens=False).ids != [i for p in alone for i in self.tokenizer.encode(p, add_special_tokens=False).ids]:
+                raise ValueError(f"{path} joins text across the cuts of pieces()")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _shrink(self) -> None:
+        """Keeps the half that was met first: mostly the frequent pieces."""
+        half = len(self.known) // 2
+        self.known = dict(islice(self.known.items(), half))
+        self.starts = self.starts[: half + 1].copy()
+        self.ids = self.ids[: self.starts[-1]].copy()
+
+    def _numbers(self, found: list[bytes]) -> np.ndarray:
         """The cache places of distinct pieces."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > MOST_CACHED and self.known:
-            self.clear()
-            new = pieces
+        new = [p for p in found if p not in self.known]
+        if len(self.known) + len(new) > MOST_CACHED:
+            self._shrink()
+            new = [p for p in found if p not in self.known]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
             first = len(self.known)
             self.known.update(zip(new, range(first, first + len(new))))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))])
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column, and each row's offsets into them."""
-        data, offsets = text_buffers(column)
-        lists = pc.ascii_split_whitespace(strings(data, offsets))
-        bounds = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
+        found, bounds = pieces(*text_buffers(column))
+        coded = found.dictionary_encode()
         places = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        starts, ends = self.starts[places], self.starts[places + 1]
-        lengths = ends - starts
+        starts = self.starts[places]
+        lengths = self.starts[places + 1] - starts
         at = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[spans(starts, lengths)], at[bounds - bounds[0]]
+        return self.ids[spans(starts, lengths)], at[bounds]
 
 
 def encoder(path: str) -> WordEncoder:
