@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import byte_bpe, dac, exact_dedup, packing, sharding
+from skein.llm import byte_bpe, dac, exact_dedup, packing, sharding, simhash
 from skein.llm.common import LOWER, UPPER, read_table
 
 
@@ -26,7 +26,11 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_rendezvous_sharding, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe)}
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_rendezvous_sharding, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
