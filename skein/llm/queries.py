@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import byte_bpe, dac, exact_dedup, packing, sharding, simhash
+from skein.llm import byte_bpe, dac, exact_dedup, langid, packing, sharding, simhash, toxicity
 from skein.llm.common import LOWER, UPPER, read_table
 
 
@@ -14,6 +14,11 @@ def op3_rendezvous_sharding(spark, sf_dir):
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity_chain(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op6_dac_tokens(spark, sf_dir):
     return dac.roundtrip(read_table(spark, sf_dir, "documents"))
 
@@ -26,11 +31,15 @@ def op8_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(read_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_rendezvous_sharding, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_rendezvous_sharding, op4_toxicity_chain, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op9_language_id, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": f"""

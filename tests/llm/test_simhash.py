@@ -87,7 +87,7 @@ def test_links_in_large_buckets(spark, monkeypatch):
     a, b = simhash.ball_links(fps.view(np.int64))
     monkeypatch.setattr(simhash, "BALL_KEYS", 10_000)
     c, d = simhash.ball_links(fps.view(np.int64))
-    assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(c.tolist(), d.tolist()))
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(c.tolist(), d.tolist()))
 
 
 def test_links_with_heavy_values_split(spark):
