@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import byte_bpe, dac, exact_dedup, langid, packing, sharding, simhash, toxicity
+from skein.llm import byte_bpe, dac, edit_fingerprint, exact_dedup, langid, packing, sharding, simhash, toxicity
 from skein.llm.common import LOWER, UPPER, read_table
 
 
@@ -10,6 +10,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
 
+def op2_edit_embedding(spark, sf_dir):
+    return edit_fingerprint.compare_with_edited(read_table(spark, sf_dir, "documents"))
+
+
 def op3_rendezvous_sharding(spark, sf_dir):
     return sharding.assign(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_rendezvous_sharding, op4_toxicity_chain, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op9_language_id, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_edit_embedding, op3_rendezvous_sharding, op4_toxicity_chain, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op9_language_id, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": f"""
