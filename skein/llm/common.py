@@ -99,7 +99,7 @@ def group_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def range_ids(df: DataFrame, key: str, rows_per_range: int, most: int = 20_000) -> list:
+def range_ids(df: DataFrame, key: str, rows_per_range: int, most: int = 100_000) -> list:
     """Values of key that cut df into ranges of about so many rows, at most `most` of them: each is the largest of its range."""
     n = df.count()
     cuts = min(most, n // rows_per_range)

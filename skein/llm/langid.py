@@ -176,8 +176,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.filter(~held_out())))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is undetermined, all columns kept.
+def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """docs without the rows whose language is undetermined or whose best language scores under least_score, all columns kept.
 
     The decision is taken row by row beside the columns, so nothing is joined.
     """
@@ -186,7 +186,14 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            data, offsets = text_buffers(column)
-            yield pa.array(has_letter(data, offsets) if shared.value.languages else np.zeros(len(column), bool))
+            parts = []
+            for block in row_blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 1 << 20):
+                for at in range(0, block.num_rows, 512):
+                    data, offsets = text_buffers(block.column("text").slice(at, 512))
+                    keep = np.zeros(len(offsets) - 1, bool)
+                    if shared.value.languages:
+                        keep = has_letter(data, offsets) & (decode(shared.value, trigram_rates(data, offsets))[1] >= least_score)
+                    parts.append(keep)
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
     return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import byte_bpe, dac, edit_fingerprint, exact_dedup, langid, packing, sharding, simhash, toxicity
+from skein.llm import byte_bpe, dac, edit_fingerprint, exact_dedup, langid, maxent_lm, packing, sharding, simhash, toxicity
 from skein.llm.common import LOWER, UPPER, read_table
 
 
@@ -23,6 +23,10 @@ def op4_toxicity_chain(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_corpus(read_table(spark, sf_dir, "documents"))
+
+
 def op6_dac_tokens(spark, sf_dir):
     return dac.roundtrip(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_edit_embedding, op3_rendezvous_sharding, op4_toxicity_chain, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op9_language_id, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_edit_embedding, op3_rendezvous_sharding, op4_toxicity_chain, op5_maxent_lm, op6_dac_tokens, op7_pattern_packing, op8_byte_bpe, op9_language_id, op10_simhash)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": f"""

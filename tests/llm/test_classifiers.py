@@ -52,8 +52,10 @@ def test_language_id(spark, edge, empty):
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {3, 4, 5, 10}
     assert langid.identify(empty).count() == 0
     assert {r.lang_pred for r in langid.identify(edge.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    left = langid.keep_identified(edge)
-    assert left.columns == edge.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 6, 7, 8, 9, 9, 9, 11, 12]
+    for least in (0.0, 0.5):
+        want = [r.doc_id or 0 for r in langid.predict(edge, langid.fit(edge.filter(~langid.held_out()))).collect() if r.lang_pred != "und" and r.score >= least]
+        left = langid.keep_identified(edge, least)
+        assert left.columns == edge.columns and sorted(r.doc_id or 0 for r in left.collect()) == sorted(want)
     assert langid.keep_identified(empty).count() == 0
 
 
