@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import row_blocks, strings, text_buffers
+from skein.llm.common import materialize, row_blocks, strings, text_buffers
 from skein.llm.langid import FOLD
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -153,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
     sample = _labelled(docs, labels, categories, most_positive, most_negative)
     if sample is None:
         return Model(names, [], [])
+    sample = materialize(sample, "sample")  # the texts are scanned once for it
     width = len(names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
     if not totals["n"]:
         return Model(names, [], [])
     counted = sample.select("text", "y").mapInArrow(count, "feature string, n array<long>").groupBy("feature").agg(F.sum(F.col("n")[0]).alias("df"), *(F.sum(F.col("n")[c + 1]).alias(f"df{c}") for c in range(width)))
+    counted = materialize(counted.filter("df >= 3"), "features")
     chosen: set[str] = set()
     for c in range(width):
         # log likelihood ratio of the 2 x 2 table (category, presence)
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
         for seen, size in cells:
             for k, marginal in ((seen, F.col("df")), (F.lit(size) - seen, F.lit(totals["n"]) - F.col("df"))):
                 gain = gain + F.when((k > 0) & (marginal > 0), k * F.log(k * F.lit(float(totals["n"])) / (marginal * F.lit(float(max(size, 1)))))).otherwise(0.0)
-        best = counted.filter(F.col("df") >= 3).orderBy(F.desc(gain), "feature").limit(per_category)
+        best = counted.orderBy(F.desc(gain), "feature").limit(per_category)
         chosen |= {r["feature"] for r in best.select("feature").collect()}
     picked = sorted(chosen)
     if not picked:
