@@ -1,8 +1,582 @@
-"""The queries of the message-strength engine and their SQL, by name."""
+"""The queries of the message-strength engine and their SQL, by name.
+
+Domain tables map to the test tables: an article is a document (bundle = source, outlet type = lang, title = first
+line), coders are the two label columns, comments are conversation turns, calls are events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.functions import entities, text
+from skein.functions.claims import ClaimCoder, advice_level, condition_map
+from skein.functions.lexicon import Lexicon
+from skein.operators import agreement, mining, stats, tables
+from skein.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A lexicon over the words of the test tables.
+LEXICON = Lexicon({
+    "causal": ["tionan"], "correlational": ["ingth"], "negation": ["of"], "may": ["and"], "can": ["the"], "up": ["on the"], "down": ["in the"],
+    "strong": ["ing", "ment", "ung"], "weak": ["an", "en"],
+    "conditions": {"dose": ["that"], "group": ["with", "mit der"], "design": ["for", "por"], "time": ["from"]},
+    "advice": {"3": ["!!!", "with the"], "2": ["for the"], "1": ["by the"]},
+    "reactions": {"fear": ["please", "help"], "doubt": ["not", "why"], "advice": ["how", "should"]},
+})
+DRUGS, OUTCOMES = ["that", "the"], ["and", "with"]
+
+
+def query(sql: str = ""):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("article_id"), F.col("source").alias("bundle_id"), F.col("lang").alias("outlet_type"), text.first_line(F.col("text")).alias("title"), text.rest_lines(F.col("text")).alias("body"), "text")
+
+
+ARTICLES = """articles AS (SELECT doc_id AS article_id, source AS bundle_id, lang AS outlet_type, split_part(text, chr(10), 1) AS title,
+    CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, text FROM documents)"""
+
+
+def level(c):
+    """Headline level by the strongest cue class, without windows."""
+    return F.when(LEXICON.any_(c, "strong"), 6).when(LEXICON.any_(c, "weak"), 3).otherwise(0)
+
+
+def _level_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '(?i)(ing|ment|ung)') THEN 6 WHEN regexp_matches({c}, '(?i)(an|en)') THEN 3 ELSE 0 END"
+
+
+PAPER = "CAST(substr(bundle_id, 4) AS INT) % 7"
+
+
+def coded(spark: SparkSession, sf: str) -> DataFrame:
+    """The analysis dataset: title and lead levels against the paper's, and the derived three-valued flags."""
+    a = articles(spark, sf)
+    lead = F.substring("body", 1, 120)
+    a = a.select("article_id", "bundle_id", "outlet_type", level(F.col("title")).alias("title_strength"), F.when(F.length("body") > 0, level(lead)).alias("lead_strength"), (F.substring("bundle_id", 4, 9).cast("int") % 7).alias("paper_strength"), F.contains("text", F.lit("!")).cast("int").alias("question"))
+    flag = lambda ok, cond: F.when(ok, cond.cast("double"))
+    return a.select(
+        "*",
+        (F.col("title_strength") - F.col("paper_strength")).alias("delta_title"),
+        flag(F.lit(True), F.col("title_strength") > F.col("paper_strength")).alias("exceeds_title"),
+        flag(F.col("lead_strength").isNotNull(), F.col("lead_strength") > F.col("paper_strength")).alias("exceeds_lead"),
+        flag(F.col("paper_strength") <= 3, F.col("title_strength") >= 4).alias("causal_inflation"),
+        flag(F.lit(True), F.col("title_strength") >= 5).alias("strong_title"),
+        (F.col("title_strength") - F.col("lead_strength")).alias("title_minus_lead"),
+    )
+
+
+CODED = f"""{ARTICLES}, base AS (SELECT article_id, bundle_id, outlet_type, {_level_sql('title')} AS title_strength,
+    CASE WHEN length(body) > 0 THEN {_level_sql('substr(body, 1, 120)')} END AS lead_strength, {PAPER} AS paper_strength,
+    CAST(contains(text, '!') AS INT) AS question FROM articles),
+  coded AS (SELECT *, title_strength - paper_strength AS delta_title, CAST(title_strength > paper_strength AS DOUBLE) AS exceeds_title,
+    CAST(lead_strength > paper_strength AS DOUBLE) AS exceeds_lead, CASE WHEN paper_strength <= 3 THEN CAST(title_strength >= 4 AS DOUBLE) END AS causal_inflation,
+    CAST(title_strength >= 5 AS DOUBLE) AS strong_title, title_strength - lead_strength AS title_minus_lead FROM base)"""
+FLAGS = ["exceeds_title", "exceeds_lead", "causal_inflation", "strong_title"]
+
+
+@query(f"WITH {CODED} SELECT * FROM coded")
+def dataset_flags(spark, sf):
+    return coded(spark, sf)
+
+
+@query(f"""WITH {CODED} SELECT outlet_type, count(*) AS n, count(DISTINCT bundle_id) AS bundles, round(avg(title_strength), 4) AS mean_strength,
+  round(avg(delta_title), 4) AS mean_delta, round(avg(strong_title), 4) AS strong_rate, round(avg(exceeds_title), 4) AS exceeds_rate,
+  round(100.0 * avg(question), 4) AS question_pct FROM coded GROUP BY outlet_type""")
+def outlet_rates(spark, sf):
+    r = lambda c: F.round(F.avg(c), 4)
+    return coded(spark, sf).groupBy("outlet_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("bundle_id").alias("bundles"), r("title_strength").alias("mean_strength"), r("delta_title").alias("mean_delta"), r("strong_title").alias("strong_rate"), r("exceeds_title").alias("exceeds_rate"), F.round(100.0 * F.avg("question"), 4).alias("question_pct"))
+
+
+@query(f"""WITH {CODED}, long AS (UNPIVOT (SELECT {', '.join(FLAGS)} FROM coded) ON {', '.join(FLAGS)} INTO NAME flag VALUE value)
+  SELECT flag, count(value) AS n, round(avg(value), 6) AS rate FROM long GROUP BY flag""")
+def overall_rates(spark, sf):
+    long = coded(spark, sf).select(*FLAGS).unpivot([], FLAGS, "flag", "value")
+    return long.groupBy("flag").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("rate"))
+
+
+@query(f"""WITH {CODED} SELECT bundle_id, min(paper_strength) AS paper_strength, count(*) AS n, min(title_strength) AS lowest, max(title_strength) AS highest,
+  round(avg(title_strength), 4) AS mean, round(stddev_pop(title_strength), 4) AS sd, CAST(sum(exceeds_title) AS BIGINT) AS exceeds,
+  array_to_string(list_sort(list_distinct(list(outlet_type))), ',') AS outlet_types FROM coded GROUP BY bundle_id""")
+def bundle_ladder(spark, sf):
+    s = "title_strength"
+    return coded(spark, sf).groupBy("bundle_id").agg(F.min("paper_strength").alias("paper_strength"), F.count(F.lit(1)).alias("n"), F.min(s).alias("lowest"), F.max(s).alias("highest"), F.round(F.avg(s), 4).alias("mean"), F.round(F.stddev_pop(s), 4).alias("sd"), F.sum("exceeds_title").cast("long").alias("exceeds"), F.array_join(F.array_sort(F.collect_set("outlet_type")), ",").alias("outlet_types"))
+
+
+@query(f"""WITH {CODED} SELECT count(*) AS n, round(100 * avg(CAST(title_minus_lead > 0 AS DOUBLE)), 4) AS stronger, round(100 * avg(CAST(title_minus_lead = 0 AS DOUBLE)), 4) AS equal,
+  round(100 * avg(CAST(title_minus_lead < 0 AS DOUBLE)), 4) AS weaker, round(avg(title_minus_lead), 4) AS mean_diff FROM coded WHERE title_minus_lead IS NOT NULL""")
+def title_vs_lead(spark, sf):
+    d, pct = F.col("title_minus_lead"), lambda c: F.round(100 * F.avg(c.cast("double")), 4)
+    return coded(spark, sf).filter(d.isNotNull()).agg(F.count(F.lit(1)).alias("n"), pct(d > 0).alias("stronger"), pct(d == 0).alias("equal"), pct(d < 0).alias("weaker"), F.round(F.avg(d), 4).alias("mean_diff"))
+
+
+@query(f"""WITH {CODED}, pr AS (SELECT *, CASE WHEN CAST(substr(bundle_id, 4) AS INT) % 3 <> 0 THEN CAST(substr(bundle_id, 4) AS INT) % 5 END AS pr_strength FROM coded)
+  SELECT pr_strength > paper_strength AS pr_exceeds, count(*) AS n, count(DISTINCT bundle_id) AS bundles, round(avg(exceeds_title), 6) AS rate FROM pr
+  WHERE pr_strength IS NOT NULL AND (SELECT count(DISTINCT bundle_id) FROM pr WHERE pr_strength IS NOT NULL) >= 3 GROUP BY 1""")
+def press_release(spark, sf):
+    k = F.substring("bundle_id", 4, 9).cast("int")
+    pr = coded(spark, sf).withColumn("pr_strength", F.when(k % 3 != 0, k % 5)).filter("pr_strength is not null")
+    enough = pr.agg((F.countDistinct("bundle_id") >= 3).alias("enough"))
+    return pr.join(F.broadcast(enough), F.lit(True)).filter("enough").groupBy((F.col("pr_strength") > F.col("paper_strength")).alias("pr_exceeds")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("bundle_id").alias("bundles"), F.round(F.avg("exceeds_title"), 6).alias("rate"))
+
+
+_KEYS = ["dose", "group", "design", "time"]
+_COND = {"dose": "that", "group": "with|mit der", "design": "for|por", "time": "from"}
+_LONG = f"""{ARTICLES}, keyed AS (SELECT article_id, title, body, unnest(list_filter(string_split_regex(lower('Dose; group,design/' || outlet_type || ' time'), '[;,/[:space:]]+'),
+    lambda x: list_contains(['dose', 'group', 'design', 'time'], x))) AS condition FROM articles),
+  retained AS (SELECT article_id, condition, CASE condition {' '.join(f"WHEN '{k}' THEN regexp_matches(title, '(?i)({v})')" for k, v in _COND.items())} END AS in_title,
+    CASE condition {' '.join(f"WHEN '{k}' THEN regexp_matches(body, '(?i)({v})')" for k, v in _COND.items())} END AS in_body FROM keyed)"""
+
+
+def retained(spark, sf):
+    a = articles(spark, sf)
+    parts = F.split(F.lower(F.concat(F.lit("Dose; group,design/"), "outlet_type", F.lit(" time"))), r"[;,/\s]+")
+    a = a.withColumn("t", condition_map(LEXICON, F.col("title"))).withColumn("b", condition_map(LEXICON, F.col("body")))
+    long = a.select("article_id", "t", "b", F.explode(F.filter(parts, lambda x: x.isin(*_KEYS))).alias("condition"))
+    return long.select("article_id", "condition", F.element_at("t", F.col("condition")).alias("in_title"), F.element_at("b", F.col("condition")).alias("in_body"))
+
+
+@query(f"WITH {_LONG} SELECT *, NOT in_title AND in_body AS dropped, NOT in_title AND NOT in_body AS absent FROM retained")
+def condition_retention(spark, sf):
+    return retained(spark, sf).withColumn("dropped", ~F.col("in_title") & F.col("in_body")).withColumn("absent", ~F.col("in_title") & ~F.col("in_body"))
+
+
+@query(f"""WITH {_LONG} SELECT condition, count(*) AS n, round(100 * avg(CAST(in_title AS INT)), 4) AS in_title_pct, round(100 * avg(CAST(in_body AS INT)), 4) AS in_body_pct,
+  round(100 * avg(CAST(NOT in_title AND in_body AS INT)), 4) AS dropped_pct FROM retained GROUP BY condition""")
+def condition_summary(spark, sf):
+    pct = lambda c: F.round(100 * F.avg(c.cast("int")), 4)
+    return retained(spark, sf).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), pct(F.col("in_title")).alias("in_title_pct"), pct(F.col("in_body")).alias("in_body_pct"), pct(~F.col("in_title") & F.col("in_body")).alias("dropped_pct"))
+
+
+@query("SELECT doc_id, substr(sha1(source || '|' || lang || '|' || CAST(doc_id AS VARCHAR)), 1, 12) AS id FROM documents")
+def stable_id(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("id"))
+
+
+_SENTENCES = r"""list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda p: string_split(regexp_replace(p, '([.!?])[ \t\r\f\v]+([^ \t\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(1)))),
+  lambda x: regexp_replace(x, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '~') AS sentences FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+def sentence_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "~").alias("sentences"))
+
+
+@query(r"""SELECT doc_id, len(s) AS n, s[1] AS first_sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(
+  regexp_replace(text, '\s*\n\s*', ' ', 'g'), '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)""")
+def english_sentences(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.split_english_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first_sentence"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents) SELECT doc_id, count(*) AS n, CAST(count_if(length(x) < 8
+  OR regexp_matches(x, '{text.BOILERPLATE}') OR (length(x) < 60 AND (regexp_matches(x, '{text.CAPTION}') OR regexp_matches(x, '[\\w.]+@[\\w.]+')))) AS BIGINT) AS noise FROM s GROUP BY doc_id""")
+def noise_lines(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", F.explode(text.split_sentences(F.col("text"))).alias("x"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.is_noise_sentence(F.col("x"))).alias("noise"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^ | $', '', 'g')),
+  lambda x: x <> '' AND NOT (regexp_matches(x, '{text.BOILERPLATE}') AND length(x) < 120) AND NOT (regexp_matches(x, '{text.CAPTION}') AND length(x) < 60)), chr(10)) AS body FROM documents""")
+def clean_body(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.clean_body(F.col("text")).alias("body"))
+
+
+@query()
+def segment_lead(spark, sf):
+    a = articles(spark, sf).withColumn("s", text.segment(F.col("title"), F.col("body")))
+    return a.select("article_id", F.array_join("s.lead", " ").alias("lead"), F.size("s.rest").alias("n_rest"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)(ing|ment|ung)') AS strong, regexp_matches(text, '(?i)(an|en)') AS weak FROM documents")
+def lexicon_any(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", LEXICON.any_(F.col("text"), "strong").alias("strong"), LEXICON.any_(F.col("text"), "weak").alias("weak"))
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, len(regexp_extract_all(lower(title), 'that|mit der|with|for|por|from')) AS n FROM articles")
+def lexicon_count(spark, sf):
+    return articles(spark, sf).select("article_id", LEXICON.count(F.col("title"), "conditions").cast("long").alias("n"))
+
+
+@query(f"WITH {ARTICLES} SELECT article_id, regexp_replace(title, '(?i)that|the', '[D]', 'g') AS masked FROM articles")
+def mask_terms(spark, sf):
+    return articles(spark, sf).select("article_id", text.mask_terms(F.col("title"), DRUGS).alias("masked"))
+
+
+@query()
+def cue_spans(spark, sf):
+    a = articles(spark, sf).select("article_id", F.explode(LEXICON.spans(F.col("title"), "conditions")).alias("s"))
+    return a.select("article_id", "s.start", "s.len", "s.text")
+
+
+_NEAR = r"""list_transform((string_split(lower(x), '{cue}'))[2:], lambda p: regexp_extract(left(p, 8), '^[^.,;!?\[\]()…\n]*'))"""
+_CLAIMS = f"""s AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents), w AS (SELECT doc_id, x, {_NEAR.format(cue='tionan')} AS causal, {_NEAR.format(cue='ingth')} AS corr FROM s),
+  levels AS (SELECT doc_id, x, list_concat(list_transform(causal, lambda p: CASE WHEN contains(p, 'of') THEN 1 WHEN contains(p, 'and') THEN 4 WHEN contains(p, 'the') THEN 5 ELSE 6 END),
+    list_transform(corr, lambda p: CASE WHEN contains(p, 'of') THEN 1 ELSE 2 END)) AS h FROM w),
+  claims AS (SELECT doc_id, x, coalesce(list_max(h), 0) AS level FROM levels)"""
+CODER = ClaimCoder(LEXICON, window=8)
+
+
+@query(f"""WITH {_CLAIMS}, d AS (SELECT doc_id, level, contains(lower(x), 'on the') AS up, contains(lower(x), 'in the') AS down FROM claims)
+  SELECT doc_id, level, CASE WHEN level = 1 THEN 'null' WHEN up AND down THEN 'mixed' WHEN up THEN 'increase' WHEN down THEN 'decrease' ELSE '' END AS direction, count(*) AS n FROM d WHERE level > 0 GROUP BY ALL""")
+def claim_strength(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", F.explode(text.split_sentences(F.col("text"))).alias("x"))
+    s = s.filter(LEXICON.any_(F.col("x"), "causal") | LEXICON.any_(F.col("x"), "correlational"))  # others have level 0
+    c = s.select("doc_id", CODER.code(F.col("x"), require_target=False).alias("c")).select("doc_id", "c.level", "c.direction")
+    return c.filter("level > 0").groupBy("doc_id", "level", "direction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_CLAIMS} SELECT doc_id, max(level) AS level FROM claims GROUP BY doc_id""")
+def unit_strongest(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", CODER.unit(text.split_sentences(F.col("text")), require_target=False).alias("u"))
+    return d.filter("u is not null").select("doc_id", "u.level")
+
+
+@query(f"""SELECT doc_id, {', '.join(f"regexp_matches(text, '(?i)({v})') AS {k}" for k, v in _COND.items())} FROM documents""")
+def condition_flags(spark, sf):
+    m = table(spark, sf, "documents").select("doc_id", condition_map(LEXICON, F.col("text")).alias("m"))
+    return m.select("doc_id", *[F.element_at("m", F.lit(k)).alias(k) for k in _KEYS])
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(!!!|with the)') THEN 3 WHEN regexp_matches(text, '(?i)for the') THEN 2 WHEN regexp_matches(text, '(?i)by the') THEN 1 ELSE 0 END AS advice FROM documents""")
+def advice(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", advice_level(LEXICON, F.col("text")).alias("advice"))
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id, bundle_id, length(body) AS body_len, {_level_sql('title')} AS auto_title_strength, contains(title, '?') AS auto_title_question,
+  length(regexp_replace(title, '[^"'']', '', 'g')) >= 2 AS auto_title_quoted,
+  {', '.join(f"regexp_matches({c}, '(?i)({v})') AS auto_cond_{c}_{k}" for c in ('title', 'body') for k, v in _COND.items())} FROM articles""")
+def features_wide(spark, sf):
+    a = articles(spark, sf).withColumn("t", condition_map(LEXICON, F.col("title"))).withColumn("b", condition_map(LEXICON, F.col("body")))
+    return a.select("article_id", "bundle_id", F.length("body").cast("long").alias("body_len"), level(F.col("title")).alias("auto_title_strength"), F.contains("title", F.lit("?")).alias("auto_title_question"), text.is_quoted(F.col("title")).alias("auto_title_quoted"), *[F.element_at(c, F.lit(k)).alias(f"auto_cond_{n}_{k}") for c, n in (("t", "title"), ("b", "body")) for k in _KEYS])
+
+
+@query(r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS v FROM pages), p AS (SELECT page_id, regexp_extract(v, '^([^:]+)://', 1) AS scheme, lower(regexp_extract(v, '^[^:]+://([^/?]*)', 1)) AS host,
+  regexp_replace(regexp_extract(v, '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(v, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|fbclid|from)=')) AS q FROM u)
+  SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p""")
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", entities.normalize_url(F.col("url")).alias("url"))
+
+
+@query(r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#]*)', 1)), '^www\.', '') AS host FROM pages),
+  o(outlet, outlet_type, domain) AS (VALUES ('Dot Com', 'portal', 'com'), ('Examples', 'online', 'example.com'), ('Orgs', 'ngo', 'org')),
+  m AS (SELECT page_id, host, outlet, outlet_type, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC NULLS LAST) AS r FROM h LEFT JOIN o ON host = domain OR ends_with(host, '.' || domain))
+  SELECT page_id, coalesce(outlet, host) AS outlet, coalesce(outlet_type, 'unknown') AS outlet_type FROM m WHERE r = 1""")
+def host_outlet_resolve(spark, sf):
+    outlets = spark.createDataFrame([("Dot Com", "portal", "com"), ("Examples", "online", "example.com"), ("Orgs", "ngo", "org")], "outlet string, outlet_type string, domain string")
+    return entities.resolve_outlets(table(spark, sf, "pages"), outlets).select("page_id", "outlet", "outlet_type")
+
+
+_UNESCAPE = "html"
+for _ in range(2):
+    for _entity, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        _UNESCAPE = f"replace({_UNESCAPE}, '{_entity}', '{_sign}')"
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]+>', ' ', 'g') AS html FROM pages)
+  SELECT page_id, title, trim(regexp_replace({_UNESCAPE}, '\\s+', ' ', 'g')) AS text FROM p""")
+def html_title_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), entities.strip_tags(F.col("html")).alias("text"))
+
+
+@query()
+def html_articles(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", readers.parse_html("html").alias("a"))
+    return p.select("page_id", "a.title", "a.body", F.when(F.length("a.body") >= 200, "ok").otherwise("short_body").alias("status"))
+
+
+@query(f"""WITH {ARTICLES}, f AS (SELECT article_id, lower(title) AS t, lower(substr(body, 1, 300)) AS d, article_id % 30 - 8 AS gap FROM articles), s AS (SELECT article_id,
+  CASE WHEN regexp_matches(t, 'that|the') THEN 2 WHEN regexp_matches(d, 'that|the') THEN 1 END AS drug, CASE WHEN regexp_matches(t, 'and|with') THEN 2 WHEN regexp_matches(d, 'and|with') THEN 1 END AS outcome,
+  CASE WHEN contains(t || ' ' || d, 'for') THEN 3 WHEN regexp_matches(t || ' ' || d, 'from|was') THEN -1 END AS journal, CASE WHEN contains(t || ' ' || d, 'this') THEN 2 END AS author,
+  CASE WHEN regexp_matches(t || ' ' || d, 'is|are') THEN 1 END AS research, CASE WHEN gap < -3 THEN -3 WHEN gap < 0 THEN -1 WHEN gap <= 14 THEN 1 END AS date, contains(t || d, '') AS x FROM f),
+  z AS (SELECT *, coalesce(drug, 0) + coalesce(outcome, 0) + coalesce(journal, 0) + coalesce(author, 0) + coalesce(research, 0) + coalesce(date, 0) AS score FROM s)
+  SELECT article_id, score, CASE WHEN drug IS NULL OR outcome IS NULL THEN 'N' WHEN score >= 7 THEN 'Y' ELSE '?' END AS auto_include,
+  concat_ws(';', 'drug:' || drug, 'outcome:' || outcome, 'journal:' || journal, 'author:' || author, 'research:' || research, 'date:' || date) AS reasons FROM z""")
+def relevance_score(spark, sf):
+    day = F.date_add(F.lit("2024-01-09").cast("date"), (F.col("article_id") % 30 - 8).cast("int"))
+    s = tables.relevance(F.col("title"), F.substring("body", 1, 300), DRUGS, OUTCOMES, "for", ["from", "was"], "this", ["is", "are"], day, F.lit("2024-01-09").cast("date"))
+    return articles(spark, sf).select("article_id", s.alias("s")).select("article_id", "s.score", "s.auto_include", F.array_join("s.reasons", ";").alias("reasons"))
+
+
+@query("""SELECT event_id FROM events WHERE event_type = 'click' AND (ts IS NULL OR CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')""")
+def date_window_filter(spark, sf):
+    day = F.to_date("ts")
+    e = table(spark, sf, "events").filter(F.col("event_type") == "click")
+    return e.filter(F.coalesce(day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")), F.lit(True))).select("event_id")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS used,
+  row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 100 AS allowed FROM events""")
+def daily_budget(spark, sf):
+    return tables.daily_budget(table(spark, sf, "events"), "ts", "event_id", 100).select("event_id", "day", "used", "allowed")
+
+
+@query("""SELECT q.query, s.start, least(100, 250 - s.start + 1) AS display FROM (SELECT DISTINCT source || ' ' || t AS query FROM documents, (VALUES ('side effect'), ('risk')) v(t)) q, (SELECT unnest([1, 101, 201]) AS start) s""")
+def page_plan(spark, sf):
+    aliases = table(spark, sf, "documents").select(F.col("source").alias("alias")).distinct()
+    templates = spark.createDataFrame([("{alias} side effect",), ("{alias} risk",)], "template string")
+    return readers.page_plan(readers.discovery_queries(aliases, templates).select("query"), 250).select("query", "start", "display")
+
+
+@query("""WITH o AS (SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS auto, c_mktsegment AS human FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, CAST(c_nationkey + 1 AS VARCHAR) AS auto FROM customer WHERE c_custkey % 4 <> 0)
+  SELECT coalesce(n.id, o.id) AS id, coalesce(n.auto, o.auto) AS auto, coalesce(o.human, '') AS human, CASE WHEN n.id IS NULL THEN 'Y' ELSE '' END AS _stale FROM n FULL JOIN o ON n.id = o.id""")
+def merge_preserving(spark, sf):
+    c = table(spark, sf, "customer")
+    old = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("auto"), F.col("c_mktsegment").alias("human"))
+    new = c.filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") + 1).cast("string").alias("auto"))
+    return tables.merge_preserving(new, old, ["id"], ["human"])
+
+
+@query("""SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 5 = 0""")
+def upsert_partial(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return tables.upsert(o, o.filter("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("new")), ["o_orderkey"])
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id FROM articles WHERE body <> '' AND article_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND article_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def usable_semi_anti(spark, sf):
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "article_id")
+    return tables.usable(articles(spark, sf).withColumn("status", F.lit("ok")), labels.filter("quality = 0"), labels.filter("toxic = 1")).select("article_id")
+
+
+@query(f"""WITH {ARTICLES} SELECT article_id, CASE WHEN article_id % 7 = 0 THEN 'manual_needed' WHEN length(body) < 400 THEN 'check_short' ELSE 'ok' END AS flag, length(body) AS body_len,
+  substr(body, 1, 150) AS head, right(body, 120) AS tail FROM articles""")
+def text_check_flags(spark, sf):
+    a = articles(spark, sf).withColumn("status", F.when(F.col("article_id") % 7 == 0, "http_error:500").otherwise("ok"))
+    return tables.text_check(a).withColumn("body_len", F.col("body_len").cast("long"))
+
+
+@query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY md5('42|' || doc_id), doc_id) AS turn FROM documents),
+  p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY turn, md5('42|' || lang), md5('42|' || doc_id), doc_id) AS place FROM t)
+  SELECT doc_id, CASE WHEN place <= 5 THEN 'Y' ELSE 'N' END AS selected FROM p""")
+def stratified_select(spark, sf):
+    return tables.stratified(table(spark, sf, "documents").select("doc_id", "source", "lang"), "source", "lang", "doc_id", 5).select("doc_id", "selected")
+
+
+def _kappa_sql(weight: str) -> str:
+    return f"""WITH o AS (SELECT quality AS x, toxic AS y, count(*) AS o FROM labels GROUP BY 1, 2), l AS (SELECT l, dense_rank() OVER (ORDER BY l) AS r FROM (SELECT x AS l FROM o UNION SELECT y FROM o)),
+      s AS (SELECT sum(o) AS n, sum(CASE WHEN x = y THEN o ELSE 0 END) AS same, sum({weight.format(a='a.r', b='b.r')} * o) AS w FROM o JOIN l a ON x = a.l JOIN l b ON y = b.l),
+      e AS (SELECT sum({weight.format(a='a.r', b='b.r')} * nx * ny) AS e FROM (SELECT x, sum(o) AS nx FROM o GROUP BY x) JOIN l a ON x = a.l, (SELECT y, sum(o) AS ny FROM o GROUP BY y) JOIN l b ON y = b.l)
+      SELECT CAST(n AS BIGINT) AS n, round(100.0 * same / n, 1) AS agree_pct, round(1 - w * n / e, 3) AS kappa FROM s, e"""
+
+
+@query(_kappa_sql("CAST({a} <> {b} AS INT)"))
+def kappa(spark, sf):
+    return agreement.kappa(table(spark, sf, "labels"), "quality", "toxic")
+
+
+@query(_kappa_sql("abs({a} - {b})"))
+def weighted_kappa(spark, sf):
+    return agreement.kappa(table(spark, sf, "labels"), "quality", "toxic", weighted=True)
+
+
+_SHEETS = """a AS (SELECT doc_id, CAST(quality AS VARCHAR) AS f1, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'y' END AS f2 FROM labels), b AS (SELECT doc_id, CAST(toxic AS VARCHAR) AS f1, CASE WHEN doc_id % 7 = 0 THEN 'NA' WHEN doc_id % 3 = 0 THEN '' ELSE 'Y' END AS f2 FROM labels)"""
+
+
+def _sheets(spark, sf):
+    l = table(spark, sf, "labels")
+    one = l.select("doc_id", F.col("quality").cast("string").alias("f1"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("y").alias("f2"))
+    two = l.select("doc_id", F.col("toxic").cast("string").alias("f1"), F.when(F.col("doc_id") % 7 == 0, "NA").when(F.col("doc_id") % 3 == 0, "").otherwise("Y").alias("f2"))
+    return one, two
+
+
+@query(f"""WITH {_SHEETS} SELECT a.doc_id, 'f1' AS field, a.f1 AS value_c1, b.f1 AS value_c2 FROM a JOIN b USING (doc_id) WHERE a.f1 <> b.f1
+  UNION ALL SELECT a.doc_id, 'f2', a.f2, b.f2 FROM a JOIN b USING (doc_id) WHERE a.f2 <> '' AND b.f2 <> '' AND upper(a.f2) <> upper(b.f2)""")
+def disagreements(spark, sf):
+    return agreement.disagreements(*_sheets(spark, sf), "doc_id", ["f1", "f2"])
+
+
+@query(f"""WITH {_SHEETS}, l AS (SELECT a.doc_id, unnest(['f1', 'f2']) AS field, unnest([a.f1, a.f2]) AS v1, unnest([b.f1, b.f2]) AS v2, unnest([CASE WHEN a.doc_id % 11 = 0 THEN '9' END, NULL]) AS res FROM a JOIN b USING (doc_id)),
+  s AS (SELECT *, CASE WHEN res IS NOT NULL THEN 'adjudicated' WHEN v1 <> '' AND v2 <> '' AND upper(v1) = upper(v2) THEN 'agreed' WHEN v1 <> '' AND v2 <> '' THEN 'UNRESOLVED' WHEN v1 <> '' OR v2 <> '' THEN 'single_coded' END AS status FROM l),
+  f AS (SELECT *, CASE WHEN res IS NOT NULL THEN res WHEN status = 'UNRESOLVED' THEN '' WHEN v1 <> '' THEN v1 ELSE v2 END AS v FROM s)
+  SELECT doc_id, max(CASE WHEN field = 'f1' THEN v END) AS f1, max(CASE WHEN field = 'f2' THEN v END) AS f2, coalesce(array_to_string(list_sort(list(DISTINCT status) FILTER (status IS NOT NULL)), ','), '') AS final_status FROM f GROUP BY doc_id""")
+def finalize_codes(spark, sf):
+    one, two = _sheets(spark, sf)
+    resolved = one.filter("doc_id % 11 = 0").select("doc_id", F.lit("f1").alias("field"), F.lit("9").alias("resolved"))
+    return agreement.finalize([one, two], resolved, "doc_id", ["f1", "f2"])
+
+
+@query(f"""WITH {CODED}, p AS (SELECT CASE WHEN title_strength >= 5 THEN 1 ELSE 0 END AS auto, quality AS human FROM coded JOIN labels ON article_id = doc_id)
+  SELECT count(*) AS n, round(100.0 * count_if(auto = human) / count(*), 1) AS agree_pct FROM p""")
+def auto_vs_human(spark, sf):
+    p = coded(spark, sf).join(table(spark, sf, "labels"), F.col("article_id") == F.col("doc_id")).select(F.col("strong_title").cast("int").alias("auto"), "quality")
+    return agreement.kappa(p, "auto", "quality").select("n", "agree_pct")
+
+
+def _boot(values: str) -> str:
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i FROM per), g AS (SELECT count(*) AS g FROM per), draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || d), 1, 8))::BIGINT % g AS i
+      FROM (SELECT unnest(range(200)) AS b), g, (SELECT unnest(range(1, 1000)) AS d) WHERE d <= g), sums AS (SELECT b, {values} FROM draws JOIN numbered USING (i) GROUP BY b)"""
+
+
+@query(f"""WITH {CODED}, per AS (SELECT bundle_id AS cluster, sum(strong_title) AS s, count(*) AS n FROM coded WHERE strong_title IS NOT NULL GROUP BY 1), {_boot('sum(s) AS s, sum(n) AS n')}
+  SELECT round((SELECT sum(s) / sum(n) FROM per), 6) AS est, round(quantile_cont(CAST(s / n AS DOUBLE), 0.025), 6) AS lo, round(quantile_cont(CAST(s / n AS DOUBLE), 0.975), 6) AS hi, CAST((SELECT sum(n) FROM per) AS BIGINT) AS n FROM sums""")
+def bootstrap_ci(spark, sf):
+    return stats.cluster_bootstrap(coded(spark, sf), "strong_title", "bundle_id", 200).select(*[F.round(c, 6).alias(c) for c in ("est", "lo", "hi")], "n")
+
+
+@query(f"""WITH {CODED}, per AS (SELECT bundle_id AS cluster, sum(CASE WHEN outlet_type = 'en' THEN strong_title ELSE 0 END) AS s1, count_if(outlet_type = 'en') AS n1, sum(CASE WHEN outlet_type <> 'en' THEN strong_title ELSE 0 END) AS s0, count_if(outlet_type <> 'en') AS n0 FROM coded GROUP BY 1),
+  {_boot('sum(s1) AS s1, sum(n1) AS n1, sum(s0) AS s0, sum(n0) AS n0')}, m AS (SELECT CAST(s1 / nullif(n1, 0) - s0 / nullif(n0, 0) AS DOUBLE) AS m FROM sums)
+  SELECT round((SELECT sum(s1) / sum(n1) - sum(s0) / sum(n0) FROM per), 6) AS est, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def bootstrap_diff(spark, sf):
+    d = coded(spark, sf).withColumn("g", (F.col("outlet_type") == "en").cast("int"))
+    return stats.cluster_bootstrap_diff(d, "strong_title", "g", "bundle_id", 200).select(*[F.round(c, 6).alias(c) for c in ("est", "lo", "hi")])
+
+
+def reactions(spark, sf):
+    c = table(spark, sf, "conversations").filter("text is not null")
+    return c.select(F.col("conv_id").alias("article_id"), "turn", *[LEXICON.any_(F.col("text"), "reactions", k).cast("int").alias(k) for k in ("fear", "doubt", "advice")])
+
+
+_REACT = "r AS (SELECT conv_id AS article_id, turn, CAST(regexp_matches(text, '(?i)(please|help)') AS INT) AS fear, CAST(regexp_matches(text, '(?i)(not|why)') AS INT) AS doubt, CAST(regexp_matches(text, '(?i)(how|should)') AS INT) AS advice FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {_REACT} SELECT * FROM r")
+def comment_reactions(spark, sf):
+    return reactions(spark, sf)
+
+
+@query(f"WITH {_REACT} SELECT article_id, count(*) AS n, round(avg(fear), 6) AS fear, round(avg(doubt), 6) AS doubt, round(avg(advice), 6) AS advice FROM r GROUP BY article_id")
+def comment_per_article(spark, sf):
+    return reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in ("fear", "doubt", "advice")])
+
+
+@query("""WITH c AS (SELECT n_chars AS v, CAST(lang = 'en' AS INT) AS side FROM documents), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM c),
+  t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM c GROUP BY v)), s AS (SELECT CAST(sum(side) AS DOUBLE) AS n1, CAST(sum(1 - side) AS DOUBLE) AS n0, sum(r * side) - sum(side) * (sum(side) + 1) / 2.0 AS u1 FROM r)
+  SELECT CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round(u1, 2) AS u1, round((greatest(u1, n1 * n0 - u1) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM s, t""")
+def mann_whitney_u(spark, sf):
+    d = table(spark, sf, "documents").withColumn("side", (F.col("lang") == "en").cast("int"))
+    return stats.mann_whitney(d, "n_chars", "side").select("n1", "n0", F.round("u1", 2).alias("u1"), F.round("z", 6).alias("z"))
+
+
+_TOKENS = """list_filter(list_transform(regexp_extract_all({c}, '[가-힣]+|[A-Za-z][A-Za-z0-9-]+|[0-9]+(?:[.][0-9]+)?'), lambda x: lower(x)), lambda x: length(x) > 1 OR NOT regexp_matches(x, '^[a-z0-9]$'))"""
+
+
+@query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS.format(c='text')}) AS token FROM documents) GROUP BY token")
+def tokens(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+
+
+@query(f"""WITH {ARTICLES}, t AS (SELECT unnest({_TOKENS.format(c='title')}) AS token, 'A' AS side FROM articles UNION ALL SELECT unnest({_TOKENS.format(c='body')}), 'B' FROM articles),
+  c AS (SELECT token, CAST(count_if(side = 'A') AS DOUBLE) AS a, CAST(count_if(side = 'B') AS DOUBLE) AS b FROM t GROUP BY token), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c),
+  z AS (SELECT token, (ln((a + 0.1 * (a + b)) / (na + 0.1 * (na + nb) - a - 0.1 * (a + b))) - ln((b + 0.1 * (a + b)) / (nb + 0.1 * (na + nb) - b - 0.1 * (a + b)))) / sqrt(1 / (a + 0.1 * (a + b)) + 1 / (b + 0.1 * (a + b))) AS z FROM c, n WHERE a + b >= 3)
+  SELECT token, side, round(z, 2) AS z FROM (SELECT *, 'A' AS side FROM (SELECT * FROM z ORDER BY z DESC, token LIMIT 15) UNION ALL SELECT *, 'B' FROM (SELECT * FROM z ORDER BY z, token LIMIT 15))""")
+def log_odds(spark, sf):
+    a = articles(spark, sf)
+    marked = lambda c, side: F.transform(text.tokens(F.col(c)), lambda x: F.struct(x.alias("token"), F.lit(side).alias("side")))
+    t = a.select(F.explode(F.concat(marked("title", "A"), marked("body", "B"))).alias("t")).select("t.*")
+    return mining.log_odds(t, "side")
+
+
+@query(f"""WITH tf AS (SELECT doc_id, lang, token, count(*) AS tf FROM (SELECT doc_id, lang, unnest({_TOKENS.format(c='text')}) AS token FROM documents) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 2),
+  w AS (SELECT doc_id, lang, token, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token)), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+  m AS (SELECT lang, token, round(sum(w / norm) / any_value(size), 6) AS weight FROM w JOIN nm USING (doc_id) JOIN (SELECT lang, count(*) AS size FROM documents GROUP BY lang) USING (lang) GROUP BY lang, token)
+  SELECT lang, token, weight FROM m WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY weight DESC, token) <= 10""")
+def tfidf_group(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("tokens"))
+    return mining.tfidf_by_group(d, "doc_id", "lang", "tokens")
+
+
+@query(f"""WITH s AS (SELECT unnest({_SENTENCES}) AS x FROM documents), t AS (SELECT contains(lower(x), 'that') AS drug, list_distinct({_TOKENS.format(c='x')}) AS w FROM s), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count_if(drug) AS DOUBLE) AS nd FROM t),
+  c AS (SELECT token, count(*) AS ct, count_if(drug) AS c FROM (SELECT drug, unnest(w) AS token FROM t) WHERE token <> 'that' GROUP BY token) SELECT token, CAST(c AS BIGINT) AS n_both, round(log2((c / n) / (ct / n * nd / n)), 3) AS pmi FROM c, n WHERE c >= 3 ORDER BY round(log2((c / n) / (ct / n * nd / n)), 3) DESC, c DESC, token LIMIT 25""")
+def pmi(spark, sf):
+    s = table(spark, sf, "documents").select(F.explode(text.split_sentences(F.col("text"))).alias("x"))
+    return mining.pmi(s.select(text.tokens(F.col("x")).alias("w"), F.contains(F.lower("x"), F.lit("that")).alias("drug")), "w", "drug", ["that"])
+
+
+@query()
+def lda_topics(spark, sf):
+    d = table(spark, sf, "documents").select("text", text.tokens(F.col("text")).alias("tokens"))
+    return mining.lda_topics(d, "tokens", "text", 3, 8).select("topic", "share", "terms")
+
+
+@query()
+def nb_group_cv(spark, sf):
+    d = coded(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), text.tokens(F.col("text")).alias("tokens")), "article_id")
+    return mining.nb_group_cv(d, "article_id", "bundle_id", "tokens", "exceeds_title")
+
+
+@query()
+def gee_logit(spark, sf):
+    rows, why = stats.gee_logit(coded(spark, sf), "strong_title", "outlet_type", "bundle_id")
+    rows = rows or [{"term": why, "odds_ratio": None, "lo": None, "hi": None, "p": None}]
+    return spark.createDataFrame([(r["term"], r["odds_ratio"], r["lo"], r["hi"], r["p"]) for r in rows], "term string, odds_ratio double, lo double, hi double, p double")
+
+
+@query(f"""WITH {CODED}, per AS (SELECT bundle_id, count(*) AS n, stddev_pop(title_strength) AS sd FROM coded GROUP BY bundle_id)
+  SELECT 'bundles_with_3_articles' AS item, round((SELECT avg(CAST(n >= 3 AS INT)) FROM per), 6) AS value, (SELECT avg(CAST(n >= 3 AS INT)) FROM per) >= 0.7 AS ok UNION ALL
+  SELECT 'share_delta_nonzero', round(avg(CAST(delta_title <> 0 AS INT)), 6), avg(CAST(delta_title <> 0 AS INT)) >= 0.3 FROM coded UNION ALL
+  SELECT 'mean_within_bundle_sd', round(avg(sd), 6), avg(sd) >= 0.5 FROM per""")
+def feasibility(spark, sf):
+    c = coded(spark, sf)
+    per = c.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("title_strength").alias("sd"))
+    checks = [(per, (F.col("n") >= 3).cast("int"), "bundles_with_3_articles", 0.7), (c, (F.col("delta_title") != 0).cast("int"), "share_delta_nonzero", 0.3), (per, F.col("sd"), "mean_within_bundle_sd", 0.5)]
+    out = None
+    for rows, value, item, least in checks:
+        one = rows.agg(F.avg(value).alias("v")).select(F.lit(item).alias("item"), F.round("v", 6).alias("value"), (F.col("v") >= least).alias("ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT source AS bundle_id, count(*) AS articles, CAST(count_if(length(text) >= 200) AS BIGINT) AS bodies, CASE WHEN count_if(length(text) >= 200) >= 3 THEN 'OK' ELSE 'few' END AS state FROM documents GROUP BY source""")
+def status_table(spark, sf):
+    d = table(spark, sf, "documents").withColumnRenamed("source", "bundle_id")
+    return tables.status_table(d.select("bundle_id").distinct(), {"articles": d, "bodies": d.filter(F.length("text") >= 200)}, "bodies").select("bundle_id", "articles", "bodies", "state")
+
+
+@query()
+def candidate_dedupe(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.pmod("page_id", F.lit(5)).cast("string").alias("bundle_id"), entities.normalize_url(F.col("url")).alias("norm_url"), entities.host_of(F.col("url")).alias("outlet"), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"(?U)\W", "").alias("bare_title"), F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string")).alias("query"))
+    return tables.dedupe(p, "page_id")
+
+
+@query("""WITH m AS (SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS title, list_filter(['and', 'with', 'for'], lambda t: contains(lower(text), t))[1:2] AS o, list_filter(['the', 'from', 'that'], lambda t: contains(lower(text), t))[1:2] AS j FROM documents),
+  e AS (SELECT doc_id, source, lang, outcome, unnest(j) AS journal FROM (SELECT doc_id, source, lang, j, unnest(o) AS outcome FROM m))
+  SELECT outcome, journal, source AS drug, count(DISTINCT doc_id) AS articles, count(DISTINCT lang) AS outlets FROM e GROUP BY ALL""")
+def discover_groups(spark, sf):
+    first2 = lambda terms: F.slice(text.contains_any(F.col("text"), terms), 1, 2)
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", first2(["and", "with", "for"]).alias("o"), first2(["the", "from", "that"]).alias("j"))
+    e = d.select("doc_id", F.col("source").alias("drug"), "lang", F.explode("o").alias("outcome"), "j").withColumn("journal", F.explode("j"))
+    return e.groupBy("outcome", "journal", "drug").agg(F.countDistinct("doc_id").alias("articles"), F.countDistinct("lang").alias("outlets"))
+
+
+@query("""SELECT doc_id, strftime(CAST('2024-01-05' AS DATE) + CAST(doc_id % 400 AS INT), '%Y-%m') AS month, doc_id % 400 AS days FROM documents""")
+def month_buckets(spark, sf):
+    first = F.lit("2024-01-05")
+    stamp = F.date_format(F.date_add(first.cast("date"), (F.col("doc_id") % 400).cast("int")), "EEE, d MMM yyyy 10:20:30 +0900")
+    d = table(spark, sf, "documents").select("doc_id", entities.parse_pubdate(stamp).alias("at"))
+    day = entities.iso_date(F.col("at"))
+    return d.select("doc_id", F.date_format(day, "yyyy-MM").alias("month"), F.datediff(day, first.cast("date")).cast("long").alias("days"))
+
+
+@query(f"""WITH {ARTICLES}, f AS (SELECT article_id, bundle_id, {_level_sql('title')} AS title_strength FROM articles) SELECT f.article_id, f.bundle_id, CASE WHEN f.title_strength >= 5 THEN 'Y' WHEN f.title_strength >= 3 THEN 'N' ELSE 'NA' END AS code,
+  CASE WHEN l.quality IS NULL THEN 'missing' ELSE 'coded' END AS code_source FROM f LEFT JOIN labels l ON article_id = doc_id""")
+def load_codes(spark, sf):
+    a = articles(spark, sf).select("article_id", "bundle_id", level(F.col("title")).alias("s"))
+    code = F.when(F.col("s") >= 5, "Y").when(F.col("s") >= 3, "N").otherwise("NA")
+    l = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), "quality")
+    return a.join(l, "article_id", "left").select("article_id", "bundle_id", code.alias("code"), F.when(F.col("quality").isNull(), "missing").otherwise("coded").alias("code_source"))
+
+
+@query("""WITH s AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT source, doc_id, n_chars FROM s WHERE r <= 3""")
+def top_per_group(spark, sf):
+    r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
+    return table(spark, sf, "documents").select("source", "doc_id", "n_chars", r.alias("r")).filter("r <= 3").drop("r")

@@ -1,0 +1,237 @@
+"""File sources and sinks with explicit schemas, and paged API sources whose network side is a policy-gated callable."""
+
+from __future__ import annotations
+
+import html.parser
+import json
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """All-string CSV with a header, quotes over lines, BOM; blanks for what is missing; an absent file is empty."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    names = {c.lstrip("﻿"): c for c in got.columns}
+    return got.select(*[(F.col(f"`{names[c]}`") if c in names else F.lit("")).cast("string").alias(c) for c in columns]).na.fill("")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def read_manual_texts(spark: SparkSession, path: str) -> DataFrame:
+    """One file per article: its name is the id, its first line the title, the rest the body."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("article_id"), F.ltrim("value").alias("value"))
+    return raw.select("article_id", F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("title"), F.trim(F.regexp_replace("value", r"^[^\n]*\n?", "")).alias("body"))
+
+
+def load_bundles(spark: SparkSession, text: str) -> DataFrame:
+    """Bundles from YAML; every violation is collected and raised together."""
+    import re
+
+    import yaml
+
+    rows, problems, seen = [], [], set()
+    for item in yaml.safe_load(text) or []:
+        name = str(item.get("bundle_id", ""))
+        if not re.fullmatch(r"[A-Za-z0-9_\-]+", name):
+            problems.append(f"{name!r}: bad bundle_id")
+        if name in seen:
+            problems.append(f"{name}: twice")
+        seen.add(name)
+        paper = {k: str(v) for k, v in (item.get("paper") or {}).items()}
+        if not (paper.get("doi") or paper.get("title")):
+            problems.append(f"{name}: no doi or title")
+        for field in ("queries", "drug_terms", "outcome_terms"):
+            if not item.get(field):
+                problems.append(f"{name}: no {field}")
+        dates = []
+        for field in ("date_from", "date_to"):
+            try:
+                dates.append(pd.Timestamp(str(item[field])).date())
+            except (KeyError, ValueError):
+                problems.append(f"{name}: bad {field}")
+        if len(dates) == 2 and dates[0] > dates[1]:
+            problems.append(f"{name}: date_from after date_to")
+        rows.append((name, str(item.get("label", "")), list(item.get("drug_terms") or []), list(item.get("outcome_terms") or []), paper, list(item.get("queries") or []), *(dates if len(dates) == 2 else (None, None))))
+    if problems:
+        raise ValueError("; ".join(problems))
+    return spark.createDataFrame(rows, "bundle_id string, label string, drug_terms array<string>, outcome_terms array<string>, paper map<string,string>, queries array<string>, date_from date, date_to date")
+
+
+def page_plan(queries: DataFrame, max_results: int = 300, page: int = 100, last_start: int = 1000) -> DataFrame:
+    """One row per (query, page start): what an API reader will ask, and so its cost."""
+    starts = F.sequence(F.lit(1), F.least(F.lit(max_results), F.lit(last_start)), F.lit(page))
+    return queries.select("*", F.explode(starts).alias("start")).withColumn("display", F.least(F.lit(page), F.lit(max_results) - F.col("start") + 1))
+
+
+def discovery_queries(aliases: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every alias in every template: both are short configuration lists."""
+    return aliases.join(F.broadcast(templates), F.lit(True)).select("*", F.replace("template", F.lit("{alias}"), F.col("alias")).alias("query"))
+
+
+class BudgetExceeded(RuntimeError):
+    pass
+
+
+class CallBudget:
+    """Counts calls of a day and refuses before the call that would pass the limit."""
+
+    def __init__(self, limit: int, used: int = 0):
+        self.limit, self.used = limit, used
+
+    def take(self) -> None:
+        if self.used >= self.limit:
+            raise BudgetExceeded(f"{self.used} of {self.limit} calls are used")
+        self.used += 1
+
+
+def search_pages(fetch: Callable[[dict], dict], query: str, budget: CallBudget, max_results: int = 300, page: int = 100) -> Iterator[dict]:
+    """Items of a paged search; stops at a short page, at the total or at max_results; the budget is asked before each call."""
+    start = 1
+    while start <= min(max_results, 1000):
+        budget.take()
+        payload = fetch({"query": query, "start": start, "display": min(page, max_results - start + 1)})
+        payload = payload.get("result", payload)
+        items = payload.get("items") or []
+        yield from items
+        if len(items) < page or start + page > int(payload.get("total", 0)):
+            return
+        start += page
+
+
+class PagedSource(DataSource):
+    """spark.read.format('skein_pages'): rows of stored JSON pages, one partition per file; a live reader subclasses it.
+
+    option('pages', JSON list of payloads) holds the pages, so tests and replays need no network.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "skein_pages"
+
+    def schema(self) -> str:
+        return "title string, description string, link string, pub_date string"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _PagedReader(json.loads(self.options.get("pages", "[]")))
+
+
+class _PagedReader(DataSourceReader):
+    def __init__(self, pages: list):
+        self.pages = pages
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(len(self.pages))] or [InputPartition(-1)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value >= 0:
+            for item in self.pages[partition.value].get("items", []):
+                yield (item.get("title"), item.get("description"), item.get("originallink") or item.get("link"), item.get("pubDate") or item.get("pub_date"))
+
+
+def parse_jsonp(text: F.Column, schema: str):
+    return F.from_json(F.regexp_extract(text, r"(?s)^[^({]*\(?(\{.*\})\)?;?\s*$", 1), schema)
+
+
+class _Extractor(html.parser.HTMLParser):
+    """Title, meta and paragraph texts; scripts, navigation, captions and footers are dropped."""
+
+    DROP = frozenset(("script", "style", "nav", "footer", "aside", "figure", "figcaption", "form", "header", "noscript"))
+    BREAK = frozenset(("p", "br", "div", "li", "h1", "h2", "h3", "tr", "section", "article"))
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.drop = 0
+        self.in_title = self.in_article = False
+        self.title, self.meta, self.body, self.article = "", {}, [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "meta" and a.get("content"):
+            self.meta[a.get("property") or a.get("name") or ""] = a["content"]
+        if tag in self.DROP:
+            self.drop += 1
+        self.in_title |= tag == "title"
+        self.in_article |= tag == "article"
+        if tag in self.BREAK:
+            self.handle_data("\n")
+
+    def handle_endtag(self, tag):
+        if tag in self.DROP and self.drop:
+            self.drop -= 1
+        if tag == "title":
+            self.in_title = False
+        if tag == "article":
+            self.in_article = False
+        if tag in self.BREAK:
+            self.handle_data("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        elif not self.drop:
+            (self.article if self.in_article else self.body).append(data)
+
+
+def extract_html(html_text: str, enough: int = 300) -> tuple[str, str, str]:
+    """title, body, published: the article element if it is long enough, else all that is left of the page."""
+    e = _Extractor()
+    e.feed(html_text or "")
+    squeeze = lambda parts: "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
+    article, rest = squeeze(e.article), squeeze(e.body)
+    body = article if article and (len(article) >= enough or len(article) >= len(rest)) else rest
+    return (e.meta.get("og:title") or " ".join(e.title.split())), body, e.meta.get("article:published_time", "")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "body", "published")]))
+def parse_html(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([extract_html(p) for p in pages], columns=["title", "body", "published"])
+
+
+@F.pandas_udf(T.StringType())
+def decode_legacy(content: pd.Series) -> pd.Series:
+    """Bytes to text: the page's own charset, else UTF-8, else the Korean code page."""
+
+    def one(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        import re
+
+        named = re.search(rb"charset=[\"']?([\w\-]+)", raw[:2048])
+        for charset in ([named[1].decode()] if named else []) + ["utf-8", "cp949"]:
+            try:
+                return raw.decode(charset)
+            except (LookupError, UnicodeDecodeError):
+                continue
+        return raw.decode("utf-8", "replace")
+
+    return content.map(one)
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    import difflib
+
+    return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
