@@ -58,7 +58,7 @@ def shingle_hashes(raw: bytes, offsets: np.ndarray, width: int = 3) -> tuple[np.
     return np.array([hasher(joined[a:b], SEED) for a, b in zip(starts[begin].tolist(), ends[end].tolist())], np.uint64), at
 
 
-def majority(hashes: np.ndarray, at: np.ndarray, block: int = 200_000) -> np.ndarray:
+def majority(hashes: np.ndarray, at: np.ndarray, block: int = 100_000) -> np.ndarray:
     """Bit by bit, whether over half of each group's hashes have it."""
     counts = np.zeros((len(at) - 1, 64), np.int64)
     sizes = np.diff(at)
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, text_sha256 (of the normalised text) and fp (the fingerprint as a signed number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_blocks(batches, "text", 1 << 22):
+        for batch in row_blocks(batches, "text", 1 << 20):
             data, offsets = text_buffers(batch.column("text"))
             raw = data.tobytes().translate(LOWER_TABLE)
             fp = majority(*shingle_hashes(raw, offsets, width)) if len(data) else np.zeros(batch.num_rows, np.uint64)

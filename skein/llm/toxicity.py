@@ -85,14 +85,14 @@ def matrix(data: np.ndarray, offsets: np.ndarray, names: pa.Array) -> np.ndarray
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps; the last number is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (weight * (p - y)) + penalty * w
-        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None].astype(x.dtype)).T @ x + np.diag(penalty)
         step = np.linalg.solve(curvature, gradient)
         w -= step
         if np.abs(step).max() < 1e-4:
@@ -120,7 +120,7 @@ def train_chain(x: np.ndarray, labels: np.ndarray, weight: np.ndarray, folds: np
             inside = folds != fold
             if (~inside).any():
                 out[~inside] = probability(seen[~inside], logistic(seen[inside], y[inside], weight[inside])) if inside.any() else y.mean()
-        seen = np.concatenate([seen, logit(out)[:, None]], 1)
+        seen = np.concatenate([seen, logit(out)[:, None].astype(x.dtype)], 1)
     return models
 
 
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column("y"), batch.column("weight"), batch.column("fold")], ["x", "y", "weight", "fold"])
 
     rows = sample.mapInArrow(vectors, "x binary, y array<int>, weight double, fold int").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1).astype(float)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1)
     y = np.array(rows.column("y").to_pylist(), float).reshape(-1, width)
     order = np.lexsort((x @ np.cos(np.arange(x.shape[1])), rows.column("fold").to_numpy()))  # the same sums whatever order rows arrive in
     weight = rows.column("weight").to_numpy()

@@ -14,7 +14,9 @@ import pyarrow as pa
 
 from skein.llm.common import LOWER_TABLE, spans, strings, text_buffers
 
-MOST_CACHED = 600_000
+MOST_CACHED = 300_000
+#: The library's results take far more memory than their ids.
+AT_ONCE = 16_384
 
 BLANK, LETTER, DIGIT, SIGN, QUOTE, ELSE = range(6)
 
@@ -105,12 +107,15 @@ class WordEncoder:
             self._shrink()
             new = [p for p in found if p not in self.known]
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-            first = len(self.known)
+            first, parts = len(self.known), [self.ids]
             self.known.update(zip(new, range(first, first + len(new))))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+            lengths = []
+            for at in range(0, len(new), AT_ONCE):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in new[at : at + AT_ONCE]], add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                parts.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+            self.ids = np.concatenate(parts)
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
