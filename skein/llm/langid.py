@@ -176,7 +176,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs.filter(~held_out())))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
     """docs without the rows whose language is undetermined or whose best language scores under least_score, all columns kept.
 
     The decision is taken row by row beside the columns, so nothing is joined.

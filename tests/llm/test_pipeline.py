@@ -22,7 +22,7 @@ def test_stage_names():
 
 def test_run_equals_brute_force(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    sure = {r.doc_id for r in langid.identify(docs).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    sure = {r.doc_id for r in langid.identify(docs).collect() if r.lang_pred != "und" and r.score >= 0.35}
     kept = docs.filter(docs.doc_id.isin(sorted(sure)))
     clean = {r.doc_id for r in toxicity.score(kept, toxicity.fit(kept, labels)).collect() if not r.toxic}
     last = {}
