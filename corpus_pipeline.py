@@ -13,7 +13,7 @@ from skein.llm.common import materialize, read_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (no letters, or none scores half) go."""
+    """Documents whose language is undetermined (no letters, or no language is ahead: all score under 0.35) go."""
     return langid.keep_identified(docs)
 
 
