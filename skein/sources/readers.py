@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from skein.functions.text import first_line, rest_lines
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,7 +45,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def read_manual_texts(spark: SparkSession, path: str) -> DataFrame:
     """One file per article: its name is the id, its first line the title, the rest the body."""
     raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("article_id"), F.ltrim("value").alias("value"))
-    return raw.select("article_id", F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("title"), F.trim(F.regexp_replace("value", r"^[^\n]*\n?", "")).alias("body"))
+    return raw.select("article_id", F.trim(first_line(F.col("value"))).alias("title"), F.trim(rest_lines(F.col("value"))).alias("body"))
 
 
 def load_bundles(spark: SparkSession, text: str) -> DataFrame:

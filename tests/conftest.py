@@ -8,11 +8,12 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYTHONPATH", "")) if x)
 
+from skein.plans.session import local_session  # noqa: E402
+
+SESSION = local_session(4, 4, "4g")  # columns in test modules need a running session
+
 
 @pytest.fixture(scope="session")
 def spark():
-    from skein.plans.session import local_session
-
-    session = local_session(4, 4, "4g")
-    yield session
-    session.stop()
+    yield SESSION
+    SESSION.stop()
