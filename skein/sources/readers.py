@@ -44,7 +44,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_manual_texts(spark: SparkSession, path: str) -> DataFrame:
     """One file per article: its name is the id, its first line the title, the rest the body."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("article_id"), F.ltrim("value").alias("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("article_id"), F.ltrim("value").alias("value"))
     return raw.select("article_id", F.trim(first_line(F.col("value"))).alias("title"), F.trim(rest_lines(F.col("value"))).alias("body"))
 
 
