@@ -124,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([len(n)], pa.int32()), pa.array([int(n.sum())], pa.int64()), pa.array([payload], pa.binary())], ["part", "segment", "first_start", "n_docs", "n_ids", "payload"])
 
         for batch in row_blocks(batches, "text", 1 << 22):
-            got, offsets = encoder(tokenizer).encode(batch.column("text"))
+            got, offsets = encoder(tokenizer, 600_000).encode(batch.column("text"))
             with_end = np.insert(got, offsets[1:], end_id)
             lengths = np.diff(offsets) + 1
             at = np.concatenate([[0], np.cumsum(lengths)])

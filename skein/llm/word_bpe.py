@@ -76,6 +76,7 @@ class WordEncoder:
     """ids of texts; special tokens' strings in a text are ordinary text."""
 
     def __init__(self, path: str):
+        self.most_cached = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -103,7 +104,7 @@ class WordEncoder:
     def _numbers(self, found: list[bytes]) -> np.ndarray:
         """The cache places of distinct pieces."""
         new = [p for p in found if p not in self.known]
-        if len(self.known) + len(new) > MOST_CACHED:
+        if len(self.known) + len(new) > self.most_cached:
             self._shrink()
             new = [p for p in found if p not in self.known]
         if new:
@@ -129,8 +130,9 @@ class WordEncoder:
         return self.ids[spans(starts, lengths)], at[bounds]
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per worker process and file."""
+def encoder(path: str, most_cached: int = MOST_CACHED) -> WordEncoder:
+    """One per worker process and file; it caches the largest number of pieces that was asked for."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].most_cached = max(_encoders[path].most_cached, most_cached)
     return _encoders[path]
