@@ -83,3 +83,25 @@ def clean_api_text(text: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]+>", " ")), r"\s+", " "))
+
+
+def clean_title(title: Column, outlet: Column, longest: int = 20, short: int = 8) -> Column:
+    """Unescaped, without [tags], and without a ' - Site' tail that names the outlet or is very short."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(unescape(title), r"\[[^\]]*\]", " "), r"\s+", " "))
+    tail = F.trim(F.regexp_extract(t, r"\s[-|:]\s([^-|:]+)$", 1))
+    names = (F.length(tail) <= longest) & F.coalesce(F.contains(F.lower(tail), F.lower(outlet)) & (outlet != ""), F.lit(False))
+    return F.when((tail != "") & (names | (F.length(tail) <= short)), F.trim(F.regexp_replace(t, r"\s[-|:]\s[^-|:]+$", ""))).otherwise(t)
+
+
+def portal_ids(url: Column) -> Column:
+    """struct(oid, aid) of a portal's article page, from its path (/article/<oid>/<aid>) or its oid and aid parameters; null if neither."""
+    path = r"/article/(?:comment/)?(\d{3})/(\d{10})"
+    param = lambda name: F.regexp_extract(url, rf"[?&]{name}=(\d+)", 1)
+    oid = F.coalesce(F.nullif(F.regexp_extract(url, path, 1), F.lit("")), F.nullif(param("oid"), F.lit("")))
+    aid = F.coalesce(F.nullif(F.regexp_extract(url, path, 2), F.lit("")), F.nullif(param("aid"), F.lit("")))
+    return F.when(oid.isNotNull() & aid.isNotNull(), F.struct(oid.alias("oid"), aid.alias("aid")))
+
+
+def key_conditions(value: Column, known: Sequence[str]) -> Column:
+    """The known categories in a list that commas, semicolons, slashes or blanks divide; order and repeats stay."""
+    return F.filter(F.split(F.lower(F.coalesce(value, F.lit(""))), r"[;,/\s]+"), lambda x: x.isin(*known))

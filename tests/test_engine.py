@@ -208,3 +208,12 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.sql("select n from counts").collect()) == [1, 2]
+
+
+def test_titles_ids_and_conditions(spark):
+    title = lambda t, o="": one(spark, entities.clean_title(T, F.col("o")), t=t, o=o)
+    assert title("[Only] A &quot;new&quot; study - Daily Health News", "daily health") == 'A "new" study'
+    assert title("A study - of many things that matter", "daily") == "A study - of many things that matter" and title("A study | KBX") == "A study"
+    ids = lambda u: one(spark, entities.portal_ids(T), t=u)
+    assert tuple(ids("https://n.x.com/mnews/article/001/0012345678?sid=1")) == ("001", "0012345678") and tuple(ids("https://x/read?oid=22&aid=7")) == ("22", "7") and ids("https://x/1") is None
+    assert one(spark, entities.key_conditions(T, ["dose", "age"]), t="Age; dose,zzz/dose") == ["age", "dose", "dose"] and one(spark, entities.key_conditions(T, ["a"]), t="") == []
