@@ -77,3 +77,12 @@ def test_report(spark):
     rows = spark.range(50).select("id", F.lit("a|b\nc").alias("t"), F.lit(1).alias("_hidden"))
     shown = report.to_markdown(rows, 3)
     assert shown.count("\n| ") == 4 and "a\\|b c" in shown and "First 3 of 50 rows." in shown and "_hidden" not in shown
+
+
+def test_commands(spark, tmp_path, capsys):
+    from skein.__main__ import main
+
+    assert main(["list"]) == 0 and "outlet_rates" in capsys.readouterr().out
+    assert main(["search-plan", "a", "b", "--max-results", "250"]) == 0 and capsys.readouterr().out == "6 calls\n"
+    assert main(["run", "status_table", "/root/testdata/sf0.001", f"{tmp_path}/s"]) == 0 and spark.read.parquet(f"{tmp_path}/s").count() > 0
+    assert main(["demo", f"{tmp_path}/d", "--bundles", "2"]) == 0 and spark.read.json(f"{tmp_path}/d/articles").count() == 8
