@@ -3,7 +3,7 @@
 Categories are predicted one after the other; each linear model also sees the probabilities of the categories before
 it. While training, those come from models that were fitted without the row's fold. Features are words and their
 first letters, as presence and as a share of the text's words; for each category those with the strongest association
-with it over the labelled rows are chosen.
+with it among those that are more frequent in it are chosen.
 
 The classifier is fitted on a bounded sample of labelled rows: at most `most_positive` rows that any category has and
 `most_negative` others, taken by a hash of doc_id and weighted back to their shares. Every row is scored over its
@@ -148,7 +148,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories, most_positive: int
     return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "y", "weight", "fold")
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive: int = 3000, most_negative: int = 9000, per_category: int = 96) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive: int = 3000, most_negative: int = 9000, per_category: int = 160) -> Model:
     names = [c for c, _ in categories]
     sample = _labelled(docs, labels, categories, most_positive, most_negative)
     if sample is None:
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
         for seen, size in cells:
             for k, marginal in ((seen, F.col("df")), (F.lit(size) - seen, F.lit(totals["n"]) - F.col("df"))):
                 gain = gain + F.when((k > 0) & (marginal > 0), k * F.log(k * F.lit(float(totals["n"])) / (marginal * F.lit(float(max(size, 1)))))).otherwise(0.0)
-        best = counted.orderBy(F.desc(gain), "feature").limit(per_category)
+        # a feature that tells for the category; what is common outside it would only weigh against the few words that matter
+        tells = F.col(f"df{c}") * (totals["n"] - totals[f"n{c}"]) > (F.col("df") - F.col(f"df{c}")) * totals[f"n{c}"]
+        best = counted.filter(tells).orderBy(F.desc(gain), "feature").limit(per_category)
         chosen |= {r["feature"] for r in best.select("feature").collect()}
     picked = sorted(chosen)
     if not picked:
