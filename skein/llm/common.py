@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,13 @@ def strings(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
 
 
+def release_memory() -> None:
+    """Gives a worker's freed memory back to the system; idle workers stay alive and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column's text in each holds at most so many bytes, or one row."""
     for batch in batches:
@@ -84,6 +92,7 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int)
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release_memory()
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
