@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.plans.session import cut_lineage
+
 
 def merge_preserving(new: DataFrame, old: DataFrame, key: Sequence[str], human: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """New automatic values win, human columns stay as they were, rows gone from new stay with _stale = 'Y'.
@@ -51,14 +52,18 @@ def selected_candidates(rows: DataFrame, use_auto: bool = True) -> DataFrame:
 def stratified(rows: DataFrame, group: str, stratum: str, key: str, most: int, seed: str = "42") -> DataFrame:
     """rows with selected (Y/N): at most `most` of each group, taken round by round over its strata in hashed order; most <= 0: all.
 
-    A bundle is one publication's articles, so a group fits a window.
+    Only the first `most` of a stratum and then of a group are numbered, which Spark cuts before the shuffle, so no
+    task gets a whole group; rows learn their choice by a join on their key. Rows with the same key share it.
     """
     if most <= 0:
         return rows.withColumn("selected", F.lit("Y"))
     h = lambda c: F.md5(F.concat_ws("|", F.lit(seed), F.col(c).cast("string")).cast("binary"))
-    turn = F.row_number().over(Window.partitionBy(group, stratum).orderBy(h(key), key))
-    place = F.row_number().over(Window.partitionBy(group).orderBy("_turn", h(stratum), h(key), key))
-    return rows.withColumn("_turn", turn).withColumn("selected", F.when(place <= most, "Y").otherwise("N")).drop("_turn")
+    narrow = rows.select(F.col(group).alias("_g"), F.col(stratum).alias("_s"), F.col(key).alias("_k"), h(stratum).alias("_hs"), h(key).alias("_hk"))
+    turn = F.row_number().over(Window.partitionBy("_g", "_s").orderBy("_hk", "_k"))
+    place = F.row_number().over(Window.partitionBy("_g").orderBy("_turn", "_hs", "_hk", "_k"))
+    chosen = narrow.withColumn("_turn", turn).filter(F.col("_turn") <= most).withColumn("_place", place).filter(F.col("_place") <= most).select("_k").distinct()
+    chosen = chosen.withColumn("_chosen", F.lit("Y"))
+    return rows.join(chosen, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn("selected", F.coalesce("_chosen", F.lit("N"))).drop("_k", "_chosen")
 
 
 def text_check(articles: DataFrame, short: int = 400) -> DataFrame:
@@ -69,24 +74,38 @@ def text_check(articles: DataFrame, short: int = 400) -> DataFrame:
 
 def dedupe(rows: DataFrame, order: str) -> DataFrame:
     """Candidates in arrival order: a row whose bundle and normalised URL, or bundle, outlet and bare title, were met before
-    gives its query to the survivor and registers nothing. Sequential by definition, so one task per bundle."""
-    schema = rows.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple, int] = {}
-        out: list[dict] = []
-        for row in pdf.sort_values(order).to_dict("records"):
-            keys = [("u", row["norm_url"])] if row["norm_url"] else []
-            keys.append(("t", row["outlet"], row["bare_title"]))
-            hit = next((seen[k] for k in keys if k in seen), None)
-            if hit is None:
-                seen.update({k: len(out) for k in keys})
-                out.append(row)
-            elif row["query"] not in out[hit]["query"]:
-                out[hit]["query"] += " | " + row["query"]
-        return pd.DataFrame(out, columns=schema.names)
-
-    return rows.groupBy("bundle_id").applyInPandas(fold, schema)
+    gives its query to the survivor (the URL's before the title's) and registers nothing.
+
+    Done in rounds over keys: undecided rows that are the first of both their keys stay, and what shares a key with
+    them goes, until none is undecided. Each round is written out; minima are taken before the shuffle and only
+    (key, minimum) is joined, so a group of any size stays spread. order has one value per row; a row without a URL
+    has a URL key of its own; a null or empty query adds nothing.
+    """
+    url = F.when(F.col("norm_url") != "", F.to_json(F.struct("bundle_id", "norm_url")))
+    keyed = rows.select(F.col(order).alias("_o"), F.coalesce(url, F.concat(F.lit("row "), F.col(order).cast("string"))).alias("_u"), F.to_json(F.struct("bundle_id", "outlet", "bare_title")).alias("_t"), F.col("query").alias("_q"))
+    keyed = undecided = cut_lineage(keyed)
+    kept = None
+    while not undecided.isEmpty():
+        firsts = [undecided.groupBy(k).agg(F.min("_o").alias(f"_first{k}")) for k in ("_u", "_t")]
+        placed = undecided.join(firsts[0], "_u").join(firsts[1], "_t")
+        leads = (F.col("_o") == F.col("_first_u")) & (F.col("_o") == F.col("_first_t"))
+        placed = cut_lineage(placed.select("_o", "_u", "_t", leads.alias("_leads")))
+        new = placed.filter("_leads").select("_o", "_u", "_t")
+        kept = new if kept is None else kept.unionByName(new)
+        undecided = cut_lineage(placed.filter("not _leads").join(new.select("_u"), "_u", "left_anti").join(new.select("_t"), "_t", "left_anti").select("_o", "_u", "_t"))
+    if kept is None:
+        return rows
+    own = kept.select("_o", F.lit(True).alias("_stays"))
+    gone = keyed.join(own, "_o", "left").filter("_stays is null").drop("_stays")
+    gone = gone.join(kept.select("_u", F.col("_o").alias("_by_u")), "_u", "left").join(kept.select("_t", F.col("_o").alias("_by_t")), "_t", "left")
+    into = F.when(F.col("_by_u") < F.col("_o"), F.col("_by_u")).otherwise(F.col("_by_t"))
+    # distinct queries in order of their first row: a later copy would be in the text already
+    given = gone.filter("_q <> ''").groupBy(into.alias("_into"), "_q").agg(F.min("_o").alias("_o"))
+    lists = given.groupBy("_into").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_q"))), lambda x: x["_q"]).alias("_more"))
+    joined = lambda acc, q: F.when(F.contains(acc, q), acc).when(acc == "", q).otherwise(F.concat(acc, F.lit(" | "), q))
+    query = F.when(F.col("_more").isNull(), F.col("query")).otherwise(F.aggregate("_more", F.coalesce("query", F.lit("")), joined))
+    stay = rows.join(own, F.col(order) == F.col("_o"), "left_semi").join(lists, F.col(order) == F.col("_into"), "left")
+    return stay.withColumn("query", query).select(*rows.columns)
 
 
 def daily_budget(calls: DataFrame, ts: str, key: str, limit: int) -> DataFrame:

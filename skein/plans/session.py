@@ -7,7 +7,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -39,3 +39,14 @@ def ship(spark: SparkSession) -> SparkSession:
             context.addPyFile(archive)
     context._skein_shipped = True
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read back; a temporary folder only where none is set and all run in one process."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
+    return df.checkpoint()

@@ -102,6 +102,25 @@ def test_sequential_dedupe_does_not_register_dropped_keys(spark):
     assert sorted((r.page_id, r["query"]) for r in tables.dedupe(frame, "page_id").collect()) == [(1, "q1 | q2"), (3, "q3"), (5, "q9")]
 
 
+def test_dedupe_against_a_pass_in_order(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("bc"), rng.choice(["", None, *map(str, range(40))]), rng.choice(["o", "p", None]), str(rng.randrange(30)), rng.choice(["", None, "q", "qq", "r", "s t"])) for i in range(400)]
+    rows += [(400 + i, "b", str(100 + i // 2), "o", f"chain {(i + 1) // 2}", "q") for i in range(12)]  # each row shares a key with the one before
+    survivors, seen = {}, {}
+    for i, bundle, url, outlet, title, query in rows:
+        keys = [("u", bundle, url)] * bool(url) + [("t", bundle, outlet, title)]
+        hit = next((seen[k] for k in keys if k in seen), None)
+        if hit is None:
+            seen.update(dict.fromkeys(keys, i))
+            survivors[i] = query
+        elif query and query not in (survivors[hit] or ""):
+            survivors[hit] = f"{survivors[hit]} | {query}" if survivors[hit] else query
+    frame = spark.createDataFrame(rows, "page_id long, bundle_id string, norm_url string, outlet string, bare_title string, query string").repartition(5)
+    got = tables.dedupe(frame, "page_id")
+    assert got.columns == frame.columns and {r.page_id: r["query"] for r in got.collect()} == survivors
+    assert tables.dedupe(frame.limit(0), "page_id").count() == 0
+
+
 def test_selection_takes_strata_in_turn(spark):
     frame = spark.createDataFrame([(i, "g", "x" if i < 90 else "y" if i < 95 else "z") for i in range(100)], "k long, g string, s string")
     chosen = [r.s for r in tables.stratified(frame, "g", "s", "k", 6).filter("selected = 'Y'").collect()]
