@@ -64,6 +64,26 @@ def mann_whitney(df: DataFrame, value: str, side: str) -> DataFrame:
     return s.select("n1", "n0", "u1", "u", "z", p.alias("p"))
 
 
+def compare_groups(articles: DataFrame, shares: DataFrame, groups: Sequence[str], values: Sequence[str], cluster: str, key: str = "article_id", count: str = "n", least: int = 5, n_boot: int = 2000) -> DataFrame:
+    """grouping, value, n1, n0, mean1, mean0, est, lo, hi, p: readers' reactions to articles with a flag against those without.
+
+    articles has the 0/1 flags of `groups`, shares the values per article; articles under `least` comments are left
+    out, and a flag with one value gives no row.
+    """
+    rows = articles.join(shares.filter(F.col(count) >= least), key)
+    out = None
+    for group in groups:
+        some = rows.filter(F.col(group).isin(0, 1))
+        for value in values:
+            of = lambda g: F.when(F.col(group) == g, F.col(value))  # noqa: B023, E731
+            means = some.agg(*[f(of(g)).alias(f"{n}{g}") for n, f in (("n", F.count), ("mean", F.avg)) for g in (1, 0)])
+            interval = cluster_bootstrap_diff(some, value, group, cluster, n_boot).select("est", "lo", "hi")
+            test = mann_whitney(some, value, group).select("p")
+            one = means.join(interval, F.lit(True)).join(test, F.lit(True)).filter("n1 > 0 and n0 > 0").select(F.lit(group).alias("grouping"), F.lit(value).alias("value"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def exact_mann_whitney(u: float, n1: int, n0: int) -> float:
     """The exact two-sided p without ties: counts of rank sums by the usual recurrence."""
     ways = np.zeros(n1 * n0 + 1)

@@ -108,6 +108,19 @@ def dedupe(rows: DataFrame, order: str) -> DataFrame:
     return stay.withColumn("query", query).select(*rows.columns)
 
 
+def save_candidates(new: DataFrame, old: DataFrame, columns: Sequence[str], human: Sequence[str], key: str = "candidate_id") -> DataFrame:
+    """The candidate table after a search: new rows with the human entries of old ones, and old rows that were not found again.
+
+    Sorted by bundle, best score first; a score that is no number is 0.
+    """
+    shown = [F.col(c) if c in new.columns else F.lit("").alias(c) for c in columns]
+    gone = old.join(new.select(key), key, "left_anti").select(*[c for c in columns if c in old.columns])
+    every = new.select(*shown).unionByName(gone, allowMissingColumns=True)
+    merged = merge_preserving(every, old, [key], human).drop("_stale")
+    score = F.coalesce(F.try_to_number(F.col("relevance_score").cast("string"), F.lit("S999999999")).cast("int"), F.lit(0))
+    return merged.withColumn("relevance_score", score).orderBy("bundle_id", F.desc("relevance_score"), key)
+
+
 def daily_budget(calls: DataFrame, ts: str, key: str, limit: int) -> DataFrame:
     """Whether each call is within its day's limit, counted before the call. Hours are counted apart first, so a day is no single window."""
     rows = calls.withColumn("_day", F.to_date(ts)).withColumn("_hour", F.hour(ts))

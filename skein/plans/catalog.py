@@ -466,6 +466,25 @@ def mann_whitney_u(spark, sf):
     return stats.mann_whitney(d, "n_chars", "side").select("n1", "n0", F.round("u1", 2).alias("u1"), F.round("z", 6).alias("z"))
 
 
+def _group_sql(group: str, value: str) -> str:
+    side = lambda g, e: f"sum(CASE WHEN {group} = {g} THEN {e} ELSE 0 END)"
+    return f"""SELECT * FROM (WITH d AS (SELECT bundle_id, {group}, {value} FROM coded JOIN shares USING (article_id) WHERE {group} IN (0, 1)),
+      per AS (SELECT bundle_id AS cluster, {side(1, value)} AS s1, {side(1, 1)} AS n1, {side(0, value)} AS s0, {side(0, 1)} AS n0 FROM d GROUP BY 1), {_boot('sum(s1) AS s1, sum(n1) AS n1, sum(s0) AS s0, sum(n0) AS n0')},
+      m AS (SELECT CAST(s1 / nullif(n1, 0) - s0 / nullif(n0, 0) AS DOUBLE) AS m FROM sums), t AS (SELECT CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n0) AS BIGINT) AS n0, sum(s1) AS s1, sum(s0) AS s0 FROM per)
+      SELECT '{group}' AS grouping, '{value}' AS value, n1, n0, round(s1 / n1, 6) AS mean1, round(s0 / n0, 6) AS mean0, round(s1 / n1 - s0 / n0, 6) AS est, round((SELECT quantile_cont(m, 0.025) FROM m), 6) AS lo, round((SELECT quantile_cont(m, 0.975) FROM m), 6) AS hi FROM t WHERE n1 > 0 AND n0 > 0)"""
+
+
+_GROUPS, _REACTIONS = ["strong_title", "exceeds_title"], ["fear", "doubt", "advice"]
+
+
+@query(f"""WITH {CODED}, {_REACT}, shares AS (SELECT article_id, count(*) AS n, avg(fear) AS fear, avg(doubt) AS doubt, avg(advice) AS advice FROM r GROUP BY article_id HAVING count(*) >= 2)
+  {' UNION ALL '.join(_group_sql(g, v) for g in _GROUPS for v in _REACTIONS)}""")
+def compare_groups(spark, sf):
+    shares = reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in _REACTIONS])
+    got = stats.compare_groups(coded(spark, sf), shares, _GROUPS, _REACTIONS, "bundle_id", least=2, n_boot=200)
+    return got.select("grouping", "value", "n1", "n0", *[F.round(c, 6).alias(c) for c in ("mean1", "mean0", "est", "lo", "hi")])
+
+
 _TOKENS = """list_filter(list_transform(regexp_extract_all({c}, '[가-힣]+|[A-Za-z][A-Za-z0-9-]+|[0-9]+(?:[.][0-9]+)?'), lambda x: lower(x)), lambda x: length(x) > 1 OR NOT regexp_matches(x, '^[a-z0-9]$'))"""
 
 
