@@ -15,6 +15,7 @@ from skein.functions import entities, text
 from skein.functions.claims import ClaimCoder, advice_level, condition_map
 from skein.functions.lexicon import Lexicon
 from skein.operators import agreement, mining, stats, tables
+from skein.operators import feasibility as feasible
 from skein.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,19 +541,32 @@ def gee_logit(spark, sf):
     return spark.createDataFrame([(r["term"], r["odds_ratio"], r["lo"], r["hi"], r["p"]) for r in rows], "term string, odds_ratio double, lo double, hi double, p double")
 
 
-@query(f"""WITH {CODED}, per AS (SELECT bundle_id, count(*) AS n, stddev_pop(title_strength) AS sd FROM coded GROUP BY bundle_id)
-  SELECT 'bundles_with_3_articles' AS item, round((SELECT avg(CAST(n >= 3 AS INT)) FROM per), 6) AS value, (SELECT avg(CAST(n >= 3 AS INT)) FROM per) >= 0.7 AS ok UNION ALL
-  SELECT 'share_delta_nonzero', round(avg(CAST(delta_title <> 0 AS INT)), 6), avg(CAST(delta_title <> 0 AS INT)) >= 0.3 FROM coded UNION ALL
-  SELECT 'mean_within_bundle_sd', round(avg(sd), 6), avg(sd) >= 0.5 FROM per""")
+_PAIRS = "(SELECT CAST(strong_title AS INT) AS quality, quality AS toxic FROM coded JOIN labels ON article_id = doc_id)"
+
+
+def _pair_kappa(weight: str) -> str:
+    return f"(SELECT kappa FROM ({_kappa_sql(weight).replace('labels', _PAIRS)}))"
+
+
+@query(f"""WITH {CODED}, {_LONG.removeprefix(ARTICLES + ', ')}, per AS (SELECT bundle_id, count(*) AS n, stddev_pop(title_strength) AS sd FROM coded GROUP BY bundle_id),
+  v AS (SELECT 'bundles_with_3_articles' AS item, (SELECT avg(CAST(n >= 3 AS INT)) FROM per) AS v, 0.7 AS least UNION ALL
+    SELECT 'share_delta_nonzero', (SELECT avg(CAST(delta_title <> 0 AS INT)) FROM coded), 0.3 UNION ALL
+    SELECT 'mean_within_bundle_sd', (SELECT avg(sd) FROM per), 0.5 UNION ALL
+    SELECT 'share_title_stronger', (SELECT avg(CAST(delta_title > 0 AS INT)) FROM coded), NULL UNION ALL
+    SELECT 'candidate_precision', (SELECT avg(quality) FROM labels), NULL UNION ALL
+    SELECT 'share_condition_dropped', (SELECT avg(CAST(NOT in_title AND in_body AS INT)) FROM retained), NULL UNION ALL
+    SELECT 'auto_title_weighted_kappa', {_pair_kappa('abs({a} - {b})')}, 0.6 UNION ALL
+    SELECT 'weak_fields', CASE WHEN {_pair_kappa('CAST({a} <> {b} AS INT)')} < 0.4 THEN 1 END, 2 UNION ALL
+    SELECT 'share_with_5_comments', (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(*) >= 5)) / (SELECT CAST(count(*) AS DOUBLE) FROM coded), 0.5)
+  SELECT item, round(CAST(v AS DOUBLE), 6) AS value, v >= least AS ok FROM v WHERE v IS NOT NULL""")
 def feasibility(spark, sf):
-    c = coded(spark, sf)
-    per = c.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("title_strength").alias("sd"))
-    checks = [(per, (F.col("n") >= 3).cast("int"), "bundles_with_3_articles", 0.7), (c, (F.col("delta_title") != 0).cast("int"), "share_delta_nonzero", 0.3), (per, F.col("sd"), "mean_within_bundle_sd", 0.5)]
-    out = None
-    for rows, value, item, least in checks:
-        one = rows.agg(F.avg(value).alias("v")).select(F.lit(item).alias("item"), F.round("v", 6).alias("value"), (F.col("v") >= least).alias("ok"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    c, labels = coded(spark, sf), table(spark, sf, "labels")
+    pairs = c.join(labels, F.col("article_id") == F.col("doc_id")).select(F.col("strong_title").cast("int").alias("auto"), "quality")
+    plain, weighted = (agreement.kappa(pairs, "auto", "quality", weighted=w).select("kappa") for w in (False, True))
+    kappas = plain.join(weighted.withColumnRenamed("kappa", "weighted_kappa"), F.lit(True)).select(F.lit("title_strength").alias("field"), "kappa", "weighted_kappa")
+    comments = reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
+    judged = labels.select(F.when(F.col("quality") == 1, "Y").otherwise("N").alias("include"))
+    return feasible.feasibility(c, judged, retained(spark, sf).select((~F.col("in_title") & F.col("in_body")).alias("dropped")), kappas, comments)
 
 
 @query("""SELECT source AS bundle_id, count(*) AS articles, CAST(count_if(length(text) >= 200) AS BIGINT) AS bodies, CASE WHEN count_if(length(text) >= 200) >= 3 THEN 'OK' ELSE 'few' END AS state FROM documents GROUP BY source""")

@@ -86,3 +86,15 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["search-plan", "a", "b", "--max-results", "250"]) == 0 and capsys.readouterr().out == "6 calls\n"
     assert main(["run", "status_table", "/root/testdata/sf0.001", f"{tmp_path}/s"]) == 0 and spark.read.parquet(f"{tmp_path}/s").count() > 0
     assert main(["demo", f"{tmp_path}/d", "--bundles", "2"]) == 0 and spark.read.json(f"{tmp_path}/d/articles").count() == 8
+
+
+def test_figures_are_well_formed(spark):
+    from xml.etree import ElementTree
+
+    from skein.plans import figures
+
+    series = spark.createDataFrame([("b<1", 3, 1, 2.5, 6), ("b2", None, 0, 1.0, 2)], "bundle_id string, paper int, low int, mean double, high int")
+    drawn = [figures.ladder(series), figures.bars([("a & b", 0.5, 0.2, 0.9), ("none", None, None, None)], "Rates"), figures.heatmap([("dose", 80.0, None, 10.0)], ["title", "lead", "body"], "Kept")]
+    roots = [ElementTree.fromstring(svg) for svg in drawn]
+    texts = [t.text for r in roots for t in r.iter("{http://www.w3.org/2000/svg}text")]
+    assert {"b<1", "a & b", "50.0 %", "80%", "10%"} <= set(texts) and len(list(roots[0].iter("{http://www.w3.org/2000/svg}path"))) == 1
