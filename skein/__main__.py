@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     analyze = commands.add_parser("analyze", help="print the Markdown report over a folder of tables")
     analyze.add_argument("tables")
     analyze.add_argument("--n-boot", type=int, default=2000)
+    analyze.add_argument("--figures", help="folder on this machine for SVG figures")
     plan = commands.add_parser("search-plan", help="calls that a search would take; nothing is sent")
     plan.add_argument("queries", nargs="+")
     plan.add_argument("--max-results", type=int, default=300)
@@ -42,7 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "run":
         catalog.QUERIES[args.name](spark, args.tables).write.mode("overwrite").parquet(args.out)
     elif args.command == "analyze":
-        print(report.build_report(catalog.coded(spark, args.tables), catalog.FLAGS, args.n_boot))
+        coded = catalog.coded(spark, args.tables)
+        print(report.build_report(coded, catalog.FLAGS, args.n_boot))
+        if args.figures:
+            report.write_figures(coded, catalog.condition_summary(spark, args.tables), args.figures, args.n_boot)
     elif args.command == "search-plan":
         queries = spark.createDataFrame([(q,) for q in args.queries], "query string")
         print(readers.page_plan(queries, args.max_results).count(), "calls")

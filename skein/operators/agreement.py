@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,25 @@ def kappa(pairs: DataFrame, a: str, b: str, weighted: bool = False) -> DataFrame
     return seen.join(expected, F.lit(True)).select(F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.round(100.0 * F.col("same") / F.col("n"), 1).alias("agree_pct"), k.alias("kappa"))
 
 
+def kappa_table(pairs: DataFrame, fields: Mapping[str, tuple[str, str, bool]]) -> DataFrame:
+    """field, n, agree_pct, kappa, weighted_kappa for each field: two columns of pairs and whether its codes are ordinal."""
+    out = None
+    for field, (a, b, ordinal) in fields.items():
+        one = kappa(pairs, a, b).select(F.lit(field).alias("field"), "n", "agree_pct", "kappa")
+        if ordinal:
+            one = one.join(kappa(pairs, a, b, weighted=True).select(F.col("kappa").alias("weighted_kappa")), F.lit(True))
+        else:
+            one = one.withColumn("weighted_kappa", F.lit(None).cast("double"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compare_coders(one: DataFrame, two: DataFrame, key: str, fields: Mapping[str, bool]) -> DataFrame:
+    """kappa_table of two coders' sheets over the rows that both have; fields: name and whether it is ordinal."""
+    sides = [s.select(key, *[F.col(f).alias(f"{f}_c{i}") for f in fields]) for i, s in ((1, one), (2, two))]
+    return kappa_table(sides[0].join(sides[1], key), {f: (f"{f}_c1", f"{f}_c2", ordinal) for f, ordinal in fields.items()})
+
+
 def long_form(sheet: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return sheet.select(key, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot([key], list(fields), "field", "value")
 

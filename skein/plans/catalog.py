@@ -422,6 +422,15 @@ def auto_vs_human(spark, sf):
     return agreement.kappa(p, "auto", "quality").select("n", "agree_pct")
 
 
+@query(f"""SELECT 'first' AS field, n, agree_pct, kappa, (SELECT kappa FROM ({_kappa_sql('abs({a} - {b})')})) AS weighted_kappa FROM ({_kappa_sql('CAST({a} <> {b} AS INT)')})
+  UNION ALL SELECT 'second', n, agree_pct, kappa, NULL FROM ({_kappa_sql('CAST({a} <> {b} AS INT)').replace('labels', '(SELECT 1 - quality AS quality, toxic FROM labels)')})""")
+def coder_kappas(spark, sf):
+    l = table(spark, sf, "labels")
+    one = l.select("doc_id", F.col("quality").alias("first"), (1 - F.col("quality")).alias("second"))
+    two = l.select("doc_id", F.col("toxic").alias("first"), F.col("toxic").alias("second"))
+    return agreement.compare_coders(one, two, "doc_id", {"first": True, "second": False})
+
+
 def _boot(values: str) -> str:
     return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i FROM per), g AS (SELECT count(*) AS g FROM per), draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || d), 1, 8))::BIGINT % g AS i
       FROM (SELECT unnest(range(200)) AS b), g, (SELECT unnest(range(1, 1000)) AS d) WHERE d <= g), sums AS (SELECT b, {values} FROM draws JOIN numbered USING (i) GROUP BY b)"""

@@ -98,3 +98,11 @@ def test_figures_are_well_formed(spark):
     roots = [ElementTree.fromstring(svg) for svg in drawn]
     texts = [t.text for r in roots for t in r.iter("{http://www.w3.org/2000/svg}text")]
     assert {"b<1", "a & b", "50.0 %", "80%", "10%"} <= set(texts) and len(list(roots[0].iter("{http://www.w3.org/2000/svg}path"))) == 1
+
+
+def test_written_figures(spark, tmp_path):
+    from skein.plans import catalog, report
+
+    tables = "/root/testdata/sf0.001"
+    names = report.write_figures(catalog.coded(spark, tables), catalog.condition_summary(spark, tables), str(tmp_path), 50)
+    assert names == ["condition_retention", "outlet_rates", "strength_ladder"] and all((tmp_path / f"{n}.svg").read_text().startswith("<svg") for n in names)
