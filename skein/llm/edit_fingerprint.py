@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import range_ids, range_numbers, row_blocks, spans, text_buffers
+from skein.llm.common import materialize, range_ids, range_numbers, row_blocks, spans, text_buffers
 from skein.llm.components import components
 
 CLASSES, PERIOD = 128, 1024
@@ -30,6 +30,10 @@ LEVELS, PER_LEVEL, FIRST = 36, 32, 16
 BAND = 6
 #: Fewer live walks than this are followed one by one.
 FEW = 48
+#: Buckets of bands up to this size give all pairs; larger ones than SPLIT_BUCKET are split.
+SMALL_BUCKET, SPLIT_BUCKET = 32, 1024
+#: Rows that are handled together.
+AT_ONCE = 8192
 
 
 def _tables(seed: int = 20_240) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -247,25 +251,110 @@ def shared_bands(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return same.all(2).sum(1).astype(np.int32)
 
 
-def near_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, group_id (smallest doc_id): classes of texts linked by a shared band and a likeness of the threshold or more.
+def band_plan(threshold: float) -> tuple[int, list[np.ndarray], list[bool]]:
+    """How many of a text's last levels are banded, each level's band borders, and whether its pairs share a second band.
 
-    Distinct fingerprints are banded; within a band each is paired with the band's smallest and its neighbour in
-    order only, so a band of G gives under 2G candidates, which the likeness verifies.
+    Levels below the last four weigh at most an eighth, so two texts of the threshold agree in a share of one of these
+    levels' samples; bands are so narrow that the others can't break each of them. Above 0.5, their last levels differ
+    by one at most. Bands behind the ends of both texts count as shared, but only as a second band.
+    """
+    top = 4 if threshold > 0.5 else LEVELS
+    least = (threshold - 1 / 8) / (1 - 1 / 8) if top < LEVELS else threshold
+    borders, second = [], []
+    for level, places in enumerate(PLACES):
+        differ = 1 - (least * 15 / 16 + 1 / 16 if level else least)
+        width = len(places) if differ <= 1e-9 else min(len(places), max(1, int(np.ceil(1 / differ - 1e-9)) - 1))
+        n = -(-len(places) // width)
+        borders.append(np.arange(n + 1) * len(places) // n)
+        second.append(n >= int(len(places) * differ + 1e-9) + 2)
+    return top, borders, second
+
+
+def level_bands(text: str, level: int, borders: np.ndarray) -> list[str]:
+    """The bands of a fingerprint's samples of a level, with dots behind the embedding's end."""
+    low = 10 + int(np.searchsorted(LEVEL_OF, level))
+    inside = int(np.searchsorted(PLACES[level], int(text[:10], 16)))
+    own = text[low : low + inside].ljust(len(PLACES[level]), ".")
+    return [own[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+
+def bucket_links(prints: list[str], threshold: float) -> tuple[list[int], list[int]]:
+    """Links that connect exactly what chains of likeness of the threshold or more connect: each group is followed until it reaches no other member."""
+    size, samples = parse(prints)
+    outside, links = np.arange(len(prints)), ([], [])
+    while len(outside):
+        queue, outside = [int(outside[0])], outside[1:]
+        while queue and len(outside):
+            one, met = queue.pop(), []
+            for at in range(0, len(outside), AT_ONCE):
+                some = outside[at : at + AT_ONCE]
+                row = np.full(len(some), one)
+                met.append(likeness(size[row], samples[row], size[some], samples[some]) >= threshold)
+            near = np.concatenate(met)
+            found = outside[near].tolist()
+            links[0].extend([one] * len(found))
+            links[1].extend(found)
+            queue += found
+            outside = outside[~near]
+    return links
+
+
+def near_groups(prints: DataFrame, threshold: float = 0.8, most: int = SPLIT_BUCKET) -> DataFrame:
+    """doc_id, group_id (smallest doc_id): classes of texts connected by a likeness of the threshold (above 0) or more.
+
+    Distinct fingerprints are banded so that any two of the threshold share a band. Bands with more than `most` members
+    are split by a second band of the level, which such two share as well. What is left is compared whole: small
+    buckets by all pairs, others group by group, so alike members cost one comparison each.
     """
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
+    top, borders, second = band_plan(threshold)
+    lows = [0, *(FIRST << (i - 1) for i in range(1, LEVELS))]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for i, text in enumerate(batch.column("fingerprint").to_pylist()):
-                size = int(text[:10], 16)
-                for band in range((len(text) - 10) // BAND):
-                    if ALL_PLACES[band * BAND + BAND - 1] < size:
-                        keys.append(f"{band}:{text[10 + band * BAND : 10 + (band + 1) * BAND]}")
-                        rows.append(i)
+                used = int(np.searchsorted(lows, int(text[:10], 16), "left"))
+                for level in range(max(0, used - top), used):
+                    for b, band in enumerate(level_bands(text, level, borders[level])):
+                        if band[0] != ".":
+                            keys.append(f"{level}:{b}:{band}")
+                            rows.append(i)
+                if len(keys) >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("fingerprint").take(pa.array(rows, pa.int64()))], ["band", "fingerprint"])
+                    keys, rows = [], []
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("fingerprint").take(pa.array(rows, pa.int64()))], ["band", "fingerprint"])
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for i, (key, text) in enumerate(zip(batch.column("band").to_pylist(), batch.column("fingerprint").to_pylist())):
+                level, own = map(int, key.split(":")[:2])
+                more = [f"{key}:{b}:{band}" for b, band in enumerate(level_bands(text, level, borders[level])) if b != own] if second[level] else [key]
+                keys += more
+                rows += [i] * len(more)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("fingerprint").take(pa.array(rows, pa.int64()))], ["band", "fingerprint"])
+
+    def candidates(members: list[str]) -> pa.RecordBatch:
+        if len(members) <= SMALL_BUCKET:
+            a, b = np.triu_indices(len(members), 1)
+        else:
+            a, b = bucket_links(members, threshold)
+        column = pa.array(members, pa.string())
+        return pa.RecordBatch.from_arrays([column.take(pa.array(a, pa.int64())), column.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            for band, text in zip(batch.column("band").to_pylist(), batch.column("fingerprint").to_pylist()):
+                if band != key:
+                    if len(members) > 1:
+                        yield candidates(members)
+                    key, members = band, []
+                members.append(text)
+        if len(members) > 1:
+            yield candidates(members)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
@@ -273,10 +362,12 @@ def near_groups(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield batch.take(pa.array(good, pa.int64()))
 
     banded = distinct.select("fingerprint").mapInArrow(bands, "band string, fingerprint string")
-    lows = banded.groupBy("band").agg(F.min("fingerprint").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    before = F.lag("fingerprint").over(Window.partitionBy("band").orderBy("fingerprint"))
-    found = banded.join(lows, "band").withColumn("before", before)
-    pairs = found.select(F.explode(F.array("least", "before")).alias("a"), F.col("fingerprint").alias("b")).filter("a is not null and a <> b").distinct()
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = materialize(banded.join(sizes, "band"), "bands")
+    large = found.filter(F.col("n") > most).select("band", "fingerprint").mapInArrow(split, "band string, fingerprint string")
+    buckets = found.filter(F.col("n") <= most).select("band", "fingerprint").unionByName(large)
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = buckets.repartition(parts, "band").sortWithinPartitions("band", "fingerprint").mapInArrow(meet, "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = pairs.mapInArrow(verify, "a string, b string")
     number = lambda c: links.join(distinct.select(F.col("fingerprint").alias(c), F.col("low").alias(f"{c}_low")), c)
     links = number("a").join(distinct.select(F.col("fingerprint").alias("b"), F.col("low").alias("b_low")), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))

@@ -79,3 +79,45 @@ def test_few_edits_stay_alike_and_group(spark):
     groups = {r.doc_id: r.group_id for r in ef.near_groups(ef.fingerprints(frame), 0.6).collect()}
     assert len(groups) == len(rows) and sum(groups[10 * k] == groups[10 * k + 1] for k in range(len(base))) >= len(base) - 2
     assert ef.near_groups(ef.fingerprints(frame.filter(F.lit(False)))).count() == 0
+
+
+def brute_groups(prints, threshold):
+    """The smallest doc_id that chains of likeness reach, from all pairs."""
+    size, samples = ef.parse([p for _, p in prints])
+    a, b = np.triu_indices(len(prints), 1)
+    near = np.concatenate([ef.likeness(size[x], samples[x], size[y], samples[y]) >= threshold for x, y in zip(np.array_split(a, 20), np.array_split(b, 20))])
+    root = np.array([d for d, _ in prints])
+    while True:
+        old = root.copy()
+        for x, y in zip(a[near], b[near]):
+            root[x] = root[y] = min(root[x], root[y])
+        if (old == root).all():
+            return dict(zip((d for d, _ in prints), root.tolist())), int(near.sum())
+
+
+def test_near_groups_lose_no_link(spark):
+    rng = np.random.default_rng(7)
+    rows = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars > 60").orderBy("doc_id").limit(60).collect()]
+    for k, text in enumerate(rows[:40]):
+        text, head = text[:1200], rows[k % 3][:200]
+        for edits in (1, 2, 4, 7, 11, 16):
+            letters = list(text)
+            for at in rng.integers(0, len(letters), edits):
+                letters[at] = chr(97 + int(rng.integers(0, 26)))
+            rows += ["".join(letters), head + "".join(letters)[: 40 + 60 * edits]]
+    rows += [f"{w} {n}" for w in ("ab", "the cat sat", "of the people by the people") for n in range(30)]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    prints = ef.fingerprints(frame).cache()
+    own = sorted((r.doc_id, r.fingerprint) for r in prints.collect())
+    for threshold in (0.8, 0.6, 0.95):
+        want, links = brute_groups(own, threshold)
+        assert links > 100
+        for most in (ef.SPLIT_BUCKET, 4):
+            assert {r.doc_id: r.group_id for r in ef.near_groups(prints, threshold, most).collect()} == want
+    for threshold in (0.8, 0.3):
+        a = [p for _, p in own]
+        root = list(range(len(a)))
+        for x, y in zip(*ef.bucket_links(a, threshold)):
+            root = [root[x] if r == root[y] else r for r in root]
+        want, _ = brute_groups(list(enumerate(a)), threshold)
+        assert len(set(root)) == len(set(want.values()))
