@@ -1,12 +1,14 @@
 """Encoding with a tokenizers file whose pre-tokenizer never joins text across white space.
 
 Each batch is cut into pieces at places that the pre-tokenizer never joins across, and every distinct piece is encoded
-once per worker, so the library sees distinct pieces only.
+once per worker, so the library sees distinct pieces only. Strings of the file's added tokens are cut out before, as
+the library does: each is its own id, and the texts beside it are encoded apart.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain, islice
 
 import numpy as np
@@ -73,7 +75,7 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """ids of texts; special tokens' strings in a text are ordinary text."""
+    """ids of texts as the library's encode() gives them with add_special_tokens=False."""
 
     def __init__(self, path: str):
         self.most_cached = 0
@@ -81,7 +83,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in tokens.values()):
+            raise ValueError(f"{path} has added tokens that are more than their strings")
+        self.added = {t.content.encode(): i for i, t in tokens.items()}
+        self.any_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.tokenizer.encode_special_tokens = True  # for the pieces, which are lower-cased: added tokens are gone by then
         for text in ("ab cd", "a\tb\n\nc", " x,y  z ", "don't é.5x 12's $$a"):
             data = np.frombuffer(text.encode(), np.uint8)
             alone = [p.decode() for p in pieces(data, np.array([0, len(data)]))[0].to_pylist()]
@@ -119,9 +126,30 @@ class WordEncoder:
             self.ids = np.concatenate(parts)
         return np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
 
+    def _cut_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the added tokens' strings in the texts."""
+        raw, found = data.tobytes(), []
+        if self.any_added and self.any_added.search(raw):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                found += [(*m.span(), self.added[m.group()]) for m in self.any_added.finditer(raw, a, b)]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column, and each row's offsets into them."""
-        found, bounds = pieces(*text_buffers(column))
+        data, offsets = text_buffers(column)
+        cut, end, token = self._cut_added(data, offsets)
+        if not len(cut):
+            return self._encode(data, offsets)
+        data = data.copy()
+        data[spans(cut, end - cut)] = ord(" ")
+        # the texts before, between and behind added tokens are rows of their own
+        parts = np.sort(np.concatenate([offsets, cut, end]), kind="stable")
+        ids, at = self._encode(data, parts)
+        before = np.searchsorted(cut, offsets, "left")
+        return np.insert(ids, at[np.searchsorted(parts, cut)], token.astype(np.uint32)), at[np.searchsorted(parts, offsets)] + before
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, bounds = pieces(data, offsets)
         coded = found.dictionary_encode()
         places = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         starts = self.starts[places]

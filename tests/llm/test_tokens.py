@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import EDGE, LONG
 from pyspark.sql import functions as F
@@ -202,3 +203,26 @@ def test_dac_segment_header_is_readable(spark, docs, tmp_path):
     (n,) = struct.unpack_from("<I", row.payload)
     assert n == row.n_docs
     assert dac.read_tokens(spark, path, with_ids=True).filter("doc_id = 0").first().ids[-1] == 2
+
+
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    from skein.llm.word_bpe import WordEncoder
+
+    plain_library = Tokenizer.from_file(default_path())
+    start, end = "<|startoftext|>", "<|endoftext|>"
+    texts = ["", None, end, f"a {end} b", f"a{start}b{end}", f"  x \n{end}\t{start}y ", f"<{end}>", end * 3, end.upper(), end[:7], end[7:], f"don{end}'t", f"e{end}\u0301x é{end}é", "<|" + end + "text|>", "plain text", f"<{start[:5]}{start}1{end}2"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice([start, end, end[:6], end[6:], " ", "\n", "Ab", "é", "7", "<|", "|>", "'s", "\u00a0", "の"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    want = [plain_library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    column = pa.array(["cut", *texts])[1:]
+    for most in (10_000, 3):
+        tool = WordEncoder(default_path())
+        tool.most_cached = most
+        ids, at = tool.encode(column)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want and at[-1] == len(ids)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in dac.roundtrip(frame).collect()}
+    for k, ids in enumerate(want):
+        assert got[k].n_tokens == len(ids) + 1 and got[k].ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
