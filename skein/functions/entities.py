@@ -46,15 +46,26 @@ def resolve_outlets(rows: DataFrame, outlets: DataFrame, url: str = "url", name:
     return found.withColumn("outlet", F.coalesce(by_name, F.col("_best._o"), fallback)).withColumn("outlet_type", F.coalesce(name_type, F.col("_best._t"), F.lit("unknown"))).drop("_row", "_host", "_best", "_name", "_no", "_nt")
 
 
+def _name(alias: str) -> str:
+    return "(?iu)" + (rf"(?<![A-Za-z]){literal(alias)}(?![A-Za-z])" if alias.isascii() else literal(alias))
+
+
+def find_not_journals(text: Column, names: Sequence[str]) -> Column:
+    """Names in the text that are cited like journals: longest first, each match taken out of the text."""
+    state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("found"))
+    for name in sorted(names, key=len, reverse=True):
+        state = F.when(state["text"].rlike(_name(name)), F.struct(F.regexp_replace(state["text"], _name(name), " ").alias("text"), F.concat(state["found"], F.array(F.lit(name))).alias("found"))).otherwise(state)
+    return state["found"]
+
+
 def find_journals(text: Column, aliases: Mapping[str, Sequence[str]], not_journals: Sequence[str] = ()) -> Column:
     """Journal keys in the text: longest alias first, each match taken out of the text; Latin aliases need non-letters around."""
     start = text
     for other in sorted(not_journals, key=len, reverse=True):
-        start = F.regexp_replace(start, "(?iu)" + literal(other), " ")
+        start = F.regexp_replace(start, _name(other), " ")
     state = F.struct(start.alias("text"), F.array().cast("array<string>").alias("found"))
     for alias, key in sorted(((a, k) for k, names in aliases.items() for a in names), key=lambda x: (-len(x[0]), x[0])):
-        body = literal(alias)
-        regex = "(?iu)" + (rf"(?<![A-Za-z]){body}(?![A-Za-z])" if alias.isascii() else body)
+        regex = _name(alias)
         state = F.when(state["text"].rlike(regex), F.struct(F.regexp_replace(state["text"], regex, " ").alias("text"), F.array_union(state["found"], F.array(F.lit(key))).alias("found"))).otherwise(state)
     return state["found"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.functions.claims import MASK, ClaimCoder, advice_level
-from skein.functions.entities import find_journals
+from skein.functions.entities import find_journals, find_not_journals
 from skein.functions.lexicon import Lexicon
 from skein.functions.text import mask_terms, segment
 from skein.operators.tables import stratified, usable
@@ -17,13 +17,14 @@ from skein.operators.tables import stratified, usable
 SECTIONS = ("title", "lead", "body")
 
 
-def article_features(articles: DataFrame, lexicon: Lexicon, drugs: Sequence[str], outcomes: Sequence[str], journals: Mapping[str, Sequence[str]], own_journal: str = "") -> DataFrame:
-    """One narrow projection: the title is coded without the target gate, lead and rest with it; conditions are looked for
-    in masked text, caveats, advice and journals in the text as it stands."""
+def article_features(articles: DataFrame, lexicon: Lexicon, drugs: Sequence[str], outcomes: Sequence[str], journals: Mapping[str, Sequence[str]], own_journal: str = "", not_journals: Sequence[str] = ()) -> DataFrame:
+    """One narrow projection: the title is coded without the target gate, lead and rest with it; the body section is all
+    sentences, lead included; conditions, hedges, boosters and sensational words are looked for in masked text, caveats,
+    advice, attribution and journals in the text as it stands."""
     coder = ClaimCoder(lexicon)
     a = articles.withColumn("_s", segment(F.col("title"), F.col("body")))
     a = a.withColumns({"_leading": F.col("_s.lead"), "_trailing": F.col("_s.rest")})
-    joined = {"title": F.col("title"), "lead": F.array_join("_leading", " "), "body": F.array_join("_trailing", " ")}
+    joined = {"title": F.col("title"), "lead": F.array_join("_leading", " "), "body": F.array_join(F.concat("_leading", "_trailing"), " ")}
     masked = {k: mask_terms(v, drugs, MASK) for k, v in joined.items()}
     units = {"title": coder.code(F.col("title"), drugs, outcomes, require_target=False), "lead": coder.unit(F.col("_leading"), drugs, outcomes), "body_max": coder.unit(F.col("_trailing"), drugs, outcomes)}
     out: dict[str, Column] = {"body_len": F.length("body"), "n_sentences": F.size("_leading") + F.size("_trailing")}
@@ -31,6 +32,8 @@ def article_features(articles: DataFrame, lexicon: Lexicon, drugs: Sequence[str]
     for k in units:
         u = F.col(f"_{k}")
         out |= {f"auto_{k}_strength": F.coalesce(u["level"], F.lit(0)), f"auto_{k}_cues": text.ordered_join(F.coalesce(u["cues"], F.array().cast("array<string>"))), f"auto_{k}_direction": F.coalesce(u["direction"], F.lit(""))}
+    directions = [F.nullif(F.col(f"_{k}")["direction"], F.lit("")) for k in units]
+    out |= {"lead": joined["lead"], "auto_direction": F.coalesce(*directions, F.lit("")), "auto_body_max_sentence": F.coalesce(F.substring(F.col("_body_max")["sentence"], 1, 200), F.lit(""))}
     out |= {"auto_title_question": F.contains("title", F.lit("?")).cast("int"), "auto_title_quoted": text.is_quoted(F.col("title")).cast("int")}
     for k in lexicon.subkeys("conditions"):
         for s in SECTIONS:
@@ -38,15 +41,21 @@ def article_features(articles: DataFrame, lexicon: Lexicon, drugs: Sequence[str]
             out[f"auto_cond_{s}_{k}_cues"] = text.ordered_join(lexicon.texts(masked[s], "conditions", k))
     for k in ("hedges", "boosters", "sensational"):
         for s in SECTIONS:
-            out[f"n_{k}_{s}"] = lexicon.count(joined[s], k) if k in lexicon.sections else F.lit(0)
+            out[f"n_{k}_{s}"] = lexicon.count(masked[s], k) if k in lexicon.sections else F.lit(0)
+        out[f"{k}_title_cues"] = F.array_join(lexicon.texts(masked["title"], k), "; ") if k in lexicon.sections else F.lit("")
     if "caveats" in lexicon.sections:
         found = F.filter(F.concat("_leading", "_trailing"), lambda s: lexicon.any_(s, "caveats"))
         out |= {"auto_caveat": (F.size(found) > 0).cast("int"), "auto_caveat_text": F.array_join(F.transform(F.slice(found, 1, 3), lambda s: F.substring(s, 1, 160)), " || ")}
     if "advice" in lexicon.sections:
-        out["auto_advice"] = advice_level(lexicon, F.concat_ws(" ", "title", joined["lead"], joined["body"]))
-    cited = find_journals(F.concat_ws(" ", "title", "body"), journals)
-    out |= {"journals_mentioned": F.array_join(cited, ";"), "auto_journal_match": F.when(F.size(cited) > 0, F.array_contains(cited, own_journal).cast("int"))}
-    return coded.select(*[c for c in ("article_id", "bundle_id", "outlet", "outlet_type", "title") if c in articles.columns], *[v.alias(k) for k, v in out.items()])
+        said = F.concat_ws(" ", "title", joined["body"])
+        level = advice_level(lexicon, said)
+        cues = F.coalesce(*[F.when(level == k, F.array_join(F.array_distinct(lexicon.texts(said, "advice", str(k))), "; ")) for k in (3, 2, 1) if lexicon.entries("advice", str(k))], F.lit(""))
+        out |= {"auto_advice": level, "auto_advice_cues": cues}
+    full = F.concat_ws(" ", "title", "body")
+    cited, others = find_journals(full, journals, not_journals), find_not_journals(full, not_journals)
+    out |= {"journals_mentioned": F.array_join(cited, ";"), "non_journal_sources": F.array_join(others, "; "), "auto_journal_match": F.when((F.size(cited) > 0) | (F.size(others) > 0), F.array_contains(cited, own_journal).cast("int"))}
+    out["n_attribution"] = lexicon.count(full, "attribution") if "attribution" in lexicon.sections else F.lit(0)
+    return coded.select(*[c for c in ("article_id", "bundle_id", "outlet", "outlet_type", "published", "url", "title") if c in articles.columns], *[v.alias(k) for k, v in out.items()])
 
 
 def precode(articles: DataFrame, text_bad: DataFrame, excluded: DataFrame, most: int, **options) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.functions import entities, text
 from skein.functions.claims import ClaimCoder, advice_level, condition_map
 from skein.functions.lexicon import Lexicon
-from skein.operators import agreement, mining, stats, tables
+from skein.operators import agreement, features, mining, stats, tables
 from skein.operators import feasibility as feasible
 from skein.sources import readers
 
@@ -270,6 +270,15 @@ def features_wide(spark, sf):
     return a.select("article_id", "bundle_id", F.length("body").cast("long").alias("body_len"), level(F.col("title")).alias("auto_title_strength"), F.contains("title", F.lit("?")).alias("auto_title_question"), text.is_quoted(F.col("title")).alias("auto_title_quoted"), *[F.element_at(c, F.lit(k)).alias(f"auto_cond_{n}_{k}") for c, n in (("t", "title"), ("b", "body")) for k in _KEYS])
 
 
+FEATURE_LEXICON = Lexicon(LEXICON.sections | {"hedges": ["may", "pero"], "boosters": ["very", "sehr"], "sensational": ["!!!"], "caveats": ["but", "aber"], "attribution": ["said", "dijo"]})
+
+
+@query()
+def article_features(spark, sf):
+    """The whole feature row of every document; SQL has no segmentation or cue windows."""
+    return features.article_features(articles(spark, sf), FEATURE_LEXICON, DRUGS, OUTCOMES, {"one": ["the"], "two": ["with the"]}, "one", ["of the"])
+
+
 @query(r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS v FROM pages), p AS (SELECT page_id, regexp_extract(v, '^([^:]+)://', 1) AS scheme, lower(regexp_extract(v, '^[^:]+://([^/?]*)', 1)) AS host,
   regexp_replace(regexp_extract(v, '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(v, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|fbclid|from)=')) AS q FROM u)
   SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p""")

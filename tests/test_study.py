@@ -106,3 +106,21 @@ def test_written_figures(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     names = report.write_figures(catalog.coded(spark, tables), catalog.condition_summary(spark, tables), str(tmp_path), 50)
     assert names == ["condition_retention", "outlet_rates", "strength_ladder"] and all((tmp_path / f"{n}.svg").read_text().startswith("<svg") for n in names)
+
+
+def test_article_features_of_the_whole_body(spark):
+    lex = Lexicon({"causal": ["causes"], "negation": [], "may": [], "can": [], "up": ["higher"], "down": ["lower"], "conditions": {"dose": ["daily"]}, "hedges": ["perhaps"], "boosters": ["surely"], "sensational": ["shock"], "advice": {"3": ["ask your doctor"], "2": [], "1": []}, "attribution": ["said"]})
+    body = "Drugx causes lower risk daily, perhaps.\nSurely a shock, they said. Ask your doctor."
+    rows = spark.createDataFrame([("a", "b", "Title", body), ("c", "b", "Title", "Drugx daily. Two said. Three from Old Gazette in signatures said.")], "article_id string, bundle_id string, title string, body string")
+    got = {r.article_id: r for r in features.article_features(rows, lex, ["drugx", "perhaps not"], ["risk"], {"nature": ["nature"]}, "nature", ["Old Gazette", "Gazette"]).collect()}
+    a, c = got["a"], got["c"]
+    assert (a.auto_cond_lead_dose, a.auto_cond_body_dose, a.n_hedges_lead, a.n_hedges_body, a.n_boosters_body, a.n_sensational_body) == (1,) * 6
+    assert (a.auto_direction, a.n_attribution, a.auto_advice, a.auto_advice_cues, a.non_journal_sources, a.auto_journal_match) == ("decrease", 1, 3, "Ask your doctor", "", None)
+    assert (c.auto_direction, c.n_attribution, c.auto_cond_body_dose, c.non_journal_sources, c.journals_mentioned, c.auto_journal_match) == ("", 2, 1, "Old Gazette", "", 0)
+
+
+def test_article_features_query_has_every_document(spark):
+    rows = catalog.QUERIES["article_features"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    missed = [c for c in rows.columns if c.startswith("auto_cond_lead_") and not c.endswith("_cues")]
+    assert len(missed) == 4 and all(rows.filter(f"{c} > {c.replace('lead', 'body')}").isEmpty() for c in missed)
