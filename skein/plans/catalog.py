@@ -543,7 +543,7 @@ def pmi(spark, sf):
 @query()
 def lda_topics(spark, sf):
     d = table(spark, sf, "documents").select("text", text.tokens(F.col("text")).alias("tokens"))
-    return mining.lda_topics(d, "tokens", "text", 3, 8).select("topic", "share", "terms")
+    return mining.lda_topics(d, "tokens", "text").select("topic", "share", "terms")
 
 
 @query()

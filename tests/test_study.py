@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from skein.functions.lexicon import KOREAN, Lexicon
-from skein.operators import features, papers
+from skein.operators import features, mining, papers
 from skein.plans import catalog, report
 from skein.sources import demo, policy, readers
 
@@ -124,3 +124,15 @@ def test_article_features_query_has_every_document(spark):
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     missed = [c for c in rows.columns if c.startswith("auto_cond_lead_") and not c.endswith("_cues")]
     assert len(missed) == 4 and all(rows.filter(f"{c} > {c.replace('lead', 'body')}").isEmpty() for c in missed)
+
+
+def test_topics_know_every_term(spark):
+    terms = 270_000  # more than the vectorizer's default vocabulary
+    rows = spark.range(3 * terms).select((F.col("id") % 108).alias("d"), F.concat(F.lit("t"), F.floor(F.col("id") / 3)).alias("t"))
+    docs = rows.groupBy("d").agg(F.collect_list("t").alias("tokens"))
+    assert len(mining.count_vectors(docs, "tokens").vocabulary) == terms
+
+
+def test_topics_query_has_the_defaults(spark):
+    rows = catalog.QUERIES["lda_topics"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 5 and all(len(r.terms.split(", ")) == 10 for r in rows)
