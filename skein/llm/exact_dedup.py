@@ -135,8 +135,8 @@ def find_copies(docs: DataFrame, moduli=MODULI, most_broadcast: int = 4_000_000)
             packed = classes.select(F.shiftleft("h1", 31).bitwiseXOR(F.col("h2")).alias("k")).toArrow().column("k").to_numpy()
             chunks = _chunks(docs, moduli, np.unique(packed))
         else:
-            wanted = rows.join(classes.select(*key), key, "left_semi").select("doc_id").distinct()
-            chunks = _chunks(docs.join(wanted, "doc_id", "left_semi"), moduli, None)
+            wanted = rows.join(classes.select(*key), key, "left_semi").select(F.col("doc_id").alias("_wanted")).distinct()
+            chunks = _chunks(docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(F.col("_wanted")), "left_semi"), moduli, None)
         compared = chunks.groupBy(*key, "chunk_no").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
         mixed = materialize(compared.filter("lo <> hi").select(*key).distinct(), "mixed")
         if mixed.count():

@@ -226,3 +226,17 @@ def test_added_tokens_in_texts(spark):
     got = {r.doc_id: r for r in dac.roundtrip(frame).collect()}
     for k, ids in enumerate(want):
         assert got[k].n_tokens == len(ids) + 1 and got[k].ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
+
+
+def test_exact_dedup_compares_rows_without_id_by_a_join(spark):
+    texts = [f"text {k:03d}" for k in range(80)]
+    rows = [(k if k % 4 == 0 else None, t) for k, t in enumerate(texts)] + [(None, texts[5]), (900, texts[7])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (4_000_000, 0):
+        got = exact_dedup.find_copies(frame, ((7, 3), (5, 2)), most).collect()
+        digests = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+        assert len(got) == len(rows)
+        for r in got:
+            text = digests[r.text_sha256]
+            assert r.group_size == (2 if text in (texts[5], texts[7]) else 1)
+            assert r.keep_id == max((d for d, t in rows if t == text and d is not None), default=None)
