@@ -40,8 +40,21 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_points_without_the_corpus_subpackage(tmp_path):
-    shutil.copytree(ROOT / "skein", tmp_path / "skein", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and len(q) > 50 and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+@pytest.mark.parametrize("also_gone", [(), ("corpus_pipeline.py",)])
+def test_entry_points_without_the_corpus_subpackage(tmp_path, also_gone):
+    """The whole repository without the two folders, and without the pipeline's module."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.pyc"))
+    for folder in ("skein/llm", "tests/llm"):
+        shutil.rmtree(copy / folder)
+    for name in also_gone:
+        (copy / name).unlink()
+    code = "import __spark_entry__ as e, bench; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op1_') for n in q) and len(q) > 50 and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_the_subpackage_without_the_pipeline(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.pyc", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and any(n.startswith('op1_') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
