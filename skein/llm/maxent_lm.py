@@ -1,17 +1,23 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). Frequent words are classes of their own; other words' classes
-come from their endings, so every word has one. The class factor is a softmax over hashed features of the two classes
-before: each alone (n-gram and skip) and both together. The word factor has a bias per word only, for which maximum
-likelihood is the smoothed relative frequency; each class keeps one place for words that were not in training.
-
-What is learned comes from all training rows: word counts by a shuffle that grows with the vocabulary, and counts of
-class triples, which stay bounded. Weights are fitted by rounds of gradient sums over the distributed contexts. Counts of
-the most frequent words (a bounded list) are broadcast; all others reach their documents by a join.
+P(word | history) is a product of softmaxes over nested classes. The most frequent words (a bounded list), the end of a
+text and one rest per kind of ending are leaves, in the order of their spelling from behind. They are cut into RADIX
+classes of near-equal mass, each of those again, until every leaf is alone, so each factor's normaliser is RADIX wide. A
+factor's logits are its classes' log shares plus the weights that its hashed features hit: the word before (n-gram), the
+word before that (skip), both words, and the classes of both. The number of weights grows with the training tokens, up
+to a bound. Words that are no leaf share their ending's rest in proportion to their smoothed counts; each rest keeps one
+place for words that were not in training.
+
+What is learned comes from all training rows: word counts by a shuffle that grows with the vocabulary, and weights by
+rounds of gradient updates. The rounds take disjoint, growing parts of the rows, so every training row is used once. A
+round's tasks walk over their rows in small batches from the broadcast weights on; their moves are averaged feature by
+feature, weighted by how often each task met it. Counts of the frequent words are broadcast with the weights; all others
+reach their documents by a join.
 
 Defined results: a null text is empty and has the end token only; a row with a null doc_id is in training; rows with
-the same doc_id and text count as often as they are there; without training rows all scores are 0; an empty table
-gives an empty result.
+the same doc_id and text count as often as they are there; very long texts are walked in batches like others; without
+training rows all scores are 0; an empty table gives an empty result; other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -26,16 +32,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER_TABLE, materialize, row_blocks, strings, text_buffers
-
-SINGLES, ENDINGS = 64, 60
-#: 0 is the place before a text, 1 the end token, then single words, endings and three kinds of other words.
-START, END, FIRST_SINGLE = 0, 1, 2
-CLASSES = FIRST_SINGLE + SINGLES + ENDINGS + 3
-BUCKETS = 2048
-ROWS = 1 + 2 * CLASSES + BUCKETS
+from skein.llm.common import LOWER_TABLE, materialize, release_memory, row_blocks, spans, strings, text_buffers
+
+RADIX = 16
+#: Leaves: the end of a text, the rests of this many endings and of three kinds of others, then words.
+END, ENDINGS = 0, 60
+RESTS = ENDINGS + 3
+FIRST_WORD = 1 + RESTS
+FEATURES = 4
+#: Weights are kept and summed in blocks of this many rows of RADIX.
+BLOCK_ROWS = 4096
+#: Rounds take the rows whose hash modulo the last of these lies between one and the next.
+ROUNDS = (0, 1, 4, 16)
+BATCH_TOKENS = 1 << 13
 SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
+MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 def held_out():
@@ -65,173 +77,256 @@ def endings(distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pc.binary_join_element_wise(marks, pc.utf8_slice_codeunits(core, -2), pa.scalar("", core.type)), kind
 
 
-@dataclass
-class Classes:
-    singles: list[str]
-    endings: list[str]
-
-    def of(self, distinct: pa.Array) -> np.ndarray:
-        ending, kind = endings(distinct)
-        single = pc.fill_null(pc.index_in(distinct, value_set=pa.array(self.singles, distinct.type)), -1).to_numpy()
-        known = pc.fill_null(pc.index_in(ending, value_set=pa.array(self.endings, ending.type)), -1).to_numpy()
-        return np.where(single >= 0, FIRST_SINGLE + single, np.where(known >= 0, FIRST_SINGLE + SINGLES + known, FIRST_SINGLE + SINGLES + ENDINGS + kind)).astype(np.int64)
+def rests(distinct: pa.Array, known: list[str]) -> np.ndarray:
+    """The leaf of the rest that each word would belong to."""
+    ending, kind = endings(distinct)
+    at = pc.fill_null(pc.index_in(ending, value_set=pa.array(known, ending.type)), -1).to_numpy()
+    return np.where(at >= 0, 1 + at, 1 + ENDINGS + kind).astype(np.int64)
 
 
 @dataclass
-class Model:
-    classes: Classes
-    weights: np.ndarray
-    class_mass: np.ndarray
-    class_types: np.ndarray
-    train_tokens: int
-    types: int
-    head: list[str]
-    head_counts: np.ndarray
-
-
-def sequences(word_classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all tokens with each text's end token, and the texts' bounds."""
+class Tree:
+    """For leaf i its decisions: nodes[starts[i]:starts[i+1]] and the class taken in each; bias[node, class]: log shares; group: the first two classes."""
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    digits: np.ndarray
+    bias: np.ndarray
+    group: np.ndarray
+
+
+def build_tree(order: np.ndarray, mass: np.ndarray) -> Tree:
+    """Cuts the leaves, in the given order, into RADIX runs of near-equal mass, and each run again."""
+    n = len(order)
+    total = np.concatenate([[0.0], np.cumsum(mass[order])])
+    levels, bias, todo = [], [], [(0, n, 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo <= RADIX:
+            cuts = np.arange(lo, hi + 1)
+        else:
+            goals = total[lo] + (total[hi] - total[lo]) * np.arange(1, RADIX) / RADIX
+            cuts = np.unique(np.concatenate([[lo], np.clip(np.searchsorted(total, goals, "right"), lo + 1, hi - 1), [hi]]))
+        if depth == len(levels):
+            levels.append((np.full(n, -1, np.int64), np.zeros(n, np.uint8)))
+        node, digit = levels[depth]
+        node[lo:hi] = len(bias)
+        digit[lo:hi] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        shares = np.full(RADIX, -30.0, np.float32)
+        shares[: len(cuts) - 1] = np.log(np.diff(total[cuts]) / (total[hi] - total[lo]))
+        bias.append(shares)
+        todo += [(a, b, depth + 1) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+    nodes, digits = np.stack([x for x, _ in levels], 1), np.stack([x for _, x in levels], 1)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    nodes, digits = nodes[place], digits[place]
+    used = nodes >= 0
+    second = digits[:, 1].astype(np.int64) if digits.shape[1] > 1 else 0
+    group = np.append(digits[:, 0].astype(np.int64) * RADIX + second, RADIX * RADIX)  # the last is the place before a text
+    return Tree(np.concatenate([[0], np.cumsum(used.sum(1))]), nodes[used].astype(np.int32), digits[used], np.array(bias, np.float32).reshape(-1, RADIX), group)
+
+
+def sequences(word_leaves: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaves of all tokens with each text's end token, and the texts' bounds."""
     at = bounds + np.arange(len(bounds))
     out = np.full(int(at[-1]), END, np.int64)
     inside = np.ones(len(out), bool)
     inside[at[1:] - 1] = False
-    out[inside] = word_classes
+    out[inside] = word_leaves
     return out, at
 
 
-def contexts(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(class two before) * CLASSES + (class before) of each token."""
-    one, two = np.concatenate([[START], tokens[:-1]]), np.concatenate([[START, START], tokens[:-2]])[: len(tokens)]
-    one[at[:-1]] = START
-    two[at[:-1]] = START
+def contexts(tokens: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves one and two before each token; start stands for the place before a text."""
+    one, two = np.concatenate([[start], tokens[:-1]]), np.concatenate([[start, start], tokens[:-2]])[: len(tokens)]
+    one[at[:-1]] = start
+    two[at[:-1]] = start
     second = at[:-1] + 1
-    two[second[second < at[1:]]] = START
-    return two * CLASSES + one
-
-
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """The rows of the weights that a context's features hash to: bias, class before, class two before (skip), both."""
-    two, one = np.divmod(context, CLASSES)
-    both = (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)).astype(np.int64)
-    return np.stack([np.zeros_like(one), 1 + one, 1 + CLASSES + two, 1 + 2 * CLASSES + both], 1)
-
-
-def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        logits = logits + weights[rows[:, k]]
-    logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    two[second[second < at[1:]]] = start
+    return one, two
+
+
+def hashes(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """By feature and token: the word before, the word two before, both, the classes of both."""
+    keys = (one, two, one * len(group) + two, group[one] * (RADIX * RADIX + 1) + group[two])
+    return np.stack([(k.astype(np.uint64) * np.uint64(FEATURES) + np.uint64(i)) * MIX[0] for i, k in enumerate(keys)])
+
+
+def factors(tree: Tree, weights: np.ndarray, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions that make up some tokens: which token, the class taken, the rows of weights by feature, and all classes' probabilities."""
+    first = tree.starts[tokens]
+    lengths = tree.starts[tokens + 1] - first
+    place = spans(first, lengths)
+    token = np.repeat(np.arange(len(tokens)), lengths)
+    node = tree.nodes[place]
+    shift = np.uint64(64 - (len(weights).bit_length() - 1))
+    own = (node.astype(np.uint64) + np.uint64(1)) * MIX[1]
+    rows = ((hashes(one, two, tree.group)[:, token] ^ own) * MIX[2] >> shift).astype(np.int64)
+    logits = np.empty((len(node), RADIX), np.float32)  # numpy's own dtype object: add.at is many times slower with an unpickled one
+    np.take(tree.bias, node, 0, logits, "clip")
+    for k in range(FEATURES):
+        logits += weights[rows[k]]
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return token, tree.digits[place], rows, logits
+
+
+def walk(tree: Tree, weights: np.ndarray, met: np.ndarray, tokens: np.ndarray, at: np.ndarray, rate: float = 1.0) -> float:
+    """Moves the weights along the gradient of the tokens' log likelihood, batch by batch, and counts in `met` how often each row was hit.
+
+    A row's step is the mean of its gradients in the batch, or their sum over a power of its hits so far where that is
+    less: frequent features settle within a few batches, rare ones move little. Gives the log likelihood that each
+    batch had before its move.
+    """
+    seen, (one, two), flat, wide = 0.0, contexts(tokens, at, len(tree.starts) - 1), weights.reshape(-1), np.arange(RADIX)
+    for low in range(0, len(tokens), BATCH_TOKENS):
+        some = slice(low, low + BATCH_TOKENS)
+        _, digit, rows, gradient = factors(tree, weights, tokens[some], one[some], two[some])
+        each = np.arange(len(digit))
+        seen += float(np.log(np.maximum(gradient[each, digit], 1e-30)).sum())
+        np.negative(gradient, out=gradient)
+        gradient[each, digit] += 1
+        for hit in rows:
+            before = met[hit]
+            np.add.at(met, hit, np.float32(1))
+            after = met[hit]
+            step = rate / np.maximum(after - before, (after + 3) ** np.float32(0.8))
+            np.add.at(flat, (hit[:, None] * RADIX + wide).ravel(), (gradient * step[:, None]).ravel())
+    return seen
+
+
+def log_probabilities(tree: Tree, weights: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log10 of each token's leaf given its history."""
+    out, (one, two) = np.empty(len(tokens)), contexts(tokens, at, len(tree.starts) - 1)
+    for low in range(0, len(tokens), BATCH_TOKENS):
+        some = slice(low, low + BATCH_TOKENS)
+        token, digit, _, p = factors(tree, weights, tokens[some], one[some], two[some])
+        taken = np.log10(np.maximum(p[np.arange(len(digit)), digit], 1e-30))
+        out[some] = np.bincount(token, taken, len(tokens[some]))
+    return out
 
 
-def gradient(weights: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """By feature row and class, sums over contexts of seen - expected and of expected counts; the log likelihood."""
-    rows = feature_rows(context)
-    logp = log_softmax(weights, rows)
-    expected = counts.sum(1, keepdims=True) * np.exp(logp)
-    g, e = np.zeros_like(weights, np.float64), np.zeros_like(weights, np.float64)
-    for k in range(rows.shape[1]):
-        np.add.at(g, rows[:, k], counts - expected)
-        np.add.at(e, rows[:, k], expected)
-    return g, e, float((counts * logp).sum())
+@dataclass
+class Model:
+    head: pa.Array
+    head_counts: np.ndarray
+    endings: list[str]
+    rest_mass: np.ndarray
+    rest_types: np.ndarray
+    tree: Tree
+    weights: np.ndarray
+    train_tokens: int
+    types: int
+    ends: int
+    #: By round: tokens, and the mean log10 likelihood of their leaves before each batch's move.
+    progress: list[tuple[int, float]]
 
+    def leaves(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's leaf, and its place in the head or -1."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.head), -1).to_numpy()
+        return np.where(at >= 0, FIRST_WORD + at, rests(distinct, self.endings)), at
 
-def fit_weights(table: DataFrame, shares: np.ndarray, rounds: int = 8, step: float = 0.5, prior: float = 2.0) -> np.ndarray:
-    """table: context, classes, ns; shares of the classes to start from.
 
-    Each round sums the gradient over the tasks and moves every weight by it over the larger of its seen and expected
-    counts plus a prior, so no weight moves by more than `step` and rare features hardly move.
-    """
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    weights[0] = np.log(shares)
-    weights[0, START] = -30.0
-    for _ in range(rounds):
-        shared = table.sparkSession.sparkContext.broadcast(weights)
+def fit_weights(docs: DataFrame, model: Model, most_rows: int = 1 << 20, tokens_a_row: int = 16, tokens_a_task: int = 1 << 25) -> None:
+    """Fits the model's weights on docs (doc_id, text) in ROUNDS; each row of docs is used in one of them."""
+    spark = docs.sparkSession
+    size = 1 << int(np.clip(int(model.train_tokens // tokens_a_row).bit_length(), 12, most_rows.bit_length() - 1))
+    weights = np.zeros((size, RADIX), np.float16)
+    block_rows = min(size, BLOCK_ROWS)
+    turn = F.pmod(F.xxhash64(F.lit("round"), "doc_id"), F.lit(ROUNDS[-1]))
+    for low, high in zip(ROUNDS[:-1], ROUNDS[1:]):
+        shared = spark.sparkContext.broadcast((model, weights))  # bounded by most_rows and the head
+        tokens = model.train_tokens * (high - low) // ROUNDS[-1]
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, tokens >> 20), tokens // tokens_a_task)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, e, seen = np.zeros((ROWS, CLASSES)), np.zeros((ROWS, CLASSES)), 0
+            model, start = shared.value
+            weights, met, seen, n = start.astype(np.float32), np.zeros(len(start), np.float32), 0.0, 0
+            for batch in row_blocks(batches, "text", BLOCK_BYTES):
+                distinct, places, bounds = words(*text_buffers(batch.column("text")))
+                tokens, at = sequences(model.leaves(distinct)[0][places], bounds)
+                seen, n = seen + walk(model.tree, weights, met, tokens, at), n + len(tokens)
+            for block in range(len(weights) // block_rows) if n else ():
+                some = slice(block * block_rows, (block + 1) * block_rows)
+                moved = (weights[some] - start[some]).astype("<f2")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([moved.tobytes()]), pa.array([met[some].tobytes()]), pa.array([seen if not block else 0.0]), pa.array([n if not block else 0])], ["block", "moved", "met", "seen", "n"])
+            release_memory()
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
             for batch in batches:
-                lists, ns = batch.column("classes"), batch.column("ns")
-                counts = np.zeros((batch.num_rows, CLASSES))
-                bounds = lists.offsets.to_numpy()
-                counts[np.repeat(np.arange(batch.num_rows), np.diff(bounds)), lists.flatten().to_numpy()] = ns.flatten().to_numpy()
-                some = gradient(shared.value, batch.column("context").to_numpy(), counts)
-                g, e, seen = g + some[0], e + some[1], seen + batch.num_rows
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([g.astype("<f4").tobytes()]), pa.array([e.astype("<f4").tobytes()])], ["g", "e"])
-
-        parts = table.mapInArrow(run, "g binary, e binary").toArrow()  # one model-sized row per task of a bounded table
-        g, e = (np.sum([np.frombuffer(x, "<f4").reshape(ROWS, CLASSES) for x in parts.column(c).to_pylist()] or [np.zeros((ROWS, CLASSES))], 0, dtype=np.float64) for c in ("g", "e"))
-        move = step * g / (np.maximum(g + e, e) + prior)
-        move[:, START] = 0
-        weights = (weights + move).astype(np.float32)
-        shared.unpersist()
-    return weights
-
-
-def fit(docs: DataFrame, most_head: int = 1 << 18) -> tuple[Model, DataFrame]:
+                for block, moved, met, seen, n in zip(*(c.to_pylist() for c in batch.columns)):
+                    one = sums.setdefault(block, [np.zeros((block_rows, RADIX), np.float32), np.zeros(block_rows, np.float32), 0.0, 0])
+                    hits = np.frombuffer(met, np.float32)
+                    one[0] += np.frombuffer(moved, "<f2").reshape(-1, RADIX) * hits[:, None]
+                    one[1] += hits
+                    one[2] += seen
+                    one[3] += n
+            for block, (moved, met, seen, n) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(moved / np.maximum(met, 1)[:, None]).astype("<f2").tobytes()]), pa.array([seen]), pa.array([n])], ["block", "moved", "seen", "n"])
+
+        mine = docs.filter((turn >= low) & (turn < high)).select("text").coalesce(tasks)
+        moves = mine.mapInArrow(run, "block int, moved binary, met binary, seen double, n long").repartition(min(size // block_rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block")
+        parts = moves.mapInArrow(merge, "block int, moved binary, seen double, n long").toArrow()  # as many numbers as weights
+        moved = weights.reshape(-1, block_rows, RADIX).astype(np.float32)
+        for block, move in zip(parts.column("block").to_pylist(), parts.column("moved").to_pylist()):
+            moved[block] += np.frombuffer(move, "<f2").reshape(block_rows, RADIX)
+        weights = moved.reshape(size, RADIX).astype(np.float16)
+        n = pc.sum(parts.column("n")).as_py() or 0
+        model.progress.append((n, (pc.sum(parts.column("seen")).as_py() or 0.0) / max(n, 1) / np.log(10)))
+        shared.destroy()
+    model.weights = weights
+
+
+def fit(docs: DataFrame, most_head: int = 1 << 18, **options) -> tuple[Model, DataFrame]:
     """The model, and the counts (token, n) of the words that are not in its head."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_blocks(batches, "text", BLOCK_BYTES):
             distinct, places, _ = words(*text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([distinct.cast(pa.string()), pa.array(np.bincount(places, minlength=len(distinct)).astype(np.int64))], ["token", "n"])
 
-    counts = materialize(docs.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    counts = materialize(docs.select("text").mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     ends = docs.count()
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("types")).first()
-    singles = [r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(SINGLES).select("token").collect()]
-
-    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ending, _ = endings(batch.column("token"))
-            coded = ending.dictionary_encode()
-            single = pc.is_in(batch.column("token"), value_set=pa.array(singles, pa.string())).to_numpy(zero_copy_only=False)
-            mass = np.bincount(coded.indices.to_numpy(), np.where(single, 0, batch.column("n").to_numpy()), len(coded.dictionary))
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(mass.astype(np.int64))], ["ending", "n"])
-
-    best = counts.mapInArrow(by_ending, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS)
-    classes = Classes(singles, [r["ending"] for r in best.collect()])
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = classes.of(batch.column("token"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(np.bincount(c, batch.column("n").to_numpy(), CLASSES).astype(np.int64)), pa.array(np.bincount(c, minlength=CLASSES).astype(np.int64))], ["c", "n", "types"])
-
-    mass, types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(by_class, "c long, n long, types long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
-        mass[r["c"]], types[r["c"]] = r["n"], r["types"]
 
     # the smallest count that leaves at most most_head words at or above it
     above, least = 0, 1
-    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).filter("k > 0").orderBy(F.desc("n")).limit(most_head).collect():
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).limit(most_head + 1).collect():
         if above + r["k"] > most_head:
             least = r["n"] + 1
             break
         above += r["k"]
-    head = counts.filter(F.col("n") >= least).toArrow()
+    head = counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
+    tail = counts.filter(F.col("n") < least)
 
-    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
-        for batch in row_blocks(batches, "text", BLOCK_BYTES):
-            distinct, places, bounds = words(*text_buffers(batch.column("text")))
-            tokens, at = sequences(classes.of(distinct)[places], bounds)
-            key, n = np.unique(contexts(tokens, at) * CLASSES + tokens, return_counts=True)
-            total[key] += n
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["key", "n"])
-
-    seen = docs.mapInArrow(triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # at most CLASSES entries for each of at most CLASSES ** 2 contexts, whatever the input
-    grouped = seen.groupBy(F.expr(f"key div {CLASSES}").alias("context")).agg(F.collect_list(F.struct((F.col("key") % CLASSES).alias("c"), "n")).alias("v"))
-    table = materialize(grouped.select("context", F.col("v.c").alias("classes"), F.col("v.n").alias("ns")).coalesce(4), "contexts")
-    shares = mass + 0.5
-    shares[END] += ends
-    weights = fit_weights(table, shares / shares.sum())
-    model = Model(classes, weights, mass, types, int(totals["n"]) + ends, int(totals["types"]) + (ends > 0), head.column("token").to_pylist(), head.column("n").to_numpy().astype(np.float64))
-    return model, counts.filter(F.col("n") < least)
+    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = endings(batch.column("token"))[0].dictionary_encode()
+            mass = np.bincount(coded.indices.to_numpy(), batch.column("n").to_numpy(), len(coded.dictionary))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(mass.astype(np.int64))], ["ending", "n"])
+
+    best = tail.mapInArrow(by_ending, "ending string, n long").groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(ENDINGS)
+    known = [r["ending"] for r in best.collect()]
+
+    def by_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = rests(batch.column("token"), known)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(FIRST_WORD)), pa.array(np.bincount(leaf, batch.column("n").to_numpy(), FIRST_WORD).astype(np.int64)), pa.array(np.bincount(leaf, minlength=FIRST_WORD).astype(np.int64))], ["leaf", "n", "types"])
+
+    mass, types = np.zeros(FIRST_WORD), np.zeros(FIRST_WORD)
+    for r in tail.mapInArrow(by_rest, "leaf long, n long, types long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
+        mass[r["leaf"]], types[r["leaf"]] = r["n"], r["types"]
+    names = pa.concat_arrays([pa.array([""] + [e[1:] for e in known] + [""] * (RESTS - len(known)), pa.large_string()), head.column("token").combine_chunks().cast(pa.large_string())])
+    leaf_mass = np.concatenate([mass + 0.5 * (types + 1), head.column("n").to_numpy().astype(float)])
+    leaf_mass[END] = ends + 0.5
+    tree = build_tree(pc.sort_indices(pa.table({"r": pc.utf8_reverse(names), "i": np.arange(len(names))}), [("r", "ascending"), ("i", "ascending")]).to_numpy().astype(np.int64), leaf_mass)
+    model = Model(names[FIRST_WORD:], leaf_mass[FIRST_WORD:], known, mass, types, tree, np.zeros((1, RADIX), np.float16), int(totals["n"]) + ends, int(totals["types"]) + (ends > 0), ends, [])
+    if ends:
+        fit_weights(docs, model, **options)
+    return model, tail
 
 
 ROW = "doc_id long, held_out boolean, h long, token string, times long, n_tokens long, n_known long, base double, score double"
@@ -243,28 +338,23 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        head = pa.array(model.head, pa.large_string())
-        log_class = np.log10(model.class_mass + 0.5 * (model.class_types + 1))
-        log_class[END] = 0.0
+        log_rest = np.log10(model.rest_mass + 0.5 * (model.rest_types + 1))
         log_head = np.log10(np.append(model.head_counts, 0) + 0.5)
-        ends = model.train_tokens - model.class_mass.sum()
+        names = [c.split()[0] for c in ROW.split(", ")]
+        sums = lambda values, bounds: np.diff(np.concatenate([[0.0], np.cumsum(values)])[bounds])
         for batch in row_blocks(batches, "text", BLOCK_BYTES):
             data, offsets = text_buffers(batch.column("text"))
             distinct, places, bounds = words(data, offsets)
-            classes = model.classes.of(distinct)
-            at_head = pc.fill_null(pc.index_in(distinct, value_set=head), -1).to_numpy()
+            leaves, at_head = model.leaves(distinct)
             known = at_head >= 0
-            log_count = np.where(known, log_head[at_head], 0.0)
-            tokens, at = sequences(classes[places], bounds)
-            distinct_contexts, inverse = np.unique(contexts(tokens, at), return_inverse=True)
-            logp = log_softmax(model.weights, feature_rows(distinct_contexts)) / np.log(10) if model.train_tokens else np.zeros((len(distinct_contexts), CLASSES))
-            sums = lambda values, bounds: np.diff(np.concatenate([[0.0], np.cumsum(values)])[bounds])
+            tokens, at = sequences(leaves[places], bounds)
             n = np.diff(at)
-            per_class = sums(logp[inverse, tokens], at)
-            counted = sums(log_count[places], bounds)
-            n_known = sums(known[places].astype(float), bounds).astype(np.int64) + (ends > 0)
-            base = counted + np.log10(ends + 0.5) - n * base_size
-            total = per_class + counted - sums(log_class[tokens], at) if model.train_tokens else np.zeros(len(n))
+            n_known = sums(known[places].astype(float), bounds).astype(np.int64) + (model.ends > 0)
+            base = sums(np.where(known, log_head[at_head], 0.0)[places], bounds) + np.log10(model.ends + 0.5) - n * base_size
+            if model.train_tokens:
+                total = sums(log_probabilities(model.tree, model.weights, tokens, at), at) - sums(np.where(known, 0.0, log_rest[leaves * ~known])[places], bounds)
+            else:
+                total = np.zeros(len(n))
             raw = data.tobytes()
             view = memoryview(raw)
             h = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.uint64).view(np.int64)
@@ -272,13 +362,13 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             zeros = np.zeros(len(n), np.int64)
             # a head row's token joins with nothing and is its own, so that head rows spread over the shuffle
             own = pa.array([f"\n{x}" for x in h.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, outs, pa.array(h), own, pa.array(zeros), pa.array(n), pa.array(n_known), pa.array(base), pa.array(total)], [c.split()[0] for c in ROW.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, outs, pa.array(h), own, pa.array(zeros), pa.array(n), pa.array(n_known), pa.array(base), pa.array(total)], names)
             rare = np.flatnonzero(~known[places])
             row = np.searchsorted(bounds, rare, "right") - 1
             pair, times = np.unique(row * max(1, len(distinct)) + places[rare], return_counts=True)
             row, place = np.divmod(pair, max(1, len(distinct)))
             zeros, nothing = np.zeros(len(row), np.int64), np.zeros(len(row))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), outs.take(pa.array(row)), pa.array(h[row]), distinct.take(pa.array(place)).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(zeros), pa.array(zeros), pa.array(nothing), pa.array(nothing)], [c.split()[0] for c in ROW.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), outs.take(pa.array(row)), pa.array(h[row]), distinct.take(pa.array(place)).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(zeros), pa.array(zeros), pa.array(nothing), pa.array(nothing)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
     joined = rows.join(tail, "token", "left")
