@@ -4,7 +4,7 @@ P(word | history) is a product of softmaxes over nested classes. The most freque
 text and one rest per kind of ending are leaves, in the order of their spelling from behind. They are cut into RADIX
 classes of near-equal mass, each of those again, until every leaf is alone, so each factor's normaliser is RADIX wide. A
 factor's logits are its classes' log shares plus the weights that its hashed features hit: the word before (n-gram), the
-word before that (skip), both words, and the classes of both. The number of weights grows with the training tokens, up
+word before that (skip), and the classes of both. The number of weights grows with the training tokens, up
 to a bound. Words that are no leaf share their ending's rest in proportion to their smoothed counts; each rest keeps one
 place for words that were not in training.
 
@@ -34,17 +34,19 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import LOWER_TABLE, materialize, release_memory, row_blocks, spans, strings, text_buffers
 
-RADIX = 16
+RADIX = 8
 #: Leaves: the end of a text, the rests of this many endings and of three kinds of others, then words.
 END, ENDINGS = 0, 60
 RESTS = ENDINGS + 3
 FIRST_WORD = 1 + RESTS
-FEATURES = 4
+FEATURES = 3
 #: Weights are kept and summed in blocks of this many rows of RADIX.
 BLOCK_ROWS = 4096
 #: Rounds take the rows whose hash modulo the last of these lies between one and the next.
 ROUNDS = (0, 1, 4, 16)
-BATCH_TOKENS = 1 << 13
+BATCH_TOKENS = 1 << 12
+#: Odds are kept from running over; weights come nowhere near it.
+MOST_LOGIT = np.float32(40)
 SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 BLOCK_BYTES = 1 << 22
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -147,52 +149,61 @@ def contexts(tokens: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray
 
 
 def hashes(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """By feature and token: the word before, the word two before, both, the classes of both."""
-    keys = (one, two, one * len(group) + two, group[one] * (RADIX * RADIX + 1) + group[two])
+    """By feature and token: the word before, the word two before (skip), the classes of both."""
+    keys = (one, two, group[one] * (RADIX * RADIX + 1) + group[two])
     return np.stack([(k.astype(np.uint64) * np.uint64(FEATURES) + np.uint64(i)) * MIX[0] for i, k in enumerate(keys)])
 
 
-def factors(tree: Tree, weights: np.ndarray, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions that make up some tokens: which token, the class taken, the rows of weights by feature, and all classes' probabilities."""
+def factors(tree: Tree, weights: np.ndarray, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions that make up some tokens: which token, the class taken, the rows of weights by feature, all classes' odds and their sums."""
     first = tree.starts[tokens]
     lengths = tree.starts[tokens + 1] - first
     place = spans(first, lengths)
     token = np.repeat(np.arange(len(tokens)), lengths)
     node = tree.nodes[place]
     shift = np.uint64(64 - (len(weights).bit_length() - 1))
-    own = (node.astype(np.uint64) + np.uint64(1)) * MIX[1]
-    rows = ((hashes(one, two, tree.group)[:, token] ^ own) * MIX[2] >> shift).astype(np.int64)
+    rows = hashes(one, two, tree.group)[:, token]
+    rows ^= ((node.astype(np.uint64) + np.uint64(1)) * MIX[1])
+    rows *= MIX[2]
+    rows >>= shift
+    rows = rows.view(np.int64)
     logits = np.empty((len(node), RADIX), np.float32)  # numpy's own dtype object: add.at is many times slower with an unpickled one
     np.take(tree.bias, node, 0, logits, "clip")
-    for k in range(FEATURES):
-        logits += weights[rows[k]]
-    logits -= logits.max(1, keepdims=True)
+    some = np.empty((len(node), RADIX), weights.dtype)
+    for hit in rows:
+        np.take(weights, hit, 0, some, "clip")
+        logits += some
+    np.minimum(logits, MOST_LOGIT, out=logits)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return token, tree.digits[place], rows, logits
+    return token, tree.digits[place], rows, logits, logits @ np.ones(RADIX, np.float32)
 
 
 def walk(tree: Tree, weights: np.ndarray, met: np.ndarray, tokens: np.ndarray, at: np.ndarray, rate: float = 1.0) -> float:
     """Moves the weights along the gradient of the tokens' log likelihood, batch by batch, and counts in `met` how often each row was hit.
 
-    A row's step is the mean of its gradients in the batch, or their sum over a power of its hits so far where that is
-    less: frequent features settle within a few batches, rare ones move little. Gives the log likelihood that each
+    A row's step is the mean of its gradients in the batch, or their sum over its hits so far to the power 3/4 where that
+    is less: frequent features settle within a few batches, rare ones move little. Gives the log likelihood that each
     batch had before its move.
     """
     seen, (one, two), flat, wide = 0.0, contexts(tokens, at, len(tree.starts) - 1), weights.reshape(-1), np.arange(RADIX)
     for low in range(0, len(tokens), BATCH_TOKENS):
         some = slice(low, low + BATCH_TOKENS)
-        _, digit, rows, gradient = factors(tree, weights, tokens[some], one[some], two[some])
+        _, digit, rows, gradient, total = factors(tree, weights, tokens[some], one[some], two[some])
         each = np.arange(len(digit))
-        seen += float(np.log(np.maximum(gradient[each, digit], 1e-30)).sum())
-        np.negative(gradient, out=gradient)
+        seen += float(np.log(np.maximum(gradient[each, digit] / total, 1e-30)).sum())
+        gradient *= (-1 / total)[:, None]
         gradient[each, digit] += 1
+        moves, places = np.empty_like(gradient), np.empty(gradient.shape, np.int64)
         for hit in rows:
             before = met[hit]
             np.add.at(met, hit, np.float32(1))
             after = met[hit]
-            step = rate / np.maximum(after - before, (after + 3) ** np.float32(0.8))
-            np.add.at(flat, (hit[:, None] * RADIX + wide).ravel(), (gradient * step[:, None]).ravel())
+            slow = np.sqrt(after + np.float32(16))
+            slow *= np.sqrt(slow)
+            step = np.float32(rate) / np.maximum(after - before, slow)
+            np.multiply(gradient, step[:, None], out=moves)
+            np.add((hit * RADIX)[:, None], wide, out=places)
+            np.add.at(flat, places.reshape(-1), moves.reshape(-1))
     return seen
 
 
@@ -201,8 +212,8 @@ def log_probabilities(tree: Tree, weights: np.ndarray, tokens: np.ndarray, at: n
     out, (one, two) = np.empty(len(tokens)), contexts(tokens, at, len(tree.starts) - 1)
     for low in range(0, len(tokens), BATCH_TOKENS):
         some = slice(low, low + BATCH_TOKENS)
-        token, digit, _, p = factors(tree, weights, tokens[some], one[some], two[some])
-        taken = np.log10(np.maximum(p[np.arange(len(digit)), digit], 1e-30))
+        token, digit, _, odds, total = factors(tree, weights, tokens[some], one[some], two[some])
+        taken = np.log10(np.maximum(odds[np.arange(len(digit)), digit] / total, 1e-30))
         out[some] = np.bincount(token, taken, len(tokens[some]))
     return out
 
@@ -228,7 +239,7 @@ class Model:
         return np.where(at >= 0, FIRST_WORD + at, rests(distinct, self.endings)), at
 
 
-def fit_weights(docs: DataFrame, model: Model, most_rows: int = 1 << 20, tokens_a_row: int = 16, tokens_a_task: int = 1 << 25) -> None:
+def fit_weights(docs: DataFrame, model: Model, most_rows: int = 1 << 20, tokens_a_row: int = 4, tokens_a_task: int = 1 << 25) -> None:
     """Fits the model's weights on docs (doc_id, text) in ROUNDS; each row of docs is used in one of them."""
     spark = docs.sparkSession
     size = 1 << int(np.clip(int(model.train_tokens // tokens_a_row).bit_length(), 12, most_rows.bit_length() - 1))
@@ -338,6 +349,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        weights = model.weights.astype(np.float32)
         log_rest = np.log10(model.rest_mass + 0.5 * (model.rest_types + 1))
         log_head = np.log10(np.append(model.head_counts, 0) + 0.5)
         names = [c.split()[0] for c in ROW.split(", ")]
@@ -352,7 +364,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             n_known = sums(known[places].astype(float), bounds).astype(np.int64) + (model.ends > 0)
             base = sums(np.where(known, log_head[at_head], 0.0)[places], bounds) + np.log10(model.ends + 0.5) - n * base_size
             if model.train_tokens:
-                total = sums(log_probabilities(model.tree, model.weights, tokens, at), at) - sums(np.where(known, 0.0, log_rest[leaves * ~known])[places], bounds)
+                total = sums(log_probabilities(model.tree, weights, tokens, at), at) - sums(np.where(known, 0.0, log_rest[leaves * ~known])[places], bounds)
             else:
                 total = np.zeros(len(n))
             raw = data.tobytes()

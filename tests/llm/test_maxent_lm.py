@@ -29,8 +29,8 @@ def mixed(*parts):
 
 def leaf_log10(model, leaf, one, two):
     """log10 of a leaf's probability after the leaves one and two before it, decision by decision."""
-    tree, bits, start = model.tree, len(model.weights).bit_length() - 1, len(model.tree.starts) - 1
-    keys = (one, two, one * (start + 1) + two, int(tree.group[one]) * (lm.RADIX**2 + 1) + int(tree.group[two]))
+    tree, bits = model.tree, len(model.weights).bit_length() - 1
+    keys = (one, two, int(tree.group[one]) * (lm.RADIX**2 + 1) + int(tree.group[two]))
     out = 0.0
     for at in range(tree.starts[leaf], tree.starts[leaf + 1]):
         node = int(tree.nodes[at])
@@ -124,8 +124,8 @@ def test_model_is_normalised_and_better_than_the_base(spark):
     for one, two in ((leaves, leaves), (lm.FIRST_WORD, lm.FIRST_WORD + 3), (lm.FIRST_WORD + 40, 2)):
         p = [leaf_log10(model, leaf, one, two) for leaf in range(leaves)] if leaves < 3000 else None
         every = np.arange(leaves)
-        token, digit, _, q = lm.factors(model.tree, model.weights, every, np.full(leaves, one), np.full(leaves, two))
-        logs = np.bincount(token, np.log10(q[np.arange(len(digit)), digit]), leaves)
+        token, digit, _, odds, total = lm.factors(model.tree, model.weights, every, np.full(leaves, one), np.full(leaves, two))
+        logs = np.bincount(token, np.log10(odds[np.arange(len(digit)), digit] / total), leaves)
         assert abs((10**logs).sum() - 1) < 1e-3 and (p is None or np.allclose(p, logs, atol=1e-3))
     rows = [r for r in lm.score(docs, model, tail).collect() if r.held_out]
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
