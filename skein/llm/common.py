@@ -56,6 +56,39 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def valid_text(name: str = "text"):
+    """The column as a string; bytes that are no UTF-8 become U+FFFD, as they would in any decoder."""
+    return F.make_valid_utf8(F.col(name).cast("string"))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of df is called so, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def heavy_keys(left: DataFrame, key: list[str], least: int = 10_000, most_keys: int = 100_000) -> DataFrame:
+    """The keys that over `least` rows have (more where over most_keys keys could): counted before they are shuffled, and at most most_keys."""
+    least = max(least, left.count() // most_keys)
+    return materialize(left.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*key), "heavy")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
+    """left joined (inner or left) with right, which has one row per key, by columns without nulls.
+
+    Rows of left whose key is heavy stay where they are: the few rows of right for heavy keys are broadcast. All others
+    are shuffled. So no task gets a key with a large share of the rows. left is read twice: pass a written table.
+    """
+    heavy = heavy_keys(left, key) if heavy is None else heavy
+    if heavy.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(heavy)  # bounded by heavy_keys()
+    rest = left.join(few, key, "left_anti").join(right, key, how)
+    return rest.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column and its offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

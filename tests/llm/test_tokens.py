@@ -11,7 +11,7 @@ import pytest
 from conftest import EDGE, LONG
 from pyspark.sql import functions as F
 
-from skein.llm import byte_bpe, dac, exact_dedup, packing, sharding
+from skein.llm import byte_bpe, common, dac, exact_dedup, packing, sharding
 from skein.llm.common import LOWER_TABLE
 from skein.llm.word_bpe import default_path
 
@@ -35,7 +35,7 @@ def test_polynomial_hash_is_composable():
         assert exact_dedup.combine(left, right, modulus, base) == (whole, 45_903)
 
 
-@pytest.mark.parametrize("options", [{}, {"moduli": ((7, 3), (5, 2))}, {"most_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"moduli": ((7, 3), (5, 2))}, {"most_bits": 64}, {"moduli": ((7, 3), (5, 2)), "most_bits": 64}])
 def test_exact_dedup(edge, docs, options):
     for table in (edge, docs):
         rows = [(r.doc_id, plain(r.text)) for r in table.select("doc_id", "text").collect()]
@@ -228,11 +228,11 @@ def test_added_tokens_in_texts(spark):
         assert got[k].n_tokens == len(ids) + 1 and got[k].ids_crc32 == zlib.crc32(np.array([*ids, 2], "<u4").tobytes())
 
 
-def test_exact_dedup_compares_rows_without_id_by_a_join(spark):
+def test_exact_dedup_tells_rows_without_id_apart_whatever_the_bits(spark):
     texts = [f"text {k:03d}" for k in range(80)]
     rows = [(k if k % 4 == 0 else None, t) for k, t in enumerate(texts)] + [(None, texts[5]), (900, texts[7])]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for most in (4_000_000, 0):
+    for most in (1 << 27, 64):
         got = exact_dedup.find_copies(frame, ((7, 3), (5, 2)), most).collect()
         digests = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
         assert len(got) == len(rows)
@@ -240,3 +240,27 @@ def test_exact_dedup_compares_rows_without_id_by_a_join(spark):
             text = digests[r.text_sha256]
             assert r.group_size == (2 if text in (texts[5], texts[7]) else 1)
             assert r.keep_id == max((d for d, t in rows if t == text and d is not None), default=None)
+
+
+def test_dropped_rows_by_any_column_names(spark):
+    """Columns called like our own, repeated ids, ties, bytes that are no UTF-8."""
+    rows = [(1, b"One", 5, 1, "b"), (1, b"one", 5, 2, "a"), (1, b"two \xff", 5, 3, "c"), (2, b"two \xff", 5, 4, "d"), (None, b"x", 5, 5, "e"), (None, b"x", 5, 5, "e"), (3, None, 5, 6, "f"), (4, b"", 5, 7, "g")]
+    frame = spark.createDataFrame(rows, "DOC_ID long, raw binary, _drop int, _key int, _again string").selectExpr("doc_id", "cast(raw as string) as text", "_drop", "_key", "_again", "1 as _row", "2 as _id", "3 as _sha").repartition(3)
+    left = exact_dedup.drop_rows(frame, exact_dedup.find_copies(frame))
+    assert left.columns == frame.columns and left.dtypes == frame.dtypes
+    got = sorted((r.doc_id or 0, r._key) for r in left.collect())
+    # of the two rows with id 1 and text one, the first as JSON: "One" comes before "one"
+    assert got == [(0, 5), (1, 1), (2, 4), (4, 7)]
+
+
+def test_heavy_keys_join_like_others(spark):
+    left = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id) as k").repartition(4)
+    right = spark.range(3100).selectExpr("id as k", "id * 2 as v").filter("k % 5 <> 1")
+    heavy = common.heavy_keys(left, ["k"], 100)
+    assert [r.k for r in heavy.collect()] == [7]
+    for how in ("inner", "left"):
+        want = sorted((r.id, r.k, r.v or -1) for r in left.join(right, ["k"], how).collect())
+        assert sorted((r.id, r.k, r.v or -1) for r in common.spread_join(left, right, ["k"], how, heavy).collect()) == want
+    assert common.heavy_keys(left, ["k"], 0, 4).count() == 1 and common.heavy_keys(left, ["k"], 0, 2).count() == 0
+
+
