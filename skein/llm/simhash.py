@@ -9,8 +9,9 @@ differ by two bits or fewer meet. Variants of segment values that very many fing
 part of the other segment (of three parts, two differing bits leave one equal), so that no bucket gets them all.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
-with one or two words the whole sequence is the only shingle; rows with the same doc_id are nodes of their own; a null doc_id
-gives a null component unless others have the fingerprint's component; an empty table gives an empty result.
+with one or two words the whole sequence is the only shingle; very long texts are hashed whole; rows with the same doc_id
+are nodes of their own; a null doc_id gives a null component unless others have the fingerprint's component; an empty
+table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import ASCII_SPACE, LOWER_TABLE, materialize, row_blocks, text_buffers
+from skein.llm.common import ASCII_SPACE, LOWER_TABLE, materialize, row_blocks, spread_join, text_buffers
 from skein.llm.components import components
 
 SEED = 42
@@ -208,9 +209,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256"))
     distinct = materialize(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("n")), "fps")
     roots = components(near_links(distinct))
-    merged = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    merged = materialize(distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"), "merged")
     whole = merged.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("component_size"))
-    classes = merged.select("fp", "root").join(whole, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_sha256").alias("first_sha"), "component_size")
+    classes = spread_join(merged.select("fp", "root"), whole, ["root"]).select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_sha256").alias("first_sha"), "component_size")
     return rows, materialize(classes, "classes")
 
 
@@ -218,11 +219,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id (smallest doc_id reachable over links, its own included) and component_size for each row."""
     rows, classes = _classes(docs)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return rows.join(classes, "fp").select("doc_id", hexed, "component_id", "component_size")
+    return spread_join(rows, classes, ["fp"]).select("doc_id", hexed, "component_id", "component_size")
 
 
 def decisions(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256, kept: of each component the row with the smallest doc_id stays (of several with it, the one of the smallest digest)."""
     rows, classes = _classes(docs)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_sha256") == F.col("first_sha"))
-    return rows.join(classes, "fp").select("doc_id", "text_sha256", kept.alias("kept"))
+    return spread_join(rows, classes, ["fp"]).select("doc_id", "text_sha256", kept.alias("kept"))
