@@ -2,16 +2,18 @@
 
 Categories are predicted one after the other; each linear model also sees the probabilities of the categories before
 it. While training, those come from models that were fitted without the row's fold. Features are words and their
-first letters, as presence and as a share of the text's words; for each category those with the strongest association
-with it among those that are more frequent in it are chosen.
+first letters, as presence and as a share of the text's words; each category has its own, those with the strongest
+association with it among those that are more frequent in it.
 
-The classifier is fitted on a bounded sample of labelled rows: at most `most_positive` rows that any category has and
-`most_negative` others, taken by a hash of doc_id and weighted back to their shares. Every row is scored over its
-whole text.
+The classifier is fitted on a bounded sample of labelled documents: at most `most_positive` that have the target
+category and `most_negative` others, those with the smallest hashes of their doc_id, weighted back to their shares.
+Every row is scored over its whole text, however long.
 
 Defined results: a null text is empty and scores as one without words; labels with null or no documents are not used;
-of several labels of a doc_id the largest counts; without labels of both kinds nothing is toxic; rows with the same
-doc_id are scored each; an empty table gives an empty result.
+of several labels of a doc_id the largest counts, of several documents with it the one with the smallest text is
+learned from; without labelled documents of both kinds nothing is toxic; rows with the same doc_id or text are scored
+each, alike; ties at the threshold count as toxic; an empty table gives an empty result; other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ FOLDS = 4
 CATEGORIES: tuple[tuple[str, str], ...] = (
     ("low_quality", "quality = 0"),
     ("toxic", "toxic = 1"),
-    ("toxic_low_quality", "toxic = 1 and quality = 0"),
 )
+TARGET = "toxic"
 
 
 def _marked(mark: str, values: pa.Array) -> pa.Array:
@@ -63,8 +65,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[pa.Array], np.
 
 @dataclass
 class Model:
+    """own: for each category the places of its features in names; the columns of a matrix are those twice, presence and share."""
+
     categories: list[str]
     names: list[str]
+    own: list[np.ndarray]
     weights: list[np.ndarray]
 
 
@@ -109,50 +114,55 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train_chain(x: np.ndarray, labels: np.ndarray, weight: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """One weight vector per category; earlier categories' out-of-fold log odds are further columns for later ones."""
-    models, seen = [], x
-    for c in range(labels.shape[1]):
-        y = labels[:, c]
+def train_chain(x: np.ndarray, own: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
+    """One weight vector per category, over its own columns and the log odds of the categories before it, which are out of fold here."""
+    models, before = [], np.zeros((len(x), 0), x.dtype)
+    for c, columns in enumerate(own):
+        y, seen = labels[:, c], np.concatenate([x[:, columns], before], 1)
         models.append(logistic(seen, y, weight))
+        if c == len(own) - 1:
+            break  # no later category sees the last one's
         out = np.zeros(len(y))
         for fold in range(FOLDS):
             inside = folds != fold
             if (~inside).any():
                 out[~inside] = probability(seen[~inside], logistic(seen[inside], y[inside], weight[inside])) if inside.any() else y.mean()
-        seen = np.concatenate([seen, logit(out)[:, None].astype(x.dtype)], 1)
+        before = np.concatenate([before, logit(out)[:, None].astype(x.dtype)], 1)
     return models
 
 
-def score_chain(x: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
-    seen, out = x, []
-    for w in models:
-        p = probability(seen, w)
+def score_chain(x: np.ndarray, own: list[np.ndarray], models: list[np.ndarray]) -> np.ndarray:
+    before, out = np.zeros((len(x), 0)), []
+    for columns, w in zip(own, models):
+        p = probability(np.concatenate([x[:, columns], before], 1), w)
         out.append(p)
-        seen = np.concatenate([seen, logit(p)[:, None]], 1)
+        before = np.concatenate([before, logit(p)[:, None]], 1)
     return np.stack(out, 1)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, categories, most_positive: int, most_negative: int) -> DataFrame | None:
-    """text, y (array of 0/1 by category), weight, fold: the bounded sample."""
+def _labelled(docs: DataFrame, labels: DataFrame, categories, target: int, most_positive: int, most_negative: int) -> DataFrame | None:
+    """text, y (array of 0/1 by category), weight, fold: the bounded sample, one row per doc_id."""
     ones: list[Column] = [F.coalesce(F.max(F.expr(e).cast("int")), F.lit(0)) for _, e in categories]
-    per_doc = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array(*ones).alias("y"))
-    per_doc = per_doc.withColumn("any", F.array_max("y")).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)))
-    sizes = {r["any"]: r["count"] for r in per_doc.groupBy("any").count().collect()}
+    per_doc = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.array(*ones).alias("y"))
+    per_doc = per_doc.withColumn("hit", F.col("y")[target]).withColumn("h", F.xxhash64("_id", F.lit("sample")))
+    sizes = {r["hit"]: r["count"] for r in per_doc.groupBy("hit").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
-    share = {k: min(1.0, most / sizes[k]) for k, most in ((1, most_positive), (0, most_negative))}
-    chosen = per_doc.filter(F.col("h") < F.when(F.col("any") == 1, share[1]).otherwise(share[0]) * float(1 << 20))
-    chosen = chosen.select(F.col("doc_id").alias("_id"), "y", F.when(F.col("any") == 1, 1 / share[1]).otherwise(1 / share[0]).alias("weight"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
-    # the sample is bounded by most_positive + most_negative rows, give or take the hash
-    return docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "y", "weight", "fold")
+    chosen = None
+    for hit, most in ((1, most_positive), (0, most_negative)):
+        some = per_doc.filter(F.col("hit") == hit).orderBy("h", "_id").limit(most).select("_id", "y", F.lit(max(1.0, sizes[hit] / most)).alias("weight"), F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+        chosen = some if chosen is None else chosen.unionByName(some)
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most most_positive + most_negative ids
+    return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"), F.first("fold").alias("fold")).drop("_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive: int = 3000, most_negative: int = 9000, per_category: int = 160) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, target: str = TARGET, most_positive: int = 3000, most_negative: int = 9000, per_category: int = 160) -> Model:
     names = [c for c, _ in categories]
-    sample = _labelled(docs, labels, categories, most_positive, most_negative)
+    nothing = Model(names, [], [], [])
+    sample = _labelled(docs, labels, categories, names.index(target), most_positive, most_negative)
     if sample is None:
-        return Model(names, [], [])
+        return nothing
     sample = materialize(sample, "sample")  # the texts are scanned once for it
     width = len(names)
 
@@ -174,11 +184,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
                 yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), lists], ["feature", "n"])
 
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.col("y")[c]), F.lit(0)).alias(f"n{c}") for c in range(width))).first()
-    if not totals["n"]:
-        return Model(names, [], [])
+    hits = totals[f"n{names.index(target)}"]
+    if not hits or hits == totals["n"]:
+        return nothing  # the labelled documents of one kind are not there
     counted = sample.select("text", "y").mapInArrow(count, "feature string, n array<long>").groupBy("feature").agg(F.sum(F.col("n")[0]).alias("df"), *(F.sum(F.col("n")[c + 1]).alias(f"df{c}") for c in range(width)))
     counted = materialize(counted.filter("df >= 3"), "features")
-    chosen: set[str] = set()
+    chosen: list[list[str]] = []
     for c in range(width):
         # log likelihood ratio of the 2 x 2 table (category, presence)
         cells = [(F.col(f"df{c}"), totals[f"n{c}"]), (F.col("df") - F.col(f"df{c}"), totals["n"] - totals[f"n{c}"])]
@@ -189,10 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
         # a feature that tells for the category; what is common outside it would only weigh against the few words that matter
         tells = F.col(f"df{c}") * (totals["n"] - totals[f"n{c}"]) > (F.col("df") - F.col(f"df{c}")) * totals[f"n{c}"]
         best = counted.filter(tells).orderBy(F.desc(gain), "feature").limit(per_category)
-        chosen |= {r["feature"] for r in best.select("feature").collect()}
-    picked = sorted(chosen)
+        chosen.append([r["feature"] for r in best.select("feature").collect()])
+    picked = sorted({f for own in chosen for f in own})
     if not picked:
-        return Model(names, [], [])
+        return nothing
+    places = [np.array([picked.index(f) for f in sorted(own)], np.int64) for own in chosen]
+    own = [np.concatenate([p, p + len(picked)]) for p in places]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(picked, pa.large_string())
@@ -206,17 +219,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, most_positive
     order = np.lexsort((x @ np.cos(np.arange(x.shape[1])), rows.column("fold").to_numpy()))  # the same sums whatever order rows arrive in
     weight = rows.column("weight").to_numpy()
     weight = weight / weight.mean()
-    return Model(names, picked, train_chain(x[order], y[order], weight[order], rows.column("fold").to_numpy()[order]))
+    return Model(names, picked, own, train_chain(x[order], own, y[order], weight[order], rows.column("fold").to_numpy()[order]))
 
 
 def probabilities(column: pa.Array, model: Model) -> np.ndarray:
     """By text and category."""
     if not model.names or not len(column):
         return np.zeros((len(column), len(model.categories)))
-    return score_chain(matrix(*text_buffers(column), pa.array(model.names, pa.large_string())), model.weights)
+    return score_chain(matrix(*text_buffers(column), pa.array(model.names, pa.large_string())), model.own, model.weights)
 
 
-def score(docs: DataFrame, model: Model, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, target: str = TARGET, threshold: float = 0.5) -> DataFrame:
     """doc_id, toxic, score, and p_<category> for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred features
     at = model.categories.index(target)
@@ -231,9 +244,9 @@ def score(docs: DataFrame, model: Model, target: str = "toxic", threshold: float
     return rows.mapInArrow(run, "doc_id long, toxic boolean, score double, " + ", ".join(f"{c} double" for c in columns))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, target: str = TARGET, threshold: float = 0.5) -> DataFrame:
     """docs without toxic rows, all columns kept; nothing is joined."""
-    model = fit(docs, labels)
+    model = fit(docs, labels, target=target)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = model.categories.index(target)
 

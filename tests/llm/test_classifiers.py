@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import langid, toxicity
+from skein.llm import langid, queries, toxicity
 from skein.llm.common import text_buffers
 
 import pyarrow as pa
@@ -73,15 +73,16 @@ def test_chain_feeds_out_of_fold_probabilities():
     first = (x[:, 0] + rng.normal(size=2000) * 0.1 > 0).astype(float)
     second = ((first > 0) & (x[:, 1] > 0)).astype(float)
     folds, ones = rng.integers(0, toxicity.FOLDS, 2000), np.ones(2000)
-    models = toxicity.train_chain(x, np.stack([first, second], 1), ones, folds)
-    assert [len(m) for m in models] == [5, 6] and models[1][4] > 0
-    p = toxicity.score_chain(x, models)
+    own = [np.array([0, 2, 3]), np.array([1, 2])]
+    models = toxicity.train_chain(x, own, np.stack([first, second], 1), ones, folds)
+    assert [len(m) for m in models] == [4, 4] and models[1][2] > 0.3
+    p = toxicity.score_chain(x, own, models)
     assert ((p[:, 0] > 0.5) == first).mean() > 0.9 and ((p[:, 1] > 0.5) == second).mean() > 0.85
     seen = np.zeros(2000)
     for fold in range(toxicity.FOLDS):
         inside = folds != fold
-        seen[~inside] = toxicity.probability(x[~inside], toxicity.logistic(x[inside], first[inside], ones[inside]))
-    again = toxicity.logistic(np.concatenate([x, toxicity.logit(seen)[:, None]], 1), second, ones)
+        seen[~inside] = toxicity.probability(x[~inside][:, own[0]], toxicity.logistic(x[inside][:, own[0]], first[inside], ones[inside]))
+    again = toxicity.logistic(np.concatenate([x[:, own[1]], toxicity.logit(seen)[:, None]], 1), second, ones)
     assert np.allclose(again, models[1])
 
 
@@ -100,3 +101,51 @@ def test_toxicity(spark, edge, empty):
     odd = spark.createDataFrame([(None, 1, 1), (1, None, None), (2, 0, 1), (2, 1, 0), (9, 1, 0), (77, 0, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.score(edge, toxicity.fit(edge, odd)).count() == edge.count()
     assert toxicity.score(edge, toxicity.fit(edge, odd.limit(0))).filter("toxic").count() == 0
+
+
+def toxic_corpus(spark, n=400):
+    """Half of the documents have a word that tells."""
+    rows = [(k, f"plain words number {k % 17} here {'vilest filth' if k % 2 else 'kind garden'} and more {k % 5}") for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("quality", ["0", "1", "cast(null as int)"])
+def test_toxicity_is_learned_whatever_the_other_category(spark, quality):
+    docs = toxic_corpus(spark)
+    labels = docs.selectExpr("doc_id", f"{quality} as quality", "cast(doc_id % 2 as int) as toxic")
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[k] == bool(k % 2) for k in got)
+
+
+def test_the_sample_is_bounded_and_weighted(spark):
+    docs = toxic_corpus(spark, 1000)
+    docs = docs.unionByName(docs.filter("doc_id = 7").crossJoin(spark.range(5000)).selectExpr("doc_id", "concat(text, ' ', id) as text"))
+    labels = spark.range(1000).selectExpr("id as doc_id", "1 as quality", "cast(id % 10 = 7 as int) as toxic")
+    sample = toxicity._labelled(docs, labels, toxicity.CATEGORIES, 1, 30, 50).collect()
+    assert len(sample) == 80 and sum(r.y[1] for r in sample) == 30
+    assert {(r.y[1], round(r.weight, 6)) for r in sample} == {(1, round(100 / 30, 6)), (0, 18.0)}
+    want = {r.doc_id for r in labels.filter("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit("sample"))).limit(30).collect()}
+    texts = {r.text for r in sample if r.y[1]}
+    assert texts == {min(r.text for r in docs.filter(f"doc_id = {k}").collect()) for k in want}
+
+
+def test_query_equals_the_model_by_hand(spark):
+    """op4's rows against features, odds and probabilities computed text by text with plain Python numbers."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in queries.op4_toxicity_chain(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == docs.count()
+    place = {n: i for i, n in enumerate(model.names)}
+    for r in docs.collect():
+        words = [w.lower() for w in (r.text or "").encode().translate(langid.FOLD).decode().split(" ") if w]
+        counts = np.zeros(len(place))
+        for w in words:
+            for f in [f"={w}", *(f"^{w[:n]}" for n in toxicity.PREFIXES if len(w) > n)]:
+                if f in place:
+                    counts[place[f]] += 1
+        x, odds = [*(counts > 0).astype(float), *np.sqrt(counts / max(1, len(words)))], []
+        for own, w in zip(model.own, model.weights):
+            z = sum(x[i] * v for i, v in zip(own, w)) + sum(a * v for a, v in zip(odds, w[len(own) :])) + w[-1]
+            p = 1 / (1 + np.exp(-min(30, max(-30, z))))
+            odds.append(np.log(min(max(p, 1e-4), 1 - 1e-4)) - np.log(1 - min(max(p, 1e-4), 1 - 1e-4)))
+        assert abs(got[r.doc_id].score - p) < 1e-6 and got[r.doc_id].toxic == (got[r.doc_id].score >= 0.5)
