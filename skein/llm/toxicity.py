@@ -150,7 +150,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories, target: int, most_
         return None
     chosen = None
     for hit, most in ((1, most_positive), (0, most_negative)):
-        some = per_doc.filter(F.col("hit") == hit).orderBy("h", "_id").limit(most).select("_id", "y", F.lit(max(1.0, sizes[hit] / most)).alias("weight"), F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+        # little more than what is taken passes the hash, so that no task hands on many rows for the last choice
+        share = min(1.0, (most + 8 * most**0.5 + 8) / sizes[hit])
+        some = per_doc.filter((F.col("hit") == hit) & (F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy("h", "_id").limit(most).select("_id", "y", F.lit(max(1.0, sizes[hit] / most)).alias("weight"), F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most most_positive + most_negative ids
