@@ -4,7 +4,7 @@ P(word | history) is a product of softmaxes over nested classes. The most freque
 text and one rest per kind of ending are leaves, in the order of their spelling from behind. They are cut into RADIX
 classes of near-equal mass, each of those again, until every leaf is alone, so each factor's normaliser is RADIX wide. A
 factor's logits are its classes' log shares plus the weights that its hashed features hit: the word before (n-gram), the
-word before that (skip), and the classes of both. The number of weights grows with the training tokens, up
+word before that (skip), and in the first decisions the classes of both. The number of weights grows with the training tokens, up
 to a bound. Words that are no leaf share their ending's rest in proportion to their smoothed counts; each rest keeps one
 place for words that were not in training.
 
@@ -40,6 +40,8 @@ END, ENDINGS = 0, 60
 RESTS = ENDINGS + 3
 FIRST_WORD = 1 + RESTS
 FEATURES = 3
+#: The classes of the two words before count for so many of a word's first decisions.
+EARLY = 2
 #: Weights are kept and summed in blocks of this many rows of RADIX.
 BLOCK_ROWS = 4096
 #: Rounds take the rows whose hash modulo the last of these lies between one and the next.
@@ -48,7 +50,7 @@ BATCH_TOKENS = 1 << 12
 #: Odds are kept from running over; weights come nowhere near it.
 MOST_LOGIT = np.float32(40)
 SIGNS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 6 << 20
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -154,28 +156,45 @@ def hashes(one: np.ndarray, two: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.stack([(k.astype(np.uint64) * np.uint64(FEATURES) + np.uint64(i)) * MIX[0] for i, k in enumerate(keys)])
 
 
-def factors(tree: Tree, weights: np.ndarray, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions that make up some tokens: which token, the class taken, the rows of weights by feature, all classes' odds and their sums."""
+@dataclass
+class Factors:
+    """The decisions that make up some tokens: whose they are, the class taken, all classes' odds and their sums; and the
+    features: the rows of weights that they hit, and for which decisions (None: all)."""
+
+    token: np.ndarray
+    digit: np.ndarray
+    odds: np.ndarray
+    total: np.ndarray
+    hits: list[tuple[np.ndarray, np.ndarray | None]]
+
+
+def factors(tree: Tree, weights: np.ndarray, tokens: np.ndarray, one: np.ndarray, two: np.ndarray) -> Factors:
     first = tree.starts[tokens]
     lengths = tree.starts[tokens + 1] - first
     place = spans(first, lengths)
     token = np.repeat(np.arange(len(tokens)), lengths)
     node = tree.nodes[place]
     shift = np.uint64(64 - (len(weights).bit_length() - 1))
-    rows = hashes(one, two, tree.group)[:, token]
-    rows ^= ((node.astype(np.uint64) + np.uint64(1)) * MIX[1])
-    rows *= MIX[2]
-    rows >>= shift
-    rows = rows.view(np.int64)
+    own = (node.astype(np.uint64) + np.uint64(1)) * MIX[1]
+    early = np.flatnonzero(place - np.repeat(first, lengths) < EARLY)
     logits = np.empty((len(node), RADIX), np.float32)  # numpy's own dtype object: add.at is many times slower with an unpickled one
     np.take(tree.bias, node, 0, logits, "clip")
-    some = np.empty((len(node), RADIX), weights.dtype)
-    for hit in rows:
-        np.take(weights, hit, 0, some, "clip")
-        logits += some
+    some, hits = np.empty((len(node), RADIX), weights.dtype), []
+    for hashed, which in zip(hashes(one, two, tree.group), (None, None, early)):
+        rows = hashed[token if which is None else token[which]]
+        rows ^= own if which is None else own[which]
+        rows *= MIX[2]
+        rows >>= shift
+        rows = rows.view(np.int64)
+        np.take(weights, rows, 0, some[: len(rows)], "clip")
+        if which is None:
+            logits += some
+        else:
+            logits[which] += some[: len(rows)]
+        hits.append((rows, which))
     np.minimum(logits, MOST_LOGIT, out=logits)
     np.exp(logits, out=logits)
-    return token, tree.digits[place], rows, logits, logits @ np.ones(RADIX, np.float32)
+    return Factors(token, tree.digits[place], logits, logits @ np.ones(RADIX, np.float32), hits)
 
 
 def walk(tree: Tree, weights: np.ndarray, met: np.ndarray, tokens: np.ndarray, at: np.ndarray, rate: float = 1.0) -> float:
@@ -188,22 +207,20 @@ def walk(tree: Tree, weights: np.ndarray, met: np.ndarray, tokens: np.ndarray, a
     seen, (one, two), flat, wide = 0.0, contexts(tokens, at, len(tree.starts) - 1), weights.reshape(-1), np.arange(RADIX)
     for low in range(0, len(tokens), BATCH_TOKENS):
         some = slice(low, low + BATCH_TOKENS)
-        _, digit, rows, gradient, total = factors(tree, weights, tokens[some], one[some], two[some])
-        each = np.arange(len(digit))
-        seen += float(np.log(np.maximum(gradient[each, digit] / total, 1e-30)).sum())
-        gradient *= (-1 / total)[:, None]
-        gradient[each, digit] += 1
-        moves, places = np.empty_like(gradient), np.empty(gradient.shape, np.int64)
-        for hit in rows:
+        f = factors(tree, weights, tokens[some], one[some], two[some])
+        each, gradient = np.arange(len(f.digit)), f.odds
+        seen += float(np.log(np.maximum(gradient[each, f.digit] / f.total, 1e-30)).sum())
+        gradient *= (-1 / f.total)[:, None]
+        gradient[each, f.digit] += 1
+        for hit, which in f.hits:
             before = met[hit]
             np.add.at(met, hit, np.float32(1))
             after = met[hit]
             slow = np.sqrt(after + np.float32(16))
             slow *= np.sqrt(slow)
             step = np.float32(rate) / np.maximum(after - before, slow)
-            np.multiply(gradient, step[:, None], out=moves)
-            np.add((hit * RADIX)[:, None], wide, out=places)
-            np.add.at(flat, places.reshape(-1), moves.reshape(-1))
+            moves = (gradient if which is None else gradient[which]) * step[:, None]
+            np.add.at(flat, ((hit * RADIX)[:, None] + wide).reshape(-1), moves.reshape(-1))
     return seen
 
 
@@ -212,9 +229,9 @@ def log_probabilities(tree: Tree, weights: np.ndarray, tokens: np.ndarray, at: n
     out, (one, two) = np.empty(len(tokens)), contexts(tokens, at, len(tree.starts) - 1)
     for low in range(0, len(tokens), BATCH_TOKENS):
         some = slice(low, low + BATCH_TOKENS)
-        token, digit, _, odds, total = factors(tree, weights, tokens[some], one[some], two[some])
-        taken = np.log10(np.maximum(odds[np.arange(len(digit)), digit] / total, 1e-30))
-        out[some] = np.bincount(token, taken, len(tokens[some]))
+        f = factors(tree, weights, tokens[some], one[some], two[some])
+        taken = np.log10(np.maximum(f.odds[np.arange(len(f.digit)), f.digit] / f.total, 1e-30))
+        out[some] = np.bincount(f.token, taken, len(tokens[some]))
     return out
 
 

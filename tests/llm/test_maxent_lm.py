@@ -32,9 +32,9 @@ def leaf_log10(model, leaf, one, two):
     tree, bits = model.tree, len(model.weights).bit_length() - 1
     keys = (one, two, int(tree.group[one]) * (lm.RADIX**2 + 1) + int(tree.group[two]))
     out = 0.0
-    for at in range(tree.starts[leaf], tree.starts[leaf + 1]):
+    for k, at in enumerate(range(tree.starts[leaf], tree.starts[leaf + 1])):
         node = int(tree.nodes[at])
-        logits = tree.bias[node].astype(float) + sum(model.weights[mixed(key, kind, node, bits)].astype(float) for kind, key in enumerate(keys))
+        logits = tree.bias[node].astype(float) + sum(model.weights[mixed(key, kind, node, bits)].astype(float) for kind, key in enumerate(keys[: 3 if k < lm.EARLY else 2]))
         out += (logits[tree.digits[at]] - math.log(np.exp(logits).sum())) / math.log(10)
     return out
 
@@ -124,8 +124,8 @@ def test_model_is_normalised_and_better_than_the_base(spark):
     for one, two in ((leaves, leaves), (lm.FIRST_WORD, lm.FIRST_WORD + 3), (lm.FIRST_WORD + 40, 2)):
         p = [leaf_log10(model, leaf, one, two) for leaf in range(leaves)] if leaves < 3000 else None
         every = np.arange(leaves)
-        token, digit, _, odds, total = lm.factors(model.tree, model.weights, every, np.full(leaves, one), np.full(leaves, two))
-        logs = np.bincount(token, np.log10(odds[np.arange(len(digit)), digit] / total), leaves)
+        f = lm.factors(model.tree, model.weights, every, np.full(leaves, one), np.full(leaves, two))
+        logs = np.bincount(f.token, np.log10(f.odds[np.arange(len(f.digit)), f.digit] / f.total), leaves)
         assert abs((10**logs).sum() - 1) < 1e-3 and (p is None or np.allclose(p, logs, atol=1e-3))
     rows = [r for r in lm.score(docs, model, tail).collect() if r.held_out]
     gain = sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows)
@@ -141,7 +141,8 @@ def test_weights_move_along_the_gradient_of_the_likelihood():
     weights = rng.normal(size=(64, lm.RADIX)).astype(np.float32) * 0.1
     moved, met = weights.copy(), np.zeros(64, np.float32)
     lm.walk(tree, moved, met, tokens, at, 1e-3)
-    assert met.sum() == lm.FEATURES * np.diff(tree.starts)[tokens].sum()
+    decisions = np.diff(tree.starts)[tokens]
+    assert met.sum() == 2 * decisions.sum() + np.minimum(decisions, lm.EARLY).sum()
     likelihood = lambda w: lm.log_probabilities(tree, w, tokens, at).sum() * math.log(10)
     # with few rows each is hit by every kind of feature, so its moves are sums with steps of one sign along the gradient
     gradient = np.zeros((64, 3))
