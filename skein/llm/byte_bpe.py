@@ -5,8 +5,9 @@ states of a small automaton to its states; functions compose associatively, so b
 side, the blocks' functions scanned, and all places' states filled in at once. A slice starts where the automaton says
 so. The slices partition the text; each distinct one is merged once per worker.
 
-Defined results: a null text is empty and has no ids; rows with the same doc_id are encoded each; an empty table gives
-an empty result.
+Defined results: a null text is empty and has no ids; rows with the same doc_id or text are encoded each, alike; a very
+long text is a block by itself; of merges with one rank the first in the slice comes first; bytes that are no UTF-8
+count as U+FFFD; an empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import row_blocks, spans, strings, text_buffers
+from skein.llm.common import row_blocks, spans, strings, text_buffers, valid_text
 
 # White space as Unicode's White_Space lists it.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -295,7 +296,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None) -> DataFrame:
                 out.append(pa.array([hashlib.sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), *out], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -312,5 +313,5 @@ def encode_documents(docs: DataFrame, ranks: str | None = None) -> DataFrame:
             bounds = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(bounds, pa.array(ids)), pa.ListArray.from_arrays(bounds, pa.array(inside.astype(np.int64)))], ["doc_id", "ids", "starts"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     return docs.mapInArrow(run, "doc_id long, ids array<int>, starts array<long>")

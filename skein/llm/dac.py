@@ -9,7 +9,8 @@ range, about `segment_ids` ids) with the segment's bytes; the reader opens those
 by (range, segment, place).
 
 Defined results: a null text is empty and has the end id only; a null doc_id comes first; rows with the same doc_id
-follow each other, by their text; an empty table gives an empty result.
+follow each other, by their text; a very long text is a segment by itself; bytes that are no UTF-8 count as U+FFFD; an
+empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import range_ids, range_numbers, row_blocks, scratch_path
+from skein.llm.common import range_ids, range_numbers, row_blocks, scratch_path, valid_text
 from skein.llm.word_bpe import default_path, encoder
 
 MAGIC = b"DAC1"
@@ -107,7 +108,7 @@ class DacReader:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, widths: tuple[int, ...] = (8, 8, 16), segment_ids: int = 1 << 19, rows_per_range: int = 4096) -> None:
     """Encodes docs and writes segment files under path, in ascending doc_id order by (part, segment)."""
     tokenizer = tokenizer or default_path()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     bounds = range_ids(docs.select("doc_id"), "doc_id", rows_per_range)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,9 @@ by equality, and likeness verifies them.
 
 Defined results: a null text is empty; the next document is the one with the next smaller doc_id (null is the
 smallest; of several rows with a doc_id the smaller text comes first), after the last the first, so a single row
-follows itself; two empty texts are alike (1), an empty and another are not (0); an empty table gives an empty result.
+follows itself; two empty texts are alike (1), an empty and another are not (0); very long texts are walked whole; bytes
+that are no UTF-8 count as U+FFFD; an empty table gives an empty result; other columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, range_ids, range_numbers, row_blocks, spans, text_buffers
+from skein.llm.common import materialize, range_ids, range_numbers, row_blocks, spans, text_buffers, valid_text
 from skein.llm.components import components
 
 CLASSES, PERIOD = 128, 1024
@@ -168,7 +170,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             codes, at, _ = code_points(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(to_strings(*sketches(codes, at)), pa.string())], ["doc_id", "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, fingerprint string")
 
 
@@ -188,7 +190,7 @@ def compare_with_edited(docs: DataFrame, rows_per_range: int = 4096) -> DataFram
     Rows are dealt into ranges of doc_id and sorted there; the first row of the next range comes along as a guest, so
     no order over all rows is needed. The texts are shuffled once.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     ids = docs.select("doc_id")
     bounds = range_ids(ids, "doc_id", rows_per_range)
     lowest = int(np.iinfo(np.int64).min)

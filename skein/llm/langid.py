@@ -8,8 +8,10 @@ The trigram statistics cover every labelled row: texts' trigram rates are summed
 in a shuffle, so a language's model is `buckets` numbers whatever the corpus holds.
 
 Defined results: `und` with score 0 if the text is null, empty or without a letter, or if there is nothing to learn
-from; rows with a null lang are not learned from; a null doc_id counts as not held out; an empty table gives an empty
-result. lang, source and doc_id are no inputs of a prediction.
+from; rows with a null lang are not learned from; a null doc_id counts as not held out; rows with the same doc_id or text
+are predicted each, alike; of languages that are equally near the first by name counts; very long texts count whole;
+bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty result; columns besides doc_id, text and lang,
+whatever their names, are not looked at. lang, source and doc_id are no inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import group_sums, row_blocks, text_buffers
+from skein.llm.common import group_sums, row_blocks, text_buffers, valid_text
 
 BUCKETS = 4096
 RATE = 100_000
@@ -96,8 +98,11 @@ class Model:
     bit_weight: np.ndarray
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learns from all rows of docs (text, lang) with a lang."""
+def fit(docs: DataFrame, most_languages: int = 1000) -> Model:
+    """Learns from all rows of docs (text, lang) whose lang is one of the most_languages most frequent ones (by name among equals).
+
+    So the model is at most most_languages x BUCKETS numbers, whatever a dirty column holds; there are fewer written languages with corpora.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -113,7 +118,10 @@ def fit(docs: DataFrame) -> Model:
             there = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(total[there])], ["lang", "bucket", "n"])
 
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    known = docs.select(valid_text().alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    if known.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+        known = known.join(F.broadcast(frequent.select("lang")), "lang", "left_semi").select("text", "lang")
     totals = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = totals.column("lang").to_numpy(zero_copy_only=False)
     languages = sorted(set(names.tolist()))
@@ -167,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     place, score, near = np.where(lettered, best + 1, 0), np.where(lettered, sure, 0.0), unsure | ~lettered
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[place], pa.string()), pa.array(score), pa.array(near)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), valid_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
@@ -196,4 +204,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
                     parts.append(keep)
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
+    return docs.filter(F.arrow_udf(run, "boolean")(valid_text()))

@@ -15,7 +15,8 @@ feature, weighted by how often each task met it. Counts of the frequent words ar
 reach their documents by a join.
 
 Defined results: a null text is empty and has the end token only; a row with a null doc_id is in training; rows with
-the same doc_id and text count as often as they are there; very long texts are walked in batches like others; without
+the same doc_id and text count as often as they are there; very long texts are walked in batches like others; bytes that
+are no UTF-8 count as U+FFFD; of equally frequent words at the head's border none is in it; without
 training rows all scores are 0; an empty table gives an empty result; other columns, whatever their names, are not
 looked at.
 """
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import LOWER_TABLE, materialize, release_memory, row_blocks, spans, strings, text_buffers
+from skein.llm.common import LOWER_TABLE, materialize, release_memory, row_blocks, spans, strings, text_buffers, valid_text
 
 RADIX = 8
 #: Leaves: the end of a text, the rests of this many endings and of three kinds of others, then words.
@@ -309,7 +310,7 @@ def fit_weights(docs: DataFrame, model: Model, most_rows: int = 1 << 20, tokens_
 
 def fit(docs: DataFrame, most_head: int = 1 << 18, **options) -> tuple[Model, DataFrame]:
     """The model, and the counts (token, n) of the words that are not in its head."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_blocks(batches, "text", BLOCK_BYTES):
@@ -399,7 +400,7 @@ def score(docs: DataFrame, model: Model, tail: DataFrame) -> DataFrame:
             zeros, nothing = np.zeros(len(row), np.int64), np.zeros(len(row))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), outs.take(pa.array(row)), pa.array(h[row]), distinct.take(pa.array(place)).cast(pa.string()), pa.array(times.astype(np.int64)), pa.array(zeros), pa.array(zeros), pa.array(nothing), pa.array(nothing)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROW)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), valid_text().alias("text")).mapInArrow(run, ROW)
     joined = rows.join(tail, "token", "left")
     logged = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     with_model = logged if model.train_tokens else F.lit(0.0)

@@ -7,7 +7,9 @@ itself. The plan says, for each length, which ranks of its pieces go where; piec
 length in two levels and look their place up, so the plan's size does not depend on the number of documents.
 
 Defined results: a null text is empty and has the end id only; documents longer than a sequence are cut into full
-pieces and a rest, no other is cut; rows with the same doc_id are packed each; an empty table gives an empty result.
+pieces and a rest, no other is cut; rows with the same doc_id or text are packed each; pieces of one length take the
+places for it in the order of their doc_id, piece and checksum's hashes; bytes that are no UTF-8 count as U+FFFD; an
+empty table gives an empty result; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, ranked, row_blocks, spans
+from skein.llm.common import materialize, ranked, row_blocks, spans, valid_text
 from skein.llm.word_bpe import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capac
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     return docs.mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 

@@ -5,7 +5,9 @@ Each (key, shard) pair has a uniform number u from a hash; the record goes to th
 the shards that were there before. All of it is one projection of built-in functions.
 
 Defined results: a null text has size 8; a null key is hashed as the word null; rows with the same key are in the
-same shard, each with a slot of its own; an empty table gives an empty result.
+same shard, each with a slot of its own, in an order of their own; very long texts are sized and summed whole; two shards
+with one score (which takes equal hashes) go to the higher number; an empty table gives an empty result; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -47,8 +49,9 @@ def assign(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None =
     return ranked(rows, ["shard"], ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 24, weights: Sequence[float] | None = None) -> None:
-    """Writes docs with one folder per shard; each is written by many tasks."""
-    weights = list(weights or [1.0] * shards)
-    before, _ = rendezvous(F.col("doc_id"), [*weights, 1.0])
-    docs.withColumn("_s", before).withColumn("shard", F.col("_s.shard")).drop("_s").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 24, weights: Sequence[float] | None = None, name: str = "shard") -> None:
+    """Writes docs with one folder per shard (name=number), each by many tasks. A column called like the folders is an error."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name}; give the folders another name")
+    before, _ = rendezvous(F.col("doc_id"), [*(weights or [1.0] * shards), 1.0])
+    docs.withColumn(name, before["shard"]).write.partitionBy(name).parquet(path)

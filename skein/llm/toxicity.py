@@ -12,7 +12,7 @@ Every row is scored over its whole text, however long.
 Defined results: a null text is empty and scores as one without words; labels with null or no documents are not used;
 of several labels of a doc_id the largest counts, of several documents with it the one with the smallest text is
 learned from; without labelled documents of both kinds nothing is toxic; rows with the same doc_id or text are scored
-each, alike; ties at the threshold count as toxic; an empty table gives an empty result; other columns, whatever their
+each, alike; ties at the threshold count as toxic; bytes that are no UTF-8 count as U+FFFD; an empty table gives an empty result; other columns, whatever their
 names, are not looked at.
 """
 
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, row_blocks, strings, text_buffers
+from skein.llm.common import materialize, row_blocks, strings, text_buffers, valid_text
 from skein.llm.langid import FOLD
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -152,9 +152,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, categories, target: int, most_
     for hit, most in ((1, most_positive), (0, most_negative)):
         # little more than what is taken passes the hash, so that no task hands on many rows for the last choice
         share = min(1.0, (most + 8 * most**0.5 + 8) / sizes[hit])
-        some = per_doc.filter((F.col("hit") == hit) & (F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))).orderBy("h", "_id").limit(most).select("_id", "y", F.lit(max(1.0, sizes[hit] / most)).alias("weight"), F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
+        some = per_doc.filter((F.col("hit") == hit) & (F.col("h") <= min((1 << 63) - 1, int(share * 2**64) - (1 << 63)))).orderBy("h", "_id").limit(most).select("_id", "y", F.lit(max(1.0, sizes[hit] / most)).alias("weight"), F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(valid_text(), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most most_positive + most_negative ids
     return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("weight").alias("weight"), F.first("fold").alias("fold")).drop("_id")
 
@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model, target: str = TARGET, threshold: float
             p = probabilities(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p[:, at] >= threshold), pa.array(p[:, at]), *(pa.array(v) for v in p.T)], ["doc_id", "toxic", "score", *columns])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, toxic boolean, score double, " + ", ".join(f"{c} double" for c in columns))
 
 
@@ -257,4 +257,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, target: str = TARGET, thresho
             parts = [probabilities(b.column(0), shared.value)[:, at] < threshold for b in row_blocks(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", 1 << 21)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return docs.filter(F.arrow_udf(run, "boolean")(F.col("text").cast("string")))
+    return docs.filter(F.arrow_udf(run, "boolean")(valid_text()))

@@ -149,3 +149,48 @@ def test_query_equals_the_model_by_hand(spark):
             p = 1 / (1 + np.exp(-min(30, max(-30, z))))
             odds.append(np.log(min(max(p, 1e-4), 1 - 1e-4)) - np.log(1 - min(max(p, 1e-4), 1 - 1e-4)))
         assert abs(got[r.doc_id].score - p) < 1e-6 and got[r.doc_id].toxic == (got[r.doc_id].score >= 0.5)
+
+
+def test_language_query_by_brute_force(spark):
+    """op9's rows from trigram counts, log ratios, margins and losses in plain Python, over the rows that may be learned from."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def rates(text):
+        folded = (text or "").encode().translate(langid.FOLD)
+        kept = bytes(b for i, b in enumerate(folded) if b != 32 or i == 0 or folded[i - 1] != 32)
+        out, n = {}, max(1, len(kept) - 2)
+        for i in range(len(kept) - 2):
+            code = (kept[i] * 0x9E3779B1 + kept[i + 1] * 0x85EBCA6B + kept[i + 2] * 0xC2B2AE35) % (1 << 32) >> 20
+            out[code] = out.get(code, 0) + 1 / n
+        return out
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    sums = {}
+    for r in rows:
+        if not held[r.doc_id] and r.lang is not None and r.text is not None:
+            own = sums.setdefault(r.lang, {})
+            for code, v in rates(r.text).items():
+                own[code] = own.get(code, 0) + v
+    langs = sorted(sums)
+    share = {lang: {c: v / sum(sums[lang].values()) for c, v in sums[lang].items()} for lang in langs}
+    code = langid.codewords(len(langs))
+    bits = []
+    for b in range(code.shape[1]):
+        sides = [[share[lang] for i, lang in enumerate(langs) if code[i, b] == side] for side in (1, 0)]
+        mean = lambda group, c: sum(s.get(c, 0) for s in group) / len(group)
+        weight = [min(6, max(-6, np.log((mean(sides[0], c) + 1e-6) / (mean(sides[1], c) + 1e-6)))) for c in range(langid.BUCKETS)]
+        expected = [sum(v * weight[c] for c, v in share[lang].items()) for lang in langs]
+        low, high = max(e for e, x in zip(expected, code[:, b]) if x == 0), min(e for e, x in zip(expected, code[:, b]) if x == 1)
+        bits.append((weight, (low + high) / 2, max((high - low) / 2, 1e-3)))
+    total = sum(h for _, _, h in bits)
+    got = {r.doc_id: r for r in queries.op9_language_id(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        mine = rates(r.text)
+        margins = [min(3, max(-3, (sum(v * w[c] for c, v in mine.items()) - centre) / half)) for w, centre, half in bits]
+        loss = [sum(np.exp(-m * (2 * int(x) - 1)) * h / total for m, x, (_, _, h) in zip(margins, code[i], bits)) for i in range(len(langs))]
+        score = 1 / sum(np.exp(langid.SHARPNESS * (min(loss) - x)) for x in loss)
+        lettered = any(ch.isalpha() for ch in r.text or "")
+        assert got[r.doc_id].held_out == held[r.doc_id]
+        assert got[r.doc_id].lang_pred == (langs[int(np.argmin(loss))] if lettered else "und") and abs(got[r.doc_id].score - (score if lettered else 0)) < 1e-3

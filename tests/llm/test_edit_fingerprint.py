@@ -121,3 +121,46 @@ def test_near_groups_lose_no_link(spark):
             root = [root[x] if r == root[y] else r for r in root]
         want, _ = brute_groups(list(enumerate(a)), threshold)
         assert len(set(root)) == len(set(want.values()))
+
+
+def slow_likeness(a, b):
+    """Level by level: the share of sampled places that agree, less chance, weighted by the level's places."""
+    (size_a, x), (size_b, y) = a, b
+    longest, at, agree, whole = max(size_a, size_b), 0, 0.0, 0.0
+    for level, places in enumerate(ef.PLACES):
+        pairs = [(p, q) for p, q in zip(x[at : at + len(places)], y[at : at + len(places)]) if p != 255 or q != 255]
+        at += len(places)
+        if pairs:
+            share = sum(p == q for p, q in pairs) / len(pairs)
+            low = ef.FIRST << (level - 1) if level else 0
+            weight = min(longest, ef.FIRST << level) - low
+            agree += weight * (max(0, (share - 1 / 16) * 16 / 15) if level else share)
+            whole += weight
+    return agree / whole if whole else 1.0
+
+
+def test_likeness_of_the_query_by_brute_force(spark):
+    from skein.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.op2_edit_embedding(spark, sf).collect()}
+
+    def sketch(text):
+        classes = ef.char_classes(np.frombuffer(text.encode("utf-32-le"), np.uint32)).tolist()
+        stay, out, j = ef.STAY.reshape(ef.CLASSES, ef.PERIOD), [], 0
+        for c in classes:
+            k = int(stay[c, j % ef.PERIOD])
+            out += [c] * k
+            j += k
+        return j, [int(ef.BITS[out[p], s % 64]) if p < j else 255 for s, p in enumerate(ef.ALL_PLACES.tolist())]
+
+    sketches = [sketch(t) for _, t in rows]
+    for k, (doc_id, text) in enumerate(rows):
+        after, half, r = (k + 1) % len(rows), len(text) // 2, got[doc_id]
+        edited = sketch(text[: len(text) - half] + rows[after][1][:half])
+        assert abs(r.near_edited - slow_likeness(sketches[k], edited)) < 1e-9 and abs(r.near_next - slow_likeness(sketches[k], sketches[after])) < 1e-9
+        for shared, other in ((r.bands_edited, edited), (r.bands_next, sketches[after])):
+            own = [(p, q) for p, q in zip(sketches[k][1], other[1])]
+            bands = [own[i : i + ef.BAND] for i in range(0, len(own) - ef.BAND + 1, ef.BAND)]
+            assert shared == sum(all(p == q != 255 for p, q in band) for band in bands)

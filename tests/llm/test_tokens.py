@@ -264,3 +264,26 @@ def test_heavy_keys_join_like_others(spark):
     assert common.heavy_keys(left, ["k"], 0, 4).count() == 1 and common.heavy_keys(left, ["k"], 0, 2).count() == 0
 
 
+
+
+def test_shards_by_brute_force(spark):
+    """Every row of the query, from MD5, logarithms and CRC-32 of the standard library."""
+    import math
+
+    from skein.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op3_rendezvous_sharding(spark, sf).collect()
+    assert len(got) == len(texts)
+
+    def score(doc_id, shard):
+        return -1 / math.log((int(hashlib.md5(f"{doc_id}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+    slots = {}
+    for r in got:
+        scores = [score(r.doc_id, k) for k in range(25)]
+        assert r.shard == max(range(24), key=scores.__getitem__) and r.grown_shard == max(range(25), key=scores.__getitem__)
+        assert (r.size, r.text_crc32, r.law) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]), "key")
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
