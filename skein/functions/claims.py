@@ -11,8 +11,12 @@ from skein.functions.lexicon import Lexicon
 from skein.functions.text import let, literal, mask_terms
 
 MASK = "[D]"
-STOPS = r"[^.,;!?\[\]()…\n]*"
-#: Levels of the cue classes where nothing in the window changes them.
+# Where the window behind a cue ends, and the marks of changed cues.
+STOPS = r"[^,.…·;!?'\"“”‘’()\[\]<>〈〉/|]*"
+AFTER_MARKS = {"negation": "+부정", "may": "+가능성", "can": "+수 있", "weak": "(약)"}
+BEFORE_MARKS = {"negation": "not+", "may": "may+", "can": "can+"}
+#: The scale's names; levels of the cue classes where nothing in the window changes them.
+NAMES = ("no_statement", "no_relationship", "correlational", "ambiguous", "conditional_causal", "can_cause", "causal")
 LEVELS = {"no_relationship": 1, "causal": 6, "conditional": 4, "ambiguous": 3, "ambiguous_weak": 3, "correlational": 2}
 
 
@@ -34,22 +38,27 @@ class ClaimCoder:
 
         def hit(span: Column) -> Column:
             near = self._near(text, span)
-            level = F.lit(LEVELS[kind])
+            plain = F.concat(span["text"], F.lit(AFTER_MARKS["weak"])) if kind == "ambiguous_weak" else span["text"]
+            marked = lambda mark: F.concat(F.lit(BEFORE_MARKS[mark]), span["text"]) if self.before else F.concat(span["text"], F.lit(AFTER_MARKS[mark]))
+            pair = lambda level, cue: F.struct(F.lit(level).alias("level"), cue.alias("cue"))
             if kind == "causal":
-                level = F.when(lex.any_(near, "negation"), 1).when(lex.any_(near, "may"), 4).when(lex.any_(near, "can"), 5).otherwise(6)
-            elif kind not in ("no_relationship", "conditional"):
-                level = F.when(lex.any_(near, "negation"), 1).otherwise(LEVELS[kind])
-            return F.struct(level.cast("int").alias("level"), span["text"].alias("cue"))
+                return F.when(lex.any_(near, "negation"), pair(1, marked("negation"))).when(lex.any_(near, "may"), pair(4, marked("may"))).when(lex.any_(near, "can"), pair(5, marked("can"))).otherwise(pair(6, plain))
+            if kind in ("no_relationship", "conditional"):
+                return pair(LEVELS[kind], plain)
+            return F.when(lex.any_(near, "negation"), pair(1, marked("negation"))).otherwise(pair(LEVELS[kind], plain))
 
         return F.transform(lex.spans(text, kind), hit)
 
-    def code(self, sentence: Column, drug_terms: Sequence[str] = (), outcome_terms: Sequence[str] = (), require_target: bool = True) -> Column:
-        """struct(level, cues, negated, question, direction, sentence)."""
+    def code(self, sentence: Column, drug_terms: Sequence[str] | Column = (), outcome_terms: Sequence[str] | Column = (), require_target: bool = True) -> Column:
+        """struct(level, cues, negated, question, direction, sentence) of a normalised sentence; cues are 'level:cue', with a mark where the window changed
+        their level. Terms are given, or columns of terms_pattern()."""
         text = mask_terms(sentence, drug_terms, MASK)
         gate = F.lit(True)
         if require_target:
             gate = F.contains(text, F.lit(MASK))
-            if outcome_terms:
+            if isinstance(outcome_terms, Column):
+                gate = gate | F.rlike(text, outcome_terms)
+            elif outcome_terms:
                 gate = gate | text.rlike("(?iu)" + "|".join(map(literal, outcome_terms)))
             if "exposure" in self.lexicon.sections:
                 gate = gate | self.lexicon.any_(text, "exposure")
@@ -61,7 +70,7 @@ class ClaimCoder:
 
         def result(found: Column) -> Column:
             level = F.coalesce(F.array_max(F.transform(found, lambda h: h["level"])), F.lit(0))
-            return let(level, lambda n: F.struct(n.alias("level"), F.transform(F.filter(found, lambda h: h["level"] == n), lambda h: h["cue"]).alias("cues"), (n == 1).alias("negated"), F.contains(sentence, F.lit("?")).alias("question"), self.direction(text, n).alias("direction"), sentence.alias("sentence")))
+            return let(level, lambda n: F.struct(n.alias("level"), F.transform(F.filter(found, lambda h: h["level"] == n), lambda h: F.concat(h["level"].cast("string"), F.lit(":"), h["cue"])).alias("cues"), (n == 1).alias("negated"), F.contains(sentence, F.lit("?")).alias("question"), self.direction(text, n).alias("direction"), sentence.alias("sentence")))
 
         return let(hits, result)
 

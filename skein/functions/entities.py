@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,7 +48,8 @@ def resolve_outlets(rows: DataFrame, outlets: DataFrame, url: str = "url", name:
 
 
 def _name(alias: str) -> str:
-    return "(?iu)" + (rf"(?<![A-Za-z]){literal(alias)}(?![A-Za-z])" if alias.isascii() else literal(alias))
+    """Latin names stand alone; the case counts."""
+    return rf"(?<![A-Za-z]){literal(alias)}(?![A-Za-z])" if re.fullmatch("[A-Za-z .]+", alias) else literal(alias)
 
 
 def find_not_journals(text: Column, names: Sequence[str]) -> Column:
@@ -97,20 +99,26 @@ def strip_tags(html: Column) -> Column:
 
 
 def clean_title(title: Column, outlet: Column, longest: int = 20, short: int = 8) -> Column:
-    """Unescaped, without [tags], and without a ' - Site' tail that names the outlet or is very short."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(unescape(title), r"\[[^\]]*\]", " "), r"\s+", " "))
-    tail = F.trim(F.regexp_extract(t, r"\s[-|:]\s([^-|:]+)$", 1))
-    names = (F.length(tail) <= longest) & F.coalesce(F.contains(F.lower(tail), F.lower(outlet)) & (outlet != ""), F.lit(False))
-    return F.when((tail != "") & (names | (F.length(tail) <= short)), F.trim(F.regexp_replace(t, r"\s[-|:]\s[^-|:]+$", ""))).otherwise(t)
-
-
-def portal_ids(url: Column) -> Column:
-    """struct(oid, aid) of a portal's article page, from its path (/article/<oid>/<aid>) or its oid and aid parameters; null if neither."""
-    path = r"/article/(?:comment/)?(\d{3})/(\d{10})"
-    param = lambda name: F.regexp_extract(url, rf"[?&]{name}=(\d+)", 1)
-    oid = F.coalesce(F.nullif(F.regexp_extract(url, path, 1), F.lit("")), F.nullif(param("oid"), F.lit("")))
-    aid = F.coalesce(F.nullif(F.regexp_extract(url, path, 2), F.lit("")), F.nullif(param("aid"), F.lit("")))
-    return F.when(oid.isNotNull() & aid.isNotNull(), F.struct(oid.alias("oid"), aid.alias("aid")))
+    """Unescaped, without a [tag] in front, and without a tail behind a separator that names the outlet (any for a blank outlet) or is very short."""
+    t = F.regexp_replace(F.trim(unescape(F.coalesce(title, F.lit("")))), r"^\[[^\]]{2,15}\]\s*", "")
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    name = F.coalesce(outlet, F.lit(""))
+    out = F.trim(t)
+    for sep in (" < ", " :: ", " : ", " - ", " | "):  # the last of these is looked at first
+        tail = F.substring_index(t, sep, -1)
+        fits = (F.length(tail) <= longest) & ((name == "") | F.contains(bare(tail), bare(name)) | (F.length(tail) <= short))
+        out = F.when(F.contains(t, F.lit(sep)) & fits, F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(tail) - len(sep)))).otherwise(out)
+    return out
+
+
+def portal_ids(url: Column, portal: str = "naver.com") -> Column:
+    """struct(oid, aid) of an article's page on the portal, from its path (/article/<oid>/<aid>) or its oid and aid parameters; null if neither."""
+    path = r"/article/(?:comment/)?(\d{3})/(\d{6,12})"
+    param = lambda name: F.regexp_extract(url, rf"[?&]{name}=([^&#]+)", 1)
+    head = F.regexp_extract(url, r"^[^?#]*", 0)
+    oid = F.coalesce(F.nullif(F.regexp_extract(head, path, 1), F.lit("")), F.nullif(param("oid"), F.lit("")))
+    aid = F.coalesce(F.nullif(F.regexp_extract(head, path, 2), F.lit("")), F.nullif(param("aid"), F.lit("")))
+    return F.when(F.contains(host_of(url), F.lit(portal)) & oid.isNotNull() & aid.isNotNull(), F.struct(oid.alias("oid"), aid.alias("aid")))
 
 
 def key_conditions(value: Column, known: Sequence[str]) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.entities import find_journals, normalize_url, portal_ids, resolve_outlets
+from skein.functions.text import literal, stable_id, terms_pattern
 from skein.plans.session import cut_lineage
 
 
@@ -42,11 +44,11 @@ def usable(articles: DataFrame, text_bad: DataFrame, excluded: DataFrame, key: s
     return good.join(text_bad.select(key), key, "left_anti").join(excluded.select(key), key, "left_anti")
 
 
-def selected_candidates(rows: DataFrame, use_auto: bool = True) -> DataFrame:
-    """include = Y, or blank with auto_include = Y; never background or unrelated links."""
-    blank = F.coalesce(F.trim("include"), F.lit("")) == ""
-    chosen = (F.upper("include") == "Y") | (blank & (F.col("auto_include") == "Y") if use_auto else F.lit(False))
-    return rows.filter(F.coalesce(chosen, F.lit(False)) & ~F.coalesce(F.col("link_type"), F.lit("")).isin("background", "unrelated"))
+def selected_candidates(rows: DataFrame, use_auto: bool = False) -> DataFrame:
+    """include = Y, or (use_auto) blank with auto_include = Y; never background or unrelated links. Missing columns are blank."""
+    of = lambda c: F.upper(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) if c in rows.columns else F.lit("")
+    chosen = (of("include") == "Y") | ((of("include") == "") & (of("auto_include") == "Y") if use_auto else F.lit(False))
+    return rows.filter(chosen & ~of("link_type").isin("BACKGROUND", "UNRELATED"))
 
 
 def stratified(rows: DataFrame, group: str, stratum: str, key: str, most: int, seed: str = "42") -> DataFrame:
@@ -109,10 +111,15 @@ def dedupe(rows: DataFrame, order: str) -> DataFrame:
 
 
 def save_candidates(new: DataFrame, old: DataFrame, columns: Sequence[str], human: Sequence[str], key: str = "candidate_id") -> DataFrame:
-    """The candidate table after a search: new rows with the human entries of old ones, and old rows that were not found again.
+    """The candidate table after a search: new rows, deduped in the order of `place` where they have it, with the human
+    entries of old ones, and old rows that were not found again.
 
     Sorted by bundle, best score first; a score that is no number is 0.
     """
+    if "place" in new.columns:
+        bare = F.regexp_replace(F.coalesce("title", F.lit("")), r"(?U)\W+", "")
+        url = F.when(F.coalesce("url", F.lit("")) != "", normalize_url(F.col("url")))
+        new = dedupe(new.withColumns({"norm_url": url, "bare_title": bare}), "place").drop("norm_url", "bare_title", "place")
     shown = [F.col(c) if c in new.columns else F.lit("").alias(c) for c in columns]
     gone = old.join(new.select(key), key, "left_anti").select(*[c for c in columns if c in old.columns])
     every = new.select(*shown).unionByName(gone, allowMissingColumns=True)
@@ -122,20 +129,13 @@ def save_candidates(new: DataFrame, old: DataFrame, columns: Sequence[str], huma
 
 
 def daily_budget(calls: DataFrame, ts: str, key: str, limit: int) -> DataFrame:
-    """Whether each call is within its day's limit, counted before the call. Hours are counted apart first, so a day is no single window."""
-    rows = calls.withColumn("_day", F.to_date(ts)).withColumn("_hour", F.hour(ts))
-    counts = rows.groupBy("_day", "_hour").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    """Whether each call is within its day's limit, counted before the call. Seconds are counted apart first, so no window holds an hour or a day of calls."""
+    rows = calls.withColumn("_day", F.to_date(ts)).withColumn("_second", F.date_trunc("second", F.col(ts)))
+    counts = rows.groupBy("_day", "_second").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_day").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy("_day", "_hour").orderBy(ts, key))
-    return rows.join(base, ["_day", "_hour"]).withColumn("used", (F.col("_base") + inside).cast("long")).withColumn("allowed", F.col("used") <= limit).withColumn("day", F.col("_day").cast("string")).drop("_day", "_hour", "_base")
-
-
-def coding_sheet(features: DataFrame, papers: DataFrame, blind: bool) -> DataFrame:
-    """The sheet of a coder: a blind coder sees no auto_ columns; the paper's finding comes along."""
-    shown = [c for c in features.columns if not (blind and c.startswith("auto_"))]
-    info = papers.select("bundle_id", F.coalesce(F.nullif(F.col("main_finding"), F.lit("")), F.col("conclusion_en")).alias("paper_finding"), F.coalesce(F.nullif(F.col("design"), F.lit("")), F.col("design_auto")).alias("paper_design"))
-    return features.select(*shown).join(info, "bundle_id", "left")
+    inside = F.row_number().over(Window.partitionBy("_day", "_second").orderBy(ts, key))
+    return rows.withColumn("_i", inside).join(base, ["_day", "_second"]).withColumn("used", (F.col("_base") + F.col("_i")).cast("long")).withColumn("allowed", F.col("used") <= limit).withColumn("day", F.col("_day").cast("string")).drop("_day", "_second", "_base", "_i")
 
 
 def status_table(bundles: DataFrame, counts: dict[str, DataFrame], enough: str, least: int = 3) -> DataFrame:
@@ -146,18 +146,109 @@ def status_table(bundles: DataFrame, counts: dict[str, DataFrame], enough: str,
     return out.na.fill(0).withColumn("state", F.when(F.col(enough) >= least, "OK").otherwise("few"))
 
 
-def relevance(title: Column, desc: Column, drugs: Sequence[str], outcomes: Sequence[str], own_journal: str, journals: Sequence[str], author: str, research: Sequence[str], day: Column, published: Column) -> Column:
-    """struct(score, auto_include, reasons) of a candidate for a paper."""
-    has = lambda c, terms: F.lit(False) if not terms else F.lower(c).rlike("|".join(t.lower() for t in terms))
-    both = F.concat_ws(" ", title, desc)
-    drug, outcome = has(both, drugs), has(both, outcomes)
-    gap = F.datediff(day, published)
-    own, other = has(both, [own_journal]), has(both, journals)
-    terms = [
-        (F.when(has(title, drugs), 2).when(has(desc, drugs), 1), "drug"), (F.when(has(title, outcomes), 2).when(has(desc, outcomes), 1), "outcome"),
-        (F.when(own, 3).when(other, -1), "journal"), (F.when(has(both, [author]), 2), "author"), (F.when(has(both, research), 1), "research"),
-        (F.when(gap < -3, -3).when(gap < 0, -1).when(gap <= 14, 1), "date"),
-    ]
-    score = sum((F.coalesce(t, F.lit(0)) for t, _ in terms), F.lit(0))
-    reasons = F.array_compact(F.array(*[F.when(t.isNotNull(), F.concat(F.lit(f"{n}:"), t.cast("string"))) for t, n in terms]))
-    return F.struct(score.alias("score"), F.when(~drug | ~outcome, "N").when(score >= 7, "Y").otherwise("?").alias("auto_include"), reasons.alias("reasons"))
+#: Words of reports on research.
+RESEARCH = ("연구", "논문", "학술지", "저널", "게재", "연구팀", "연구진", "분석 결과", "발표")
+
+
+def in_window(rows: DataFrame, bundles: DataFrame, day: str = "pub_date") -> DataFrame:
+    """Rows of known bundles whose day is within their bundle's date_from and date_to; a blank day or border passes."""
+    span = bundles.select("bundle_id", F.col("date_from").alias("_from"), F.col("date_to").alias("_to"))
+    at = F.try_to_date(F.substring(F.col(day).cast("string"), 1, 10), "yyyy-MM-dd")
+    outside = F.coalesce(at < F.col("_from"), F.lit(False)) | F.coalesce(at > F.col("_to"), F.lit(False))
+    return rows.join(span, "bundle_id").filter(~outside).drop("_from", "_to")
+
+
+def relevance(candidates: DataFrame, bundles: DataFrame, journals: Mapping[str, Sequence[str]], not_journals: Sequence[str] = (), research: Sequence[str] = RESEARCH) -> DataFrame:
+    """candidates (bundle_id, title, description, pub_date) with relevance_score, auto_include and relevance_reasons.
+
+    bundles: bundle_id, drug_terms, outcome_terms, journal, first_author, date_from, date_to, published. Terms are
+    literal, whatever their case; a blank own journal or author matches nothing; reasons are 'what:points'.
+    """
+    own = bundles.select("bundle_id", *[terms_pattern(F.col(c)).alias(f"_{c}") for c in ("drug_terms", "outcome_terms")], *[F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in ("journal", "first_author")], *[F.col(c).alias(f"_{c}") for c in ("date_from", "date_to", "published")])
+    c = candidates.join(own, "bundle_id").withColumns({"_t": F.coalesce("title", F.lit("")), "_d": F.coalesce("description", F.lit(""))})
+    both = F.concat_ws(" ", "_t", "_d")
+    c = c.withColumn("_found", find_journals(both, journals, not_journals)).withColumn("_day", F.try_to_date(F.substring(F.col("pub_date").cast("string"), 1, 10), "yyyy-MM-dd"))
+    has = lambda text, pattern: F.rlike(F.col(text), F.col(pattern))
+    drug, outcome = (has("_t", p) | has("_d", p) for p in ("_drug_terms", "_outcome_terms"))
+    named = lambda p: F.when(has("_t", p), 2).when(has("_d", p), 1)
+    date = F.when(F.col("_day") < F.col("_date_from"), -3).when(F.col("_day") > F.col("_date_to"), -1).when(F.datediff("_day", "_published").between(0, 14), 1)
+    points = {
+        "drug": named("_drug_terms"), "outcome": named("_outcome_terms"),
+        "journal": F.when((F.col("_journal") != "") & F.array_contains("_found", F.col("_journal")), 3).when(F.size("_found") > 0, -1),
+        "author": F.when((F.col("_first_author") != "") & F.contains(F.lower(both), F.lower("_first_author")), 2),
+        "research": F.when(both.rlike("(?iu)" + "|".join(map(literal, research))), 1) if research else F.lit(None).cast("int"),
+        "date": date,
+    }
+    c = c.withColumns({f"_p_{k}": v for k, v in points.items()} | {"_ok": drug & outcome})
+    score = sum((F.coalesce(F.col(f"_p_{k}"), F.lit(0)) for k in points), F.lit(0))
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_p_{k}").isNotNull(), F.concat(F.lit(f"{k}:"), F.col(f"_p_{k}").cast("string"))) for k in points])), "; ")
+    c = c.withColumns({"relevance_score": score, "relevance_reasons": reasons})
+    suggested = F.when(~F.col("_ok"), "N").when(F.col("relevance_score") >= 7, "Y").otherwise("?")
+    return c.withColumn("auto_include", suggested).select(*candidates.columns, "relevance_score", "auto_include", "relevance_reasons")
+
+
+def candidate_ids(rows: DataFrame) -> DataFrame:
+    """rows (bundle_id, url, outlet, title) with candidate_id: a digest of the bundle and the normalised URL, or the outlet and title without one."""
+    blank = F.trim(F.coalesce("url", F.lit(""))) == ""
+    place = F.when(blank, F.concat_ws("|", F.coalesce("outlet", F.lit("")), F.coalesce("title", F.lit("")))).otherwise(normalize_url(F.trim("url")))
+    return rows.withColumn("candidate_id", stable_id(F.col("bundle_id"), place))
+
+
+def seed_candidates(bundles: DataFrame, outlets: DataFrame, journals: Mapping[str, Sequence[str]], not_journals: Sequence[str] = ()) -> DataFrame:
+    """Candidate rows of the articles that bundles know already (known_articles: title_hint, url, outlet, date); people decide on them."""
+    known = bundles.select("bundle_id", F.explode("known_articles").alias("k")).select("bundle_id", *[F.coalesce(f"k.{a}", F.lit("")).alias(b) for a, b in (("title_hint", "title"), ("url", "url"), ("outlet", "name"), ("date", "_shown"))])
+    rows = resolve_outlets(known, outlets, name="name").drop("name").withColumns({"pub_date": F.lit(None).cast("string"), "description": F.lit("")})
+    scored = relevance(rows, bundles, journals, not_journals)
+    scored = scored.withColumns({"pub_date": F.col("_shown"), "description": F.when(F.col("url") == "", "URL and title to be checked").otherwise(""), "auto_include": F.lit("?")}).drop("_shown")
+    return candidate_ids(scored).withColumns({"source": F.lit("known"), "query": F.lit("")})
+
+
+def score_imported(rows: DataFrame, bundles: DataFrame, outlets: DataFrame, journals: Mapping[str, Sequence[str]], source: str, not_journals: Sequence[str] = ()) -> DataFrame:
+    """Candidates of an imported list (spreadsheets.import_candidates()) with their outlets resolved and their scores, ready for save_candidates()."""
+    named = resolve_outlets(rows.withColumnRenamed("outlet", "name"), outlets, name="name").drop("name")
+    return relevance(named, bundles, journals, not_journals).withColumn("source", F.lit(source))
+
+
+def best_texts(candidates: DataFrame, manual: DataFrame, existing: DataFrame, fetched: DataFrame) -> DataFrame:
+    """One article per candidate and one per existing article: a person's text first, then what was fetched well before, then the
+    new fetch; an article that is no longer chosen stays as it was.
+
+    manual: article_id, title, body. existing and fetched: article_id, status, title, body (fetched: a row per try with
+    its rank; the first that is ok counts, else the last). candidates: candidate_id, bundle_id, title.
+    """
+    c = candidates.select(F.col("candidate_id").alias("article_id"), "bundle_id", F.col("title").alias("_asked"))
+    good = F.struct((F.col("status") != "ok").cast("int").alias("bad"), F.when(F.col("status") == "ok", F.col("rank")).otherwise(-F.col("rank")).alias("r"))
+    tried = fetched.groupBy("article_id").agg(F.min_by(F.struct("status", "title", "body"), good).alias("_f"))
+    m = manual.select("article_id", F.struct(F.lit("ok").alias("status"), F.col("title"), F.col("body")).alias("_m"))
+    e = existing.select("article_id", F.struct("status", "title", "body").alias("_e"))
+    nothing = F.struct(F.lit("no_url").alias("status"), F.lit("").alias("title"), F.lit("").alias("body"))
+    rows = c.join(m, "article_id", "left").join(e, "article_id", "left").join(tried, "article_id", "left")
+    best = F.when(F.col("_m").isNotNull(), F.col("_m")).when(F.col("_e.status") == "ok", F.col("_e")).otherwise(F.coalesce("_f", nothing))
+    origin = F.when(F.col("_m").isNotNull(), "manual").when(F.col("_e.status") == "ok", "existing").when(F.col("_f").isNotNull(), "fetched").otherwise("none")
+    rows = rows.select("article_id", "bundle_id", best.alias("_b"), origin.alias("origin"), "_asked")
+    rows = rows.select("article_id", "bundle_id", "_b.status", F.when(F.coalesce("_b.title", F.lit("")) != "", F.col("_b.title")).otherwise(F.col("_asked")).alias("title"), F.coalesce("_b.body", F.lit("")).alias("body"), "origin")
+    rest = existing.join(c.select("article_id"), "article_id", "left_anti").select("article_id", "bundle_id", "status", "title", "body", F.lit("existing").alias("origin"))
+    return rows.unionByName(rest)
+
+
+def pending_comments(articles: DataFrame, comments: DataFrame) -> DataFrame:
+    """article_id, oid, aid of the articles on the portal that have no comments yet: what a collection has still to ask for."""
+    ids = F.coalesce(portal_ids(F.col("naver_url")), portal_ids(F.col("fetched_url")))
+    todo = articles.join(comments.select("article_id").distinct(), "article_id", "left_anti")
+    return todo.withColumn("_ids", ids).filter("_ids is not null").select("article_id", "bundle_id", "_ids.oid", "_ids.aid")
+
+
+def discover(hits: DataFrame, order: str) -> DataFrame:
+    """drug, outcome, journal, month, n_articles, n_outlets, example_titles, example_urls of search hits (drug, outlet, title, url, month, outcomes, journals); the most outlets, then articles first.
+
+    A URL counts once in a group. Of each group the first four articles are shown; they are chosen by their order
+    before groups are gathered, so a large group is counts and four rows.
+    """
+    group = ["drug", "outcome", "journal", "month"]
+    e = hits.withColumn("outcome", F.explode("outcomes")).withColumn("journal", F.explode("journals"))
+    once = e.groupBy(*group, "url").agg(F.min(F.struct(F.col(order).alias("_o"), "outlet", "title")).alias("f")).select(*group, "url", "f.*")
+    sizes = once.groupBy(*group).agg(F.count(F.lit(1)).alias("n_articles"), F.countDistinct("outlet").alias("n_outlets"))
+    first = once.withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy("_o"))).filter("_k <= 4")
+    shown = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_k", "outlet", "title", "url"))).alias("s"))
+    titles = F.array_join(F.transform("s", lambda x: F.concat(F.lit("["), x["outlet"], F.lit("] "), x["title"])), " || ")
+    return sizes.join(shown, group).select(*group, "n_articles", "n_outlets", titles.alias("example_titles"), F.array_join(F.col("s.url"), " ").alias("example_urls")).orderBy(F.desc("n_outlets"), F.desc("n_articles"), *group)

@@ -1,25 +1,21 @@
-"""The queries of the message-strength engine and their SQL, by name.
-
-Domain tables map to the test tables: an article is a document (bundle = source, outlet type = lang, title = first
-line), coders are the two label columns, comments are conversation turns, calls are events.
-"""
+"""The queries of the engine's operators and their SQL, by name; plans/study.py has those of the dataset, plans/collection.py
+those of sources and sheets. Coders are the two label columns, calls are events."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import entities, text
 from skein.functions.claims import ClaimCoder, advice_level, condition_map
-from skein.functions.lexicon import Lexicon
-from skein.operators import agreement, features, mining, stats, tables
-from skein.operators import feasibility as feasible
+from skein.functions.lexicon import ENGLISH, Lexicon
+from skein.operators import agreement, mining, tables
+from skein.plans import collection, study  # noqa: F401  (their queries register themselves)
+from skein.plans.registry import ORACLE_SQL, QUERIES, query, quoted, table
+from skein.plans.study import ARTICLES, DATASET, articles, coded, kappa_sql
 from skein.sources import readers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: A lexicon over the words of the test tables.
 LEXICON = Lexicon({
@@ -32,223 +28,151 @@ LEXICON = Lexicon({
 DRUGS, OUTCOMES = ["that", "the"], ["and", "with"]
 
 
-def query(sql: str = ""):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+@query("SELECT doc_id, substr(sha1(source || '|' || lang || '|' || CAST(doc_id AS VARCHAR)), 1, 12) AS id FROM documents")
+def stable_id(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("id"))
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+_KEYS = ["dose", "group", "design", "time"]
+_COND = {"dose": "that", "group": "with|mit der", "design": "for|por", "time": "from"}
+_SENTENCES = study.sentences_sql(f"string_split({study.normal('text')}, chr(10))")
 
 
-def articles(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("article_id"), F.col("source").alias("bundle_id"), F.col("lang").alias("outlet_type"), text.first_line(F.col("text")).alias("title"), text.rest_lines(F.col("text")).alias("body"), "text")
+@query(f"SELECT doc_id, {study.normal('text')} AS text FROM documents")
+def normalize_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
 
-ARTICLES = """articles AS (SELECT doc_id AS article_id, source AS bundle_id, lang AS outlet_type, split_part(text, chr(10), 1) AS title,
-    CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body, text FROM documents)"""
+@query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '~') AS sentences FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
+def sentence_split(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "~").alias("sentences"))
 
 
-def level(c):
-    """Headline level by the strongest cue class, without windows."""
-    return F.when(LEXICON.any_(c, "strong"), 6).when(LEXICON.any_(c, "weak"), 3).otherwise(0)
+@query(rf"""SELECT doc_id, len(s) AS n, array_to_string(s, '~') AS sentences FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace({study.normal('text')}, chr(10), ' '),
+  '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)""")
+def english_sentences(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", text.split_english_sentences(F.col("text")).alias("s"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "~").alias("sentences"))
 
 
-def _level_sql(c: str) -> str:
-    return f"CASE WHEN regexp_matches({c}, '(?i)(ing|ment|ung)') THEN 6 WHEN regexp_matches({c}, '(?i)(an|en)') THEN 3 ELSE 0 END"
+@query(f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents) SELECT doc_id, count(*) AS n, CAST(count_if({study._noise('x')}) AS BIGINT) AS noise FROM s GROUP BY doc_id""")
+def noise_lines(spark, sf):
+    s = table(spark, sf, "documents").select("doc_id", F.explode(text.split_sentences(F.col("text"))).alias("x"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.is_noise_sentence(F.col("x"))).alias("noise"))
 
 
-PAPER = "CAST(substr(bundle_id, 4) AS INT) % 7"
+#: Lines that look like credits, bylines, stamps and heads, made of the comments' turns.
+_CREDITED = """SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN '(서울=통신) 김가나 기자 = ' || s WHEN 1 THEN '[자료] 이다라 특파원=' || s WHEN 2 THEN s || ' 최마바 인턴 기자 = ' || s WHEN 3 THEN '사진=' || left(s, 20) WHEN 4 THEN '등록 2026.09.07 15:00:00 ' || s WHEN 5 THEN left(s, 9) ELSE s END AS x FROM (SELECT conv_id, turn, split_part(text, chr(10), 1) AS s FROM conversations)"""
 
 
-def coded(spark: SparkSession, sf: str) -> DataFrame:
-    """The analysis dataset: title and lead levels against the paper's, and the derived three-valued flags."""
-    a = articles(spark, sf)
-    lead = F.substring("body", 1, 120)
-    a = a.select("article_id", "bundle_id", "outlet_type", level(F.col("title")).alias("title_strength"), F.when(F.length("body") > 0, level(lead)).alias("lead_strength"), (F.substring("bundle_id", 4, 9).cast("int") % 7).alias("paper_strength"), F.contains("text", F.lit("!")).cast("int").alias("question"))
-    flag = lambda ok, cond: F.when(ok, cond.cast("double"))
-    return a.select(
-        "*",
-        (F.col("title_strength") - F.col("paper_strength")).alias("delta_title"),
-        flag(F.lit(True), F.col("title_strength") > F.col("paper_strength")).alias("exceeds_title"),
-        flag(F.col("lead_strength").isNotNull(), F.col("lead_strength") > F.col("paper_strength")).alias("exceeds_lead"),
-        flag(F.col("paper_strength") <= 3, F.col("title_strength") >= 4).alias("causal_inflation"),
-        flag(F.lit(True), F.col("title_strength") >= 5).alias("strong_title"),
-        (F.col("title_strength") - F.col("lead_strength")).alias("title_minus_lead"),
-    )
-
-
-CODED = f"""{ARTICLES}, base AS (SELECT article_id, bundle_id, outlet_type, {_level_sql('title')} AS title_strength,
-    CASE WHEN length(body) > 0 THEN {_level_sql('substr(body, 1, 120)')} END AS lead_strength, {PAPER} AS paper_strength,
-    CAST(contains(text, '!') AS INT) AS question FROM articles),
-  coded AS (SELECT *, title_strength - paper_strength AS delta_title, CAST(title_strength > paper_strength AS DOUBLE) AS exceeds_title,
-    CAST(lead_strength > paper_strength AS DOUBLE) AS exceeds_lead, CASE WHEN paper_strength <= 3 THEN CAST(title_strength >= 4 AS DOUBLE) END AS causal_inflation,
-    CAST(title_strength >= 5 AS DOUBLE) AS strong_title, title_strength - lead_strength AS title_minus_lead FROM base)"""
-FLAGS = ["exceeds_title", "exceeds_lead", "causal_inflation", "strong_title"]
-
-
-@query(f"WITH {CODED} SELECT * FROM coded")
-def dataset_flags(spark, sf):
-    return coded(spark, sf)
-
-
-@query(f"""WITH {CODED} SELECT outlet_type, count(*) AS n, count(DISTINCT bundle_id) AS bundles, round(avg(title_strength), 4) AS mean_strength,
-  round(avg(delta_title), 4) AS mean_delta, round(avg(strong_title), 4) AS strong_rate, round(avg(exceeds_title), 4) AS exceeds_rate,
-  round(100.0 * avg(question), 4) AS question_pct FROM coded GROUP BY outlet_type""")
-def outlet_rates(spark, sf):
-    r = lambda c: F.round(F.avg(c), 4)
-    return coded(spark, sf).groupBy("outlet_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("bundle_id").alias("bundles"), r("title_strength").alias("mean_strength"), r("delta_title").alias("mean_delta"), r("strong_title").alias("strong_rate"), r("exceeds_title").alias("exceeds_rate"), F.round(100.0 * F.avg("question"), 4).alias("question_pct"))
-
-
-@query(f"""WITH {CODED}, long AS (UNPIVOT (SELECT {', '.join(FLAGS)} FROM coded) ON {', '.join(FLAGS)} INTO NAME flag VALUE value)
-  SELECT flag, count(value) AS n, round(avg(value), 6) AS rate FROM long GROUP BY flag""")
-def overall_rates(spark, sf):
-    long = coded(spark, sf).select(*FLAGS).unpivot([], FLAGS, "flag", "value")
-    return long.groupBy("flag").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("rate"))
-
-
-@query(f"""WITH {CODED} SELECT bundle_id, min(paper_strength) AS paper_strength, count(*) AS n, min(title_strength) AS lowest, max(title_strength) AS highest,
-  round(avg(title_strength), 4) AS mean, round(stddev_pop(title_strength), 4) AS sd, CAST(sum(exceeds_title) AS BIGINT) AS exceeds,
-  array_to_string(list_sort(list_distinct(list(outlet_type))), ',') AS outlet_types FROM coded GROUP BY bundle_id""")
-def bundle_ladder(spark, sf):
-    s = "title_strength"
-    return coded(spark, sf).groupBy("bundle_id").agg(F.min("paper_strength").alias("paper_strength"), F.count(F.lit(1)).alias("n"), F.min(s).alias("lowest"), F.max(s).alias("highest"), F.round(F.avg(s), 4).alias("mean"), F.round(F.stddev_pop(s), 4).alias("sd"), F.sum("exceeds_title").cast("long").alias("exceeds"), F.array_join(F.array_sort(F.collect_set("outlet_type")), ",").alias("outlet_types"))
-
-
-@query(f"""WITH {CODED} SELECT count(*) AS n, round(100 * avg(CAST(title_minus_lead > 0 AS DOUBLE)), 4) AS stronger, round(100 * avg(CAST(title_minus_lead = 0 AS DOUBLE)), 4) AS equal,
-  round(100 * avg(CAST(title_minus_lead < 0 AS DOUBLE)), 4) AS weaker, round(avg(title_minus_lead), 4) AS mean_diff FROM coded WHERE title_minus_lead IS NOT NULL""")
-def title_vs_lead(spark, sf):
-    d, pct = F.col("title_minus_lead"), lambda c: F.round(100 * F.avg(c.cast("double")), 4)
-    return coded(spark, sf).filter(d.isNotNull()).agg(F.count(F.lit(1)).alias("n"), pct(d > 0).alias("stronger"), pct(d == 0).alias("equal"), pct(d < 0).alias("weaker"), F.round(F.avg(d), 4).alias("mean_diff"))
-
-
-@query(f"""WITH {CODED}, pr AS (SELECT *, CASE WHEN CAST(substr(bundle_id, 4) AS INT) % 3 <> 0 THEN CAST(substr(bundle_id, 4) AS INT) % 5 END AS pr_strength FROM coded)
-  SELECT pr_strength > paper_strength AS pr_exceeds, count(*) AS n, count(DISTINCT bundle_id) AS bundles, round(avg(exceeds_title), 6) AS rate FROM pr
-  WHERE pr_strength IS NOT NULL AND (SELECT count(DISTINCT bundle_id) FROM pr WHERE pr_strength IS NOT NULL) >= 3 GROUP BY 1""")
-def press_release(spark, sf):
-    k = F.substring("bundle_id", 4, 9).cast("int")
-    pr = coded(spark, sf).withColumn("pr_strength", F.when(k % 3 != 0, k % 5)).filter("pr_strength is not null")
-    enough = pr.agg((F.countDistinct("bundle_id") >= 3).alias("enough"))
-    return pr.join(F.broadcast(enough), F.lit(True)).filter("enough").groupBy((F.col("pr_strength") > F.col("paper_strength")).alias("pr_exceeds")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("bundle_id").alias("bundles"), F.round(F.avg("exceeds_title"), 6).alias("rate"))
+def _credited(spark, sf):
+    s, k = text.first_line(F.col("text")), F.col("turn") % 7
+    x = F.when(k == 0, F.concat(F.lit("(서울=통신) 김가나 기자 = "), s)).when(k == 1, F.concat(F.lit("[자료] 이다라 특파원="), s)).when(k == 2, F.concat(s, F.lit(" 최마바 인턴 기자 = "), s)).when(k == 3, F.concat(F.lit("사진="), F.substring(s, 1, 20))).when(k == 4, F.concat(F.lit("등록 2026.09.07 15:00:00 "), s)).when(k == 5, F.substring(s, 1, 9)).otherwise(s)
+    return table(spark, sf, "conversations").select("conv_id", "turn", x.alias("x"))
 
 
-_KEYS = ["dose", "group", "design", "time"]
-_COND = {"dose": "that", "group": "with|mit der", "design": "for|por", "time": "from"}
-_LONG = f"""{ARTICLES}, keyed AS (SELECT article_id, title, body, unnest(list_filter(string_split_regex(lower('Dose; group,design/' || outlet_type || ' time'), '[;,/[:space:]]+'),
-    lambda x: list_contains(['dose', 'group', 'design', 'time'], x))) AS condition FROM articles),
-  retained AS (SELECT article_id, condition, CASE condition {' '.join(f"WHEN '{k}' THEN regexp_matches(title, '(?i)({v})')" for k, v in _COND.items())} END AS in_title,
-    CASE condition {' '.join(f"WHEN '{k}' THEN regexp_matches(body, '(?i)({v})')" for k, v in _COND.items())} END AS in_body FROM keyed)"""
+@query(f"SELECT conv_id, turn, {study._stripped(f"regexp_replace({study._BYLINE}, {quoted(text.LEADING_BYLINE)}, '')")} AS x FROM ({_CREDITED})")
+def leading_byline(spark, sf):
+    return _credited(spark, sf).withColumn("x", text.strip_leading_byline(F.col("x")))
 
 
-def retained(spark, sf):
-    a = articles(spark, sf)
-    parts = F.split(F.lower(F.concat(F.lit("Dose; group,design/"), "outlet_type", F.lit(" time"))), r"[;,/\s]+")
-    a = a.withColumn("t", condition_map(LEXICON, F.col("title"))).withColumn("b", condition_map(LEXICON, F.col("body")))
-    long = a.select("article_id", "t", "b", F.explode(F.filter(parts, lambda x: x.isin(*_KEYS))).alias("condition"))
-    return long.select("article_id", "condition", F.element_at("t", F.col("condition")).alias("in_title"), F.element_at("b", F.col("condition")).alias("in_body"))
+@query(f"SELECT conv_id, turn, {study._head('x')} AS head, {study._noise('x')} AS noise FROM (SELECT *, left(x, 14) AS title FROM ({_CREDITED}))")
+def head_lines(spark, sf):
+    c = _credited(spark, sf)
+    return c.select("conv_id", "turn", text.is_head_line(F.col("x"), F.substring("x", 1, 14)).alias("head"), text.is_noise_sentence(F.col("x")).alias("noise"))
 
 
-@query(f"WITH {_LONG} SELECT *, NOT in_title AND in_body AS dropped, NOT in_title AND NOT in_body AS absent FROM retained")
-def condition_retention(spark, sf):
-    return retained(spark, sf).withColumn("dropped", ~F.col("in_title") & F.col("in_body")).withColumn("absent", ~F.col("in_title") & ~F.col("in_body"))
+@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n+'), x -> trim(regexp_replace(x, '\\s+', ' ', 'g'))),
+  x -> x <> '' AND NOT (regexp_matches(x, {quoted(text.BOILERPLATE)}) AND length(x) < 120) AND NOT (regexp_matches(x, {quoted(text.CAPTION)}) AND length(x) < 60)), chr(10)) AS body FROM documents""")
+def clean_body(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.clean_body(F.col("text")).alias("body"))
 
 
-@query(f"""WITH {_LONG} SELECT condition, count(*) AS n, round(100 * avg(CAST(in_title AS INT)), 4) AS in_title_pct, round(100 * avg(CAST(in_body AS INT)), 4) AS in_body_pct,
-  round(100 * avg(CAST(NOT in_title AND in_body AS INT)), 4) AS dropped_pct FROM retained GROUP BY condition""")
-def condition_summary(spark, sf):
-    pct = lambda c: F.round(100 * F.avg(c.cast("int")), 4)
-    return retained(spark, sf).groupBy("condition").agg(F.count(F.lit(1)).alias("n"), pct(F.col("in_title")).alias("in_title_pct"), pct(F.col("in_body")).alias("in_body_pct"), pct(~F.col("in_title") & F.col("in_body")).alias("dropped_pct"))
+@query("SELECT doc_id, regexp_matches(text, '(?i)(ing|ment|ung)') AS strong, regexp_matches(text, '(?i)(an|en)') AS weak FROM documents")
+def lexicon_any(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", LEXICON.any_(F.col("text"), "strong").alias("strong"), LEXICON.any_(F.col("text"), "weak").alias("weak"))
 
 
-@query("SELECT doc_id, substr(sha1(source || '|' || lang || '|' || CAST(doc_id AS VARCHAR)), 1, 12) AS id FROM documents")
-def stable_id(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string")).alias("id"))
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), 'that|mit der|with|for|por|from')) AS n FROM documents")
+def lexicon_count(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", LEXICON.count(F.col("text"), "conditions").cast("long").alias("n"))
 
 
-_SENTENCES = r"""list_filter(list_transform(flatten(list_transform(string_split(text, chr(10)), lambda p: string_split(regexp_replace(p, '([.!?])[ \t\r\f\v]+([^ \t\r\f\v])', '\1' || chr(1) || '\2', 'g'), chr(1)))),
-  lambda x: regexp_replace(x, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g')), lambda x: x <> '')"""
+@query("SELECT doc_id, md5(regexp_replace(text, '(?i)that|the', '[D]', 'g')) AS masked FROM documents")
+def mask_terms(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.mask_terms(F.col("text"), DRUGS).cast("binary")).alias("masked"))
 
 
-@query(f"SELECT doc_id, len(s) AS n, array_to_string(s, '~') AS sentences FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
-def sentence_split(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.split_sentences(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "~").alias("sentences"))
+@query(f"WITH {study.BUNDLES} SELECT doc_id, md5(regexp_replace(text, drugs, '[D]', 'g')) AS masked FROM documents JOIN bundles ON source = bundle_id")
+def mask_bundle_terms(spark, sf):
+    b = study.bundles(spark, sf).select(F.col("bundle_id").alias("source"), text.terms_pattern(F.col("drug_terms")).alias("p"))
+    return table(spark, sf, "documents").join(b, "source").select("doc_id", F.md5(text.mask_terms(F.col("text"), F.col("p")).cast("binary")).alias("masked"))
 
 
-@query(r"""SELECT doc_id, len(s) AS n, s[1] AS first_sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(
-  regexp_replace(text, '\s*\n\s*', ' ', 'g'), '([.!?])\s+([A-Z(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)""")
-def english_sentences(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.split_english_sentences(F.col("text")).alias("s"))
-    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first_sentence"))
+_CUES = "that|mit der|with|for|por|from"
 
 
-@query(f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents) SELECT doc_id, count(*) AS n, CAST(count_if(length(x) < 8
-  OR regexp_matches(x, '{text.BOILERPLATE}') OR (length(x) < 60 AND (regexp_matches(x, '{text.CAPTION}') OR regexp_matches(x, '[\\w.]+@[\\w.]+')))) AS BIGINT) AS noise FROM s GROUP BY doc_id""")
-def noise_lines(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", F.explode(text.split_sentences(F.col("text"))).alias("x"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(text.is_noise_sentence(F.col("x"))).alias("noise"))
+@query(f"""WITH f AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{_CUES}') AS found, string_split_regex(lower(text), '{_CUES}') AS gaps FROM documents),
+  p AS (SELECT doc_id, text, found, gaps, unnest(range(1, len(found) + 1)) AS i FROM f), q AS (SELECT doc_id, text, length(array_to_string(gaps[1:i], '')) + length(array_to_string(found[1:i - 1], '')) AS start, length(found[i]) AS len FROM p)
+  SELECT doc_id, start, len, substr(text, start + 1, len) AS text FROM q""")
+def cue_spans(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.explode(LEXICON.spans(F.col("text"), "conditions")).alias("s"))
+    return d.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.len").cast("long").alias("len"), "s.text")
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^ | $', '', 'g')),
-  lambda x: x <> '' AND NOT (regexp_matches(x, '{text.BOILERPLATE}') AND length(x) < 120) AND NOT (regexp_matches(x, '{text.CAPTION}') AND length(x) < 60)), chr(10)) AS body FROM documents""")
-def clean_body(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.clean_body(F.col("text")).alias("body"))
+@query(f"WITH {study.BUNDLES}, d AS (SELECT doc_id, lower(regexp_replace(text, drugs, '[D]', 'g')) AS m FROM documents JOIN bundles ON source = bundle_id) SELECT doc_id, " + ", ".join(f"array_to_string(list_distinct(regexp_extract_all(m, '{'|'.join(e)}')), '; ') AS {k}" for k, e in (("design", ["for"]), ("dose", ["from"]))) + " FROM d")
+def condition_cues(spark, sf):
+    b = study.bundles(spark, sf).select(F.col("bundle_id").alias("source"), text.terms_pattern(F.col("drug_terms")).alias("p"))
+    one = Lexicon({"conditions": {"design": ["for"], "dose": ["from"]}})
+    d = table(spark, sf, "documents").join(b, "source").withColumn("m", F.lower(text.mask_terms(F.col("text"), F.col("p"))))
+    return d.select("doc_id", *[F.array_join(F.array_distinct(one.texts(F.col("m"), "conditions", k)), "; ").alias(k) for k in ("design", "dose")])
 
 
-@query()
-def segment_lead(spark, sf):
-    a = articles(spark, sf).withColumn("s", text.segment(F.col("title"), F.col("body")))
-    return a.select("article_id", F.array_join("s.lead", " ").alias("lead"), F.size("s.rest").alias("n_rest"))
+_ALL_SENTENCES = f"{study.BUNDLES}, cutup AS (SELECT doc_id, drugs, outcomes, {_SENTENCES} AS s FROM documents JOIN bundles ON source = bundle_id), sent AS (SELECT doc_id AS article_id, '' AS part, i, s[i] AS x, drugs, outcomes, {{gated}} AS gated FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM cutup)), {study.CLAIMS}"
+CODER = ClaimCoder(study.LEXICON)
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)(ing|ment|ung)') AS strong, regexp_matches(text, '(?i)(an|en)') AS weak FROM documents")
-def lexicon_any(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", LEXICON.any_(F.col("text"), "strong").alias("strong"), LEXICON.any_(F.col("text"), "weak").alias("weak"))
+def _sentence_rows(spark, sf):
+    b = study.bundles(spark, sf).select(F.col("bundle_id").alias("source"), *[text.terms_pattern(F.col(f"{k}_terms")).alias(k) for k in ("drug", "outcome")])
+    return table(spark, sf, "documents").join(b, "source").withColumn("s", text.split_sentences(F.col("text")))
 
 
-@query(f"WITH {ARTICLES} SELECT article_id, len(regexp_extract_all(lower(title), 'that|mit der|with|for|por|from')) AS n FROM articles")
-def lexicon_count(spark, sf):
-    return articles(spark, sf).select("article_id", LEXICON.count(F.col("title"), "conditions").cast("long").alias("n"))
+def _strength(spark, sf, gated):
+    c = _sentence_rows(spark, sf).select("doc_id", F.posexplode("s").alias("i", "x"), "drug", "outcome").select("doc_id", "i", CODER.code(F.col("x"), F.col("drug"), F.col("outcome"), gated).alias("c"))
+    return c.filter("c.level > 0").select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "c.level", "c.direction", "c.question")
 
 
-@query(f"WITH {ARTICLES} SELECT article_id, regexp_replace(title, '(?i)that|the', '[D]', 'g') AS masked FROM articles")
-def mask_terms(spark, sf):
-    return articles(spark, sf).select("article_id", text.mask_terms(F.col("title"), DRUGS).alias("masked"))
+@query(f"WITH {_ALL_SENTENCES.format(gated='false')} SELECT article_id AS doc_id, i, level, direction, contains(x, '?') AS question FROM claims WHERE level > 0")
+def claim_strength(spark, sf):
+    return _strength(spark, sf, False)
 
 
-@query()
-def cue_spans(spark, sf):
-    a = articles(spark, sf).select("article_id", F.explode(LEXICON.spans(F.col("title"), "conditions")).alias("s"))
-    return a.select("article_id", "s.start", "s.len", "s.text")
+@query(f"WITH {_ALL_SENTENCES.format(gated='true')} SELECT article_id AS doc_id, i, level, direction, contains(x, '?') AS question FROM claims WHERE level > 0")
+def claim_strength_gated(spark, sf):
+    return _strength(spark, sf, True)
 
 
-_NEAR = r"""list_transform((string_split(lower(x), '{cue}'))[2:], lambda p: regexp_extract(left(p, 8), '^[^.,;!?\[\]()…\n]*'))"""
-_CLAIMS = f"""s AS (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents), w AS (SELECT doc_id, x, {_NEAR.format(cue='tionan')} AS causal, {_NEAR.format(cue='ingth')} AS corr FROM s),
-  levels AS (SELECT doc_id, x, list_concat(list_transform(causal, lambda p: CASE WHEN contains(p, 'of') THEN 1 WHEN contains(p, 'and') THEN 4 WHEN contains(p, 'the') THEN 5 ELSE 6 END),
-    list_transform(corr, lambda p: CASE WHEN contains(p, 'of') THEN 1 ELSE 2 END)) AS h FROM w),
-  claims AS (SELECT doc_id, x, coalesce(list_max(h), 0) AS level FROM levels)"""
-CODER = ClaimCoder(LEXICON, window=8)
+@query(f"""WITH {_ALL_SENTENCES.format(gated='true')} SELECT article_id AS doc_id, CAST(max(level) AS INT) AS level, arg_max(direction, level * 1000000 - i) AS direction, md5(arg_max(x, level * 1000000 - i)) AS sentence, bool_or(contains(x, '?')) AS question FROM claims GROUP BY article_id""")
+def unit_strongest(spark, sf):
+    d = _sentence_rows(spark, sf).select("doc_id", CODER.unit(F.col("s"), F.col("drug"), F.col("outcome")).alias("u"))
+    return d.filter("u is not null").select("doc_id", "u.level", "u.direction", F.md5(F.col("u.sentence").cast("binary")).alias("sentence"), "u.question")
 
 
-@query(f"""WITH {_CLAIMS}, d AS (SELECT doc_id, level, contains(lower(x), 'on the') AS up, contains(lower(x), 'in the') AS down FROM claims)
-  SELECT doc_id, level, CASE WHEN level = 1 THEN 'null' WHEN up AND down THEN 'mixed' WHEN up THEN 'increase' WHEN down THEN 'decrease' ELSE '' END AS direction, count(*) AS n FROM d WHERE level > 0 GROUP BY ALL""")
-def claim_strength(spark, sf):
-    s = table(spark, sf, "documents").select("doc_id", F.explode(text.split_sentences(F.col("text"))).alias("x"))
-    s = s.filter(LEXICON.any_(F.col("x"), "causal") | LEXICON.any_(F.col("x"), "correlational"))  # others have level 0
-    c = s.select("doc_id", CODER.code(F.col("x"), require_target=False).alias("c")).select("doc_id", "c.level", "c.direction")
-    return c.filter("level > 0").groupBy("doc_id", "level", "direction").agg(F.count(F.lit(1)).alias("n"))
+#: English claims over the benchmark's passages: a sentence is put in front of each.
+_EN = [("The drug may cause harm.", 4, ""), ("It does not cause harm.", 1, "null"), ("Use was associated with higher rates.", 2, "increase"), ("It leads to lower rates.", 6, "decrease"), ("An increased risk was seen.", 3, "increase"), ("It could cause harm.", 5, ""), ("Nothing is claimed here.", 0, "")]
+_EN_LEXICON = Lexicon(ENGLISH.sections | {"causal": ["cause", "leads to"]})
 
 
-@query(f"""WITH {_CLAIMS} SELECT doc_id, max(level) AS level FROM claims GROUP BY doc_id""")
-def unit_strongest(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", CODER.unit(text.split_sentences(F.col("text")), require_target=False).alias("u"))
-    return d.filter("u is not null").select("doc_id", "u.level")
+@query("SELECT item_id, level, direction, strongest FROM (SELECT item_id, CASE item_id % 7 " + " ".join(f"WHEN {k} THEN {lv}" for k, (_, lv, _) in enumerate(_EN)) + " END AS level, CASE item_id % 7 " + " ".join(f"WHEN {k} THEN '{d}'" for k, (_, _, d) in enumerate(_EN)) + " END AS direction, 2 AS closing FROM benchmark) b, (VALUES (0)) v(z), LATERAL (SELECT CASE WHEN level = 0 THEN 2 ELSE greatest(level, closing) END AS strongest) WHERE level > 0 UNION ALL SELECT item_id, 2, '', 2 FROM benchmark WHERE item_id % 7 = 6")
+def conclusion_claims(spark, sf):
+    k = F.col("item_id") % 7
+    first = F.lit("")
+    for n, (sentence, _, _) in enumerate(_EN):
+        first = F.when(k == n, sentence).otherwise(first)
+    said = F.concat(first, F.lit("\nIt was linked to something."))
+    got = ClaimCoder(_EN_LEXICON, window=0, before=30).conclusion(text.split_english_sentences(said))
+    return table(spark, sf, "benchmark").select("item_id", got.alias("c")).select("item_id", "c.main.level", "c.main.direction", F.col("c.strongest.level").alias("strongest"))
 
 
 @query(f"""SELECT doc_id, {', '.join(f"regexp_matches(text, '(?i)({v})') AS {k}" for k, v in _COND.items())} FROM documents""")
@@ -262,23 +186,6 @@ def advice(spark, sf):
     return table(spark, sf, "documents").select("doc_id", advice_level(LEXICON, F.col("text")).alias("advice"))
 
 
-@query(f"""WITH {ARTICLES} SELECT article_id, bundle_id, length(body) AS body_len, {_level_sql('title')} AS auto_title_strength, contains(title, '?') AS auto_title_question,
-  length(regexp_replace(title, '[^"'']', '', 'g')) >= 2 AS auto_title_quoted,
-  {', '.join(f"regexp_matches({c}, '(?i)({v})') AS auto_cond_{c}_{k}" for c in ('title', 'body') for k, v in _COND.items())} FROM articles""")
-def features_wide(spark, sf):
-    a = articles(spark, sf).withColumn("t", condition_map(LEXICON, F.col("title"))).withColumn("b", condition_map(LEXICON, F.col("body")))
-    return a.select("article_id", "bundle_id", F.length("body").cast("long").alias("body_len"), level(F.col("title")).alias("auto_title_strength"), F.contains("title", F.lit("?")).alias("auto_title_question"), text.is_quoted(F.col("title")).alias("auto_title_quoted"), *[F.element_at(c, F.lit(k)).alias(f"auto_cond_{n}_{k}") for c, n in (("t", "title"), ("b", "body")) for k in _KEYS])
-
-
-FEATURE_LEXICON = Lexicon(LEXICON.sections | {"hedges": ["may", "pero"], "boosters": ["very", "sehr"], "sensational": ["!!!"], "caveats": ["but", "aber"], "attribution": ["said", "dijo"]})
-
-
-@query()
-def article_features(spark, sf):
-    """The whole feature row of every document; SQL has no segmentation or cue windows."""
-    return features.article_features(articles(spark, sf), FEATURE_LEXICON, DRUGS, OUTCOMES, {"one": ["the"], "two": ["with the"]}, "one", ["of the"])
-
-
 @query(r"""WITH u AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS v FROM pages), p AS (SELECT page_id, regexp_extract(v, '^([^:]+)://', 1) AS scheme, lower(regexp_extract(v, '^[^:]+://([^/?]*)', 1)) AS host,
   regexp_replace(regexp_extract(v, '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(v, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|fbclid|from)=')) AS q FROM u)
   SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p""")
@@ -313,26 +220,6 @@ def html_articles(spark, sf):
     return p.select("page_id", "a.title", "a.body", F.when(F.length("a.body") >= 200, "ok").otherwise("short_body").alias("status"))
 
 
-@query(f"""WITH {ARTICLES}, f AS (SELECT article_id, lower(title) AS t, lower(substr(body, 1, 300)) AS d, article_id % 30 - 8 AS gap FROM articles), s AS (SELECT article_id,
-  CASE WHEN regexp_matches(t, 'that|the') THEN 2 WHEN regexp_matches(d, 'that|the') THEN 1 END AS drug, CASE WHEN regexp_matches(t, 'and|with') THEN 2 WHEN regexp_matches(d, 'and|with') THEN 1 END AS outcome,
-  CASE WHEN contains(t || ' ' || d, 'for') THEN 3 WHEN regexp_matches(t || ' ' || d, 'from|was') THEN -1 END AS journal, CASE WHEN contains(t || ' ' || d, 'this') THEN 2 END AS author,
-  CASE WHEN regexp_matches(t || ' ' || d, 'is|are') THEN 1 END AS research, CASE WHEN gap < -3 THEN -3 WHEN gap < 0 THEN -1 WHEN gap <= 14 THEN 1 END AS date, contains(t || d, '') AS x FROM f),
-  z AS (SELECT *, coalesce(drug, 0) + coalesce(outcome, 0) + coalesce(journal, 0) + coalesce(author, 0) + coalesce(research, 0) + coalesce(date, 0) AS score FROM s)
-  SELECT article_id, score, CASE WHEN drug IS NULL OR outcome IS NULL THEN 'N' WHEN score >= 7 THEN 'Y' ELSE '?' END AS auto_include,
-  concat_ws(';', 'drug:' || drug, 'outcome:' || outcome, 'journal:' || journal, 'author:' || author, 'research:' || research, 'date:' || date) AS reasons FROM z""")
-def relevance_score(spark, sf):
-    day = F.date_add(F.lit("2024-01-09").cast("date"), (F.col("article_id") % 30 - 8).cast("int"))
-    s = tables.relevance(F.col("title"), F.substring("body", 1, 300), DRUGS, OUTCOMES, "for", ["from", "was"], "this", ["is", "are"], day, F.lit("2024-01-09").cast("date"))
-    return articles(spark, sf).select("article_id", s.alias("s")).select("article_id", "s.score", "s.auto_include", F.array_join("s.reasons", ";").alias("reasons"))
-
-
-@query("""SELECT event_id FROM events WHERE event_type = 'click' AND (ts IS NULL OR CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20')""")
-def date_window_filter(spark, sf):
-    day = F.to_date("ts")
-    e = table(spark, sf, "events").filter(F.col("event_type") == "click")
-    return e.filter(F.coalesce(day.between(F.lit("2024-01-05").cast("date"), F.lit("2024-01-20").cast("date")), F.lit(True))).select("event_id")
-
-
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS used,
   row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 100 AS allowed FROM events""")
 def daily_budget(spark, sf):
@@ -381,19 +268,12 @@ def stratified_select(spark, sf):
     return tables.stratified(table(spark, sf, "documents").select("doc_id", "source", "lang"), "source", "lang", "doc_id", 5).select("doc_id", "selected")
 
 
-def _kappa_sql(weight: str) -> str:
-    return f"""WITH o AS (SELECT quality AS x, toxic AS y, count(*) AS o FROM labels GROUP BY 1, 2), l AS (SELECT l, dense_rank() OVER (ORDER BY l) AS r FROM (SELECT x AS l FROM o UNION SELECT y FROM o)),
-      s AS (SELECT sum(o) AS n, sum(CASE WHEN x = y THEN o ELSE 0 END) AS same, sum({weight.format(a='a.r', b='b.r')} * o) AS w FROM o JOIN l a ON x = a.l JOIN l b ON y = b.l),
-      e AS (SELECT sum({weight.format(a='a.r', b='b.r')} * nx * ny) AS e FROM (SELECT x, sum(o) AS nx FROM o GROUP BY x) JOIN l a ON x = a.l, (SELECT y, sum(o) AS ny FROM o GROUP BY y) JOIN l b ON y = b.l)
-      SELECT CAST(n AS BIGINT) AS n, round(100.0 * same / n, 1) AS agree_pct, round(1 - w * n / e, 3) AS kappa FROM s, e"""
-
-
-@query(_kappa_sql("CAST({a} <> {b} AS INT)"))
+@query(f"SELECT n, agree_pct, kappa FROM {kappa_sql('labels', 'CAST(quality AS VARCHAR)', 'CAST(toxic AS VARCHAR)', False)}")
 def kappa(spark, sf):
     return agreement.kappa(table(spark, sf, "labels"), "quality", "toxic")
 
 
-@query(_kappa_sql("abs({a} - {b})"))
+@query(f"SELECT n, agree_pct, weighted_kappa AS kappa FROM {kappa_sql('labels', 'CAST(quality AS VARCHAR)', 'CAST(toxic AS VARCHAR)', True)}")
 def weighted_kappa(spark, sf):
     return agreement.kappa(table(spark, sf, "labels"), "quality", "toxic", weighted=True)
 
@@ -424,86 +304,6 @@ def finalize_codes(spark, sf):
     return agreement.finalize([one, two], resolved, "doc_id", ["f1", "f2"])
 
 
-@query(f"""WITH {CODED}, p AS (SELECT CASE WHEN title_strength >= 5 THEN 1 ELSE 0 END AS auto, quality AS human FROM coded JOIN labels ON article_id = doc_id)
-  SELECT count(*) AS n, round(100.0 * count_if(auto = human) / count(*), 1) AS agree_pct FROM p""")
-def auto_vs_human(spark, sf):
-    p = coded(spark, sf).join(table(spark, sf, "labels"), F.col("article_id") == F.col("doc_id")).select(F.col("strong_title").cast("int").alias("auto"), "quality")
-    return agreement.kappa(p, "auto", "quality").select("n", "agree_pct")
-
-
-@query(f"""SELECT 'first' AS field, n, agree_pct, kappa, (SELECT kappa FROM ({_kappa_sql('abs({a} - {b})')})) AS weighted_kappa FROM ({_kappa_sql('CAST({a} <> {b} AS INT)')})
-  UNION ALL SELECT 'second', n, agree_pct, kappa, NULL FROM ({_kappa_sql('CAST({a} <> {b} AS INT)').replace('labels', '(SELECT 1 - quality AS quality, toxic FROM labels)')})""")
-def coder_kappas(spark, sf):
-    l = table(spark, sf, "labels")
-    one = l.select("doc_id", F.col("quality").alias("first"), (1 - F.col("quality")).alias("second"))
-    two = l.select("doc_id", F.col("toxic").alias("first"), F.col("toxic").alias("second"))
-    return agreement.compare_coders(one, two, "doc_id", {"first": True, "second": False})
-
-
-def _boot(values: str) -> str:
-    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS i FROM per), g AS (SELECT count(*) AS g FROM per), draws AS (SELECT b, ('0x' || substr(md5('0:' || b || ':' || d), 1, 8))::BIGINT % g AS i
-      FROM (SELECT unnest(range(200)) AS b), g, (SELECT unnest(range(1, 1000)) AS d) WHERE d <= g), sums AS (SELECT b, {values} FROM draws JOIN numbered USING (i) GROUP BY b)"""
-
-
-@query(f"""WITH {CODED}, per AS (SELECT bundle_id AS cluster, sum(strong_title) AS s, count(*) AS n FROM coded WHERE strong_title IS NOT NULL GROUP BY 1), {_boot('sum(s) AS s, sum(n) AS n')}
-  SELECT round((SELECT sum(s) / sum(n) FROM per), 6) AS est, round(quantile_cont(CAST(s / n AS DOUBLE), 0.025), 6) AS lo, round(quantile_cont(CAST(s / n AS DOUBLE), 0.975), 6) AS hi, CAST((SELECT sum(n) FROM per) AS BIGINT) AS n FROM sums""")
-def bootstrap_ci(spark, sf):
-    return stats.cluster_bootstrap(coded(spark, sf), "strong_title", "bundle_id", 200).select(*[F.round(c, 6).alias(c) for c in ("est", "lo", "hi")], "n")
-
-
-@query(f"""WITH {CODED}, per AS (SELECT bundle_id AS cluster, sum(CASE WHEN outlet_type = 'en' THEN strong_title ELSE 0 END) AS s1, count_if(outlet_type = 'en') AS n1, sum(CASE WHEN outlet_type <> 'en' THEN strong_title ELSE 0 END) AS s0, count_if(outlet_type <> 'en') AS n0 FROM coded GROUP BY 1),
-  {_boot('sum(s1) AS s1, sum(n1) AS n1, sum(s0) AS s0, sum(n0) AS n0')}, m AS (SELECT CAST(s1 / nullif(n1, 0) - s0 / nullif(n0, 0) AS DOUBLE) AS m FROM sums)
-  SELECT round((SELECT sum(s1) / sum(n1) - sum(s0) / sum(n0) FROM per), 6) AS est, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
-def bootstrap_diff(spark, sf):
-    d = coded(spark, sf).withColumn("g", (F.col("outlet_type") == "en").cast("int"))
-    return stats.cluster_bootstrap_diff(d, "strong_title", "g", "bundle_id", 200).select(*[F.round(c, 6).alias(c) for c in ("est", "lo", "hi")])
-
-
-def reactions(spark, sf):
-    c = table(spark, sf, "conversations").filter("text is not null")
-    return c.select(F.col("conv_id").alias("article_id"), "turn", *[LEXICON.any_(F.col("text"), "reactions", k).cast("int").alias(k) for k in ("fear", "doubt", "advice")])
-
-
-_REACT = "r AS (SELECT conv_id AS article_id, turn, CAST(regexp_matches(text, '(?i)(please|help)') AS INT) AS fear, CAST(regexp_matches(text, '(?i)(not|why)') AS INT) AS doubt, CAST(regexp_matches(text, '(?i)(how|should)') AS INT) AS advice FROM conversations WHERE text IS NOT NULL)"
-
-
-@query(f"WITH {_REACT} SELECT * FROM r")
-def comment_reactions(spark, sf):
-    return reactions(spark, sf)
-
-
-@query(f"WITH {_REACT} SELECT article_id, count(*) AS n, round(avg(fear), 6) AS fear, round(avg(doubt), 6) AS doubt, round(avg(advice), 6) AS advice FROM r GROUP BY article_id")
-def comment_per_article(spark, sf):
-    return reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in ("fear", "doubt", "advice")])
-
-
-@query("""WITH c AS (SELECT n_chars AS v, CAST(lang = 'en' AS INT) AS side FROM documents), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM c),
-  t AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM c GROUP BY v)), s AS (SELECT CAST(sum(side) AS DOUBLE) AS n1, CAST(sum(1 - side) AS DOUBLE) AS n0, sum(r * side) - sum(side) * (sum(side) + 1) / 2.0 AS u1 FROM r)
-  SELECT CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, round(u1, 2) AS u1, round((greatest(u1, n1 * n0 - u1) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM s, t""")
-def mann_whitney_u(spark, sf):
-    d = table(spark, sf, "documents").withColumn("side", (F.col("lang") == "en").cast("int"))
-    return stats.mann_whitney(d, "n_chars", "side").select("n1", "n0", F.round("u1", 2).alias("u1"), F.round("z", 6).alias("z"))
-
-
-def _group_sql(group: str, value: str) -> str:
-    side = lambda g, e: f"sum(CASE WHEN {group} = {g} THEN {e} ELSE 0 END)"
-    return f"""SELECT * FROM (WITH d AS (SELECT bundle_id, {group}, {value} FROM coded JOIN shares USING (article_id) WHERE {group} IN (0, 1)),
-      per AS (SELECT bundle_id AS cluster, {side(1, value)} AS s1, {side(1, 1)} AS n1, {side(0, value)} AS s0, {side(0, 1)} AS n0 FROM d GROUP BY 1), {_boot('sum(s1) AS s1, sum(n1) AS n1, sum(s0) AS s0, sum(n0) AS n0')},
-      m AS (SELECT CAST(s1 / nullif(n1, 0) - s0 / nullif(n0, 0) AS DOUBLE) AS m FROM sums), t AS (SELECT CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(n0) AS BIGINT) AS n0, sum(s1) AS s1, sum(s0) AS s0 FROM per)
-      SELECT '{group}' AS grouping, '{value}' AS value, n1, n0, round(s1 / n1, 6) AS mean1, round(s0 / n0, 6) AS mean0, round(s1 / n1 - s0 / n0, 6) AS est, round((SELECT quantile_cont(m, 0.025) FROM m), 6) AS lo, round((SELECT quantile_cont(m, 0.975) FROM m), 6) AS hi FROM t WHERE n1 > 0 AND n0 > 0)"""
-
-
-_GROUPS, _REACTIONS = ["strong_title", "exceeds_title"], ["fear", "doubt", "advice"]
-
-
-@query(f"""WITH {CODED}, {_REACT}, shares AS (SELECT article_id, count(*) AS n, avg(fear) AS fear, avg(doubt) AS doubt, avg(advice) AS advice FROM r GROUP BY article_id HAVING count(*) >= 2)
-  {' UNION ALL '.join(_group_sql(g, v) for g in _GROUPS for v in _REACTIONS)}""")
-def compare_groups(spark, sf):
-    shares = reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in _REACTIONS])
-    got = stats.compare_groups(coded(spark, sf), shares, _GROUPS, _REACTIONS, "bundle_id", least=2, n_boot=200)
-    return got.select("grouping", "value", "n1", "n0", *[F.round(c, 6).alias(c) for c in ("mean1", "mean0", "est", "lo", "hi")])
-
-
 _TOKENS = """list_filter(list_transform(regexp_extract_all({c}, '[가-힣]+|[A-Za-z][A-Za-z0-9-]+|[0-9]+(?:[.][0-9]+)?'), lambda x: lower(x)), lambda x: length(x) > 1 OR NOT regexp_matches(x, '^[a-z0-9]$'))"""
 
 
@@ -513,10 +313,12 @@ def tokens(spark, sf):
     return t.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
-@query(f"""WITH {ARTICLES}, t AS (SELECT unnest({_TOKENS.format(c='title')}) AS token, 'A' AS side FROM articles UNION ALL SELECT unnest({_TOKENS.format(c='body')}), 'B' FROM articles),
-  c AS (SELECT token, CAST(count_if(side = 'A') AS DOUBLE) AS a, CAST(count_if(side = 'B') AS DOUBLE) AS b FROM t GROUP BY token), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c),
-  z AS (SELECT token, (ln((a + 0.1 * (a + b)) / (na + 0.1 * (na + nb) - a - 0.1 * (a + b))) - ln((b + 0.1 * (a + b)) / (nb + 0.1 * (na + nb) - b - 0.1 * (a + b)))) / sqrt(1 / (a + 0.1 * (a + b)) + 1 / (b + 0.1 * (a + b))) AS z FROM c, n WHERE a + b >= 3)
-  SELECT token, side, round(z, 2) AS z FROM (SELECT *, 'A' AS side FROM (SELECT * FROM z ORDER BY z DESC, token LIMIT 15) UNION ALL SELECT *, 'B' FROM (SELECT * FROM z ORDER BY z, token LIMIT 15))""")
+_ODDS = """c AS (SELECT token, CAST(count_if(side = 'A') AS DOUBLE) AS a, CAST(count_if(side = 'B') AS DOUBLE) AS b FROM t GROUP BY token), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c),
+  z AS (SELECT token, (ln((a + 0.1 * (a + b)) / (na + 0.1 * (na + nb) - a - 0.1 * (a + b))) - ln((b + 0.1 * (a + b)) / (nb + 0.1 * (na + nb) - b - 0.1 * (a + b)))) / sqrt(1 / (a + 0.1 * (a + b)) + 1 / (b + 0.1 * (a + b))) AS z FROM c, n WHERE a + b >= {least})
+  SELECT token, side, round(z, 2) AS z FROM (SELECT *, 'A' AS side FROM (SELECT * FROM z ORDER BY z DESC, token LIMIT 15) UNION ALL SELECT *, 'B' FROM (SELECT * FROM z ORDER BY z, token LIMIT 15))"""
+
+
+@query(f"WITH {ARTICLES}, t AS (SELECT unnest({_TOKENS.format(c='title')}) AS token, 'A' AS side FROM articles UNION ALL SELECT unnest({_TOKENS.format(c='body')}), 'B' FROM articles), {_ODDS.format(least=3)}")
 def log_odds(spark, sf):
     a = articles(spark, sf)
     marked = lambda c, side: F.transform(text.tokens(F.col(c)), lambda x: F.struct(x.alias("token"), F.lit(side).alias("side")))
@@ -524,67 +326,70 @@ def log_odds(spark, sf):
     return mining.log_odds(t, "side")
 
 
-@query(f"""WITH tf AS (SELECT doc_id, lang, token, count(*) AS tf FROM (SELECT doc_id, lang, unnest({_TOKENS.format(c='text')}) AS token FROM documents) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 2),
-  w AS (SELECT doc_id, lang, token, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token)), nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
-  m AS (SELECT lang, token, round(sum(w / norm) / any_value(size), 6) AS weight FROM w JOIN nm USING (doc_id) JOIN (SELECT lang, count(*) AS size FROM documents GROUP BY lang) USING (lang) GROUP BY lang, token)
-  SELECT lang, token, weight FROM m WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY weight DESC, token) <= 10""")
+@query(f"WITH {DATASET}, t AS (SELECT unnest({_TOKENS.format(c='title')}) AS token, CASE WHEN exceeds_title = 1 THEN 'A' ELSE 'B' END AS side FROM dataset WHERE exceeds_title IS NOT NULL), {_ODDS.format(least=2)}")
+def log_odds_exceeds(spark, sf):
+    d = coded(spark, sf).filter("exceeds_title is not null")
+    t = d.select(F.explode(text.tokens_of(F.col("title"))).alias("token"), F.when(F.col("exceeds_title") == 1, "A").otherwise("B").alias("side"))
+    return mining.log_odds(t, "side", min_count=2)
+
+
+_TITLE_LEAD = "title || ' ' || lead"
+
+
+def _title_lead(spark, sf):
+    return coded(spark, sf).withColumn("tokens", text.tokens_of(F.concat_ws(" ", "title", "lead")))  # both are normalised
+
+
+@query(f"""WITH {DATASET}, tf AS (SELECT article_id, outlet_type, token, count(*) AS tf FROM (SELECT article_id, outlet_type, unnest({_TOKENS.format(c=_TITLE_LEAD)}) AS token FROM dataset) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 2),
+  sizes AS (SELECT lang AS outlet_type, count(*) AS size FROM documents WHERE source IN (SELECT 'src' || n_nationkey FROM nation) GROUP BY lang), w AS (SELECT article_id, outlet_type, token, tf * (ln((1 + (SELECT sum(size) FROM sizes)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token)), nm AS (SELECT article_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY article_id),
+  m AS (SELECT outlet_type, token, round(sum(w / norm) / any_value(size), 6) AS weight FROM w JOIN nm USING (article_id) JOIN sizes USING (outlet_type) GROUP BY outlet_type, token)
+  SELECT outlet_type, token, weight FROM m WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY outlet_type ORDER BY weight DESC, token) <= 10""")
 def tfidf_group(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", text.tokens(F.col("text")).alias("tokens"))
-    return mining.tfidf_by_group(d, "doc_id", "lang", "tokens")
+    return mining.tfidf_by_group(_title_lead(spark, sf).select("article_id", "outlet_type", "tokens"), "article_id", "outlet_type", "tokens")
 
 
-@query(f"""WITH s AS (SELECT unnest({_SENTENCES}) AS x FROM documents), t AS (SELECT contains(lower(x), 'that') AS drug, list_distinct({_TOKENS.format(c='x')}) AS w FROM s), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count_if(drug) AS DOUBLE) AS nd FROM t),
-  c AS (SELECT token, count(*) AS ct, count_if(drug) AS c FROM (SELECT drug, unnest(w) AS token FROM t) WHERE token <> 'that' GROUP BY token) SELECT token, CAST(c AS BIGINT) AS n_both, round(log2((c / n) / (ct / n * nd / n)), 3) AS pmi FROM c, n WHERE c >= 3 ORDER BY round(log2((c / n) / (ct / n * nd / n)), 3) DESC, c DESC, token LIMIT 25""")
+@query(f"""WITH {study.BUNDLES}, s AS (SELECT drugs, unnest({_SENTENCES}) AS x FROM documents JOIN bundles ON source = bundle_id), t AS (SELECT regexp_matches(x, drugs) AS drug, list_filter(list_distinct({_TOKENS.format(c="regexp_replace(x, drugs, ' ', 'g')")}), w -> NOT regexp_matches(w, '^(' || drugs[5:] || ')$')) AS w FROM s), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count_if(drug) AS DOUBLE) AS nd FROM t),
+  c AS (SELECT token, count(*) AS ct, count_if(drug) AS c FROM (SELECT drug, unnest(w) AS token FROM t) GROUP BY token) SELECT token, CAST(c AS BIGINT) AS n_both, round(log2((c / n) / (ct / n * nd / n)), 3) AS pmi FROM c, n WHERE c >= 3 ORDER BY round(log2((c / n) / (ct / n * nd / n)), 3) DESC, c DESC, token LIMIT 25""")
 def pmi(spark, sf):
-    s = table(spark, sf, "documents").select(F.explode(text.split_sentences(F.col("text"))).alias("x"))
-    return mining.pmi(s.select(text.tokens(F.col("x")).alias("w"), F.contains(F.lower("x"), F.lit("that")).alias("drug")), "w", "drug", ["that"])
+    b = study.bundles(spark, sf).select(F.col("bundle_id").alias("source"), text.terms_pattern(F.col("drug_terms")).alias("p"), F.transform("drug_terms", F.lower).alias("terms"))
+    s = table(spark, sf, "documents").join(b, "source").select(F.explode(text.split_sentences(F.col("text"))).alias("x"), "p", "terms")
+    words = F.array_except(text.tokens_of(F.regexp_replace("x", F.col("p"), F.lit(" "))), F.col("terms"))
+    return mining.pmi(s.select(words.alias("w"), F.rlike("x", F.col("p")).alias("drug")), "w", "drug")
 
 
 @query()
 def lda_topics(spark, sf):
+    """Topics of the documents; random starts are the library's own, so SQL has none."""
     d = table(spark, sf, "documents").select("text", text.tokens(F.col("text")).alias("tokens"))
-    return mining.lda_topics(d, "tokens", "text").select("topic", "share", "terms")
+    return mining.lda_topics(d, "tokens", "text").select("topic", "share", "terms", "example")
 
 
-@query()
-def nb_group_cv(spark, sf):
-    d = coded(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("article_id"), text.tokens(F.col("text")).alias("tokens")), "article_id")
-    return mining.nb_group_cv(d, "article_id", "bundle_id", "tokens", "exceeds_title")
+_FOLDS = """sized AS (SELECT bundle_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, bundle_id) AS k FROM nb GROUP BY bundle_id), shares AS (SELECT least(5, count(*)) AS f FROM sized),
+  dealt AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS bundle_id, CAST(-1 AS BIGINT) AS fold, (SELECT list_transform(range(f), x -> CAST(0 AS BIGINT)) FROM shares) AS loads UNION ALL
+    SELECT s.k, s.bundle_id, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT), list_transform(range(1, len(loads) + 1), i -> loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN s.n ELSE 0 END) FROM dealt d JOIN sized s ON s.k = d.k + 1)"""
+_BAYES = f"""WITH RECURSIVE {DATASET}, nb AS MATERIALIZED (SELECT article_id, bundle_id, CAST(exceeds_title AS INT) AS y, {_TOKENS.format(c=_TITLE_LEAD)} AS tokens FROM dataset WHERE exceeds_title IS NOT NULL), {_FOLDS},
+  docs AS MATERIALIZED (SELECT nb.*, fold FROM nb JOIN dealt USING (bundle_id)), held AS (SELECT DISTINCT fold AS held FROM docs), train AS (SELECT held, count(*) AS n, sum(y) AS n1 FROM held JOIN docs ON fold <> held GROUP BY held),
+  tf AS MATERIALIZED (SELECT article_id, fold, y, token, count(*) AS tf FROM (SELECT article_id, fold, y, unnest(tokens) AS token FROM docs) GROUP BY ALL), df AS (SELECT held, token, count(*) AS df FROM held JOIN tf ON fold <> held GROUP BY ALL),
+  w AS MATERIALIZED (SELECT df.held, article_id, fold, y, token, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (token) JOIN train ON train.held = df.held), unit AS MATERIALIZED (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY held, article_id)) AS u FROM w),
+  learned AS (SELECT held, token, sum(CASE WHEN y = 1 THEN u ELSE 0 END) AS s1, sum(CASE WHEN y = 0 THEN u ELSE 0 END) AS s0 FROM unit WHERE fold <> held GROUP BY ALL), whole AS (SELECT held, sum(s1) AS t1, sum(s0) AS t0, count(*) AS v FROM learned GROUP BY held),
+  lifts AS (SELECT l.held, token, ln((s1 + 1) / (t1 + v)) - ln((s0 + 1) / (t0 + v)) AS lift FROM learned l JOIN whole USING (held)), scores AS (SELECT article_id, sum(u * lift) AS lift FROM unit JOIN lifts ON unit.held = lifts.held AND unit.token = lifts.token WHERE fold = unit.held GROUP BY article_id),
+  predictions AS (SELECT d.article_id, CAST(fold AS INT) AS fold, y AS actual, CASE WHEN n1 = 0 THEN 0 WHEN n1 = n THEN 1 ELSE CAST(ln(n1 / (n - n1)) + coalesce(lift, 0) > 0 AS INT) END AS predicted FROM docs d JOIN train ON held = fold LEFT JOIN scores USING (article_id))"""
 
 
-@query()
-def gee_logit(spark, sf):
-    rows, why = stats.gee_logit(coded(spark, sf), "strong_title", "outlet_type", "bundle_id")
-    rows = rows or [{"term": why, "odds_ratio": None, "lo": None, "hi": None, "p": None}]
-    return spark.createDataFrame([(r["term"], r["odds_ratio"], r["lo"], r["hi"], r["p"]) for r in rows], "term string, odds_ratio double, lo double, hi double, p double")
+def _bayes(spark, sf):
+    return mining.nb_group_cv(_title_lead(spark, sf), "article_id", "bundle_id", "tokens", "exceeds_title")
 
 
-_PAIRS = "(SELECT CAST(strong_title AS INT) AS quality, quality AS toxic FROM coded JOIN labels ON article_id = doc_id)"
+@query(f"{_BAYES} SELECT * FROM predictions")
+def nb_predictions(spark, sf):
+    return _bayes(spark, sf)
 
 
-def _pair_kappa(weight: str) -> str:
-    return f"(SELECT kappa FROM ({_kappa_sql(weight).replace('labels', _PAIRS)}))"
-
-
-@query(f"""WITH {CODED}, {_LONG.removeprefix(ARTICLES + ', ')}, per AS (SELECT bundle_id, count(*) AS n, stddev_pop(title_strength) AS sd FROM coded GROUP BY bundle_id),
-  v AS (SELECT 'bundles_with_3_articles' AS item, (SELECT avg(CAST(n >= 3 AS INT)) FROM per) AS v, 0.7 AS least UNION ALL
-    SELECT 'share_delta_nonzero', (SELECT avg(CAST(delta_title <> 0 AS INT)) FROM coded), 0.3 UNION ALL
-    SELECT 'mean_within_bundle_sd', (SELECT avg(sd) FROM per), 0.5 UNION ALL
-    SELECT 'share_title_stronger', (SELECT avg(CAST(delta_title > 0 AS INT)) FROM coded), NULL UNION ALL
-    SELECT 'candidate_precision', (SELECT avg(quality) FROM labels), NULL UNION ALL
-    SELECT 'share_condition_dropped', (SELECT avg(CAST(NOT in_title AND in_body AS INT)) FROM retained), NULL UNION ALL
-    SELECT 'auto_title_weighted_kappa', {_pair_kappa('abs({a} - {b})')}, 0.6 UNION ALL
-    SELECT 'weak_fields', CASE WHEN {_pair_kappa('CAST({a} <> {b} AS INT)')} < 0.4 THEN 1 END, 2 UNION ALL
-    SELECT 'share_with_5_comments', (SELECT count(*) FROM (SELECT conv_id FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING count(*) >= 5)) / (SELECT CAST(count(*) AS DOUBLE) FROM coded), 0.5)
-  SELECT item, round(CAST(v AS DOUBLE), 6) AS value, v >= least AS ok FROM v WHERE v IS NOT NULL""")
-def feasibility(spark, sf):
-    c, labels = coded(spark, sf), table(spark, sf, "labels")
-    pairs = c.join(labels, F.col("article_id") == F.col("doc_id")).select(F.col("strong_title").cast("int").alias("auto"), "quality")
-    plain, weighted = (agreement.kappa(pairs, "auto", "quality", weighted=w).select("kappa") for w in (False, True))
-    kappas = plain.join(weighted.withColumnRenamed("kappa", "weighted_kappa"), F.lit(True)).select(F.lit("title_strength").alias("field"), "kappa", "weighted_kappa")
-    comments = reactions(spark, sf).groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
-    judged = labels.select(F.when(F.col("quality") == 1, "Y").otherwise("N").alias("include"))
-    return feasible.feasibility(c, judged, retained(spark, sf).select((~F.col("in_title") & F.col("in_body")).alias("dropped")), kappas, comments)
+@query(f"""{_BAYES}, c AS (SELECT CAST(count_if(actual = 0 AND predicted = 0) AS DOUBLE) AS c00, CAST(count_if(actual = 0 AND predicted = 1) AS DOUBLE) AS c01, CAST(count_if(actual = 1 AND predicted = 0) AS DOUBLE) AS c10, CAST(count_if(actual = 1 AND predicted = 1) AS DOUBLE) AS c11 FROM predictions)
+  SELECT 'naive_bayes' AS model, round((c00 + c11) / (c00 + c01 + c10 + c11), 3) AS accuracy, round((2 * c00 / (2 * c00 + c01 + c10) + 2 * c11 / (2 * c11 + c01 + c10)) / 2, 3) AS macro_f1 FROM c UNION ALL
+  SELECT 'majority', round(greatest(c00 + c01, c10 + c11) / (c00 + c01 + c10 + c11), 3), round(2 * greatest(c00 + c01, c10 + c11) / (2 * greatest(c00 + c01, c10 + c11) + least(c00 + c01, c10 + c11)) / 2, 3) FROM c""")
+def nb_group_cv(spark, sf):
+    return mining.classification_table(_bayes(spark, sf))
 
 
 @query("""SELECT source AS bundle_id, count(*) AS articles, CAST(count_if(length(text) >= 200) AS BIGINT) AS bodies, CASE WHEN count_if(length(text) >= 200) >= 3 THEN 'OK' ELSE 'few' END AS state FROM documents GROUP BY source""")
@@ -593,20 +398,35 @@ def status_table(spark, sf):
     return tables.status_table(d.select("bundle_id").distinct(), {"articles": d, "bodies": d.filter(F.length("text") >= 200)}, "bodies").select("bundle_id", "articles", "bodies", "state")
 
 
-@query()
+_PAGE_URL = r"""(SELECT page_id, scheme || '://' || host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS norm_url, host AS outlet, html FROM (SELECT page_id, html, regexp_extract(v, '^([^:]+)://', 1) AS scheme, lower(regexp_extract(v, '^[^:]+://([^/?]*)', 1)) AS host,
+  regexp_replace(regexp_extract(v, '^[^:]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(v, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|fbclid|from)=')) AS q FROM (SELECT page_id, html, regexp_replace(url, '#.*$', '') AS v FROM pages)))"""
+
+
+@query(rf"""WITH RECURSIVE base AS MATERIALIZED (SELECT page_id, CAST(page_id % 5 AS VARCHAR) AS bundle_id, norm_url, regexp_replace(outlet, '^www\.', '') AS outlet, left(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^\p{{L}}\p{{M}}\p{{N}}_]', '', 'g'), 2) AS bare_title, 'q' || (page_id % 3) AS query, row_number() OVER (ORDER BY page_id) AS k FROM {_PAGE_URL}),
+  keyed AS MATERIALIZED (SELECT *, 'u|' || bundle_id || '|' || norm_url AS u, 't|' || bundle_id || '|' || outlet || '|' || bare_title AS t FROM base),
+  walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS BIGINT) AS into_, CAST([] AS VARCHAR[]) AS keys, CAST([] AS BIGINT[]) AS owners UNION ALL
+    SELECT n.k, n.page_id, coalesce(owners[list_position(keys, u)], owners[list_position(keys, t)]), CASE WHEN coalesce(owners[list_position(keys, u)], owners[list_position(keys, t)]) IS NULL THEN list_concat(keys, [u, t]) ELSE keys END,
+      CASE WHEN coalesce(owners[list_position(keys, u)], owners[list_position(keys, t)]) IS NULL THEN list_concat(owners, [n.page_id, n.page_id]) ELSE owners END FROM walk w JOIN keyed n ON n.k = w.k + 1),
+  given AS (SELECT into_, list(b.query ORDER BY w.k) AS more FROM walk w JOIN base b USING (page_id) WHERE into_ IS NOT NULL GROUP BY into_)
+  SELECT b.page_id, b.bundle_id, norm_url, outlet, bare_title, list_reduce(list_concat([b.query], coalesce(more, [])), lambda a, q: CASE WHEN contains(a, q) THEN a ELSE a || ' | ' || q END) AS query FROM base b JOIN walk w USING (page_id) LEFT JOIN given ON b.page_id = given.into_ WHERE w.into_ IS NULL""")
 def candidate_dedupe(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", F.pmod("page_id", F.lit(5)).cast("string").alias("bundle_id"), entities.normalize_url(F.col("url")).alias("norm_url"), entities.host_of(F.col("url")).alias("outlet"), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"(?U)\W", "").alias("bare_title"), F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string")).alias("query"))
+    title = F.substring(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"(?U)\W", ""), 1, 2)
+    p = table(spark, sf, "pages").select("page_id", F.pmod("page_id", F.lit(5)).cast("string").alias("bundle_id"), entities.normalize_url(F.col("url")).alias("norm_url"), entities.host_of(F.col("url")).alias("outlet"), title.alias("bare_title"), F.concat(F.lit("q"), (F.col("page_id") % 3).cast("string")).alias("query"))
     return tables.dedupe(p, "page_id")
 
 
-@query("""WITH m AS (SELECT doc_id, source, lang, split_part(text, chr(10), 1) AS title, list_filter(['and', 'with', 'for'], lambda t: contains(lower(text), t))[1:2] AS o, list_filter(['the', 'from', 'that'], lambda t: contains(lower(text), t))[1:2] AS j FROM documents),
-  e AS (SELECT doc_id, source, lang, outcome, unnest(j) AS journal FROM (SELECT doc_id, source, lang, j, unnest(o) AS outcome FROM m))
-  SELECT outcome, journal, source AS drug, count(DISTINCT doc_id) AS articles, count(DISTINCT lang) AS outlets FROM e GROUP BY ALL""")
+_FOUND = ["and", "with", "for"]
+
+
+@query("""WITH m AS (SELECT doc_id, source AS drug, lang AS outlet, split_part(text, chr(10), 1) AS title, 'https://' || lang || '.example/' || (doc_id % 211) AS url, CASE WHEN doc_id % 9 = 0 THEN '' ELSE strftime(DATE '2024-01-05' + CAST(doc_id % 40 AS INT), '%Y-%m') END AS month, list_filter(['and', 'with', 'for'], t -> contains(lower(text), t))[1:2] AS o, list_filter(['the', 'from', 'that'], t -> contains(lower(text), t))[1:2] AS j FROM documents),
+  e AS (SELECT doc_id, drug, outlet, title, url, month, outcome, unnest(j) AS journal FROM (SELECT * EXCLUDE (o), unnest(o) AS outcome FROM m)),
+  f AS (SELECT *, row_number() OVER (PARTITION BY drug, outcome, journal, month, url ORDER BY doc_id) AS r FROM e), g AS (SELECT *, row_number() OVER (PARTITION BY drug, outcome, journal, month ORDER BY doc_id) AS k FROM f WHERE r = 1)
+  SELECT drug, outcome, journal, month, count(*) AS n_articles, count(DISTINCT outlet) AS n_outlets, array_to_string(list('[' || outlet || '] ' || title ORDER BY k) FILTER (k <= 4), ' || ') AS example_titles, array_to_string(list(url ORDER BY k) FILTER (k <= 4), ' ') AS example_urls FROM g GROUP BY ALL""")
 def discover_groups(spark, sf):
     first2 = lambda terms: F.slice(text.contains_any(F.col("text"), terms), 1, 2)
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang", first2(["and", "with", "for"]).alias("o"), first2(["the", "from", "that"]).alias("j"))
-    e = d.select("doc_id", F.col("source").alias("drug"), "lang", F.explode("o").alias("outcome"), "j").withColumn("journal", F.explode("j"))
-    return e.groupBy("outcome", "journal", "drug").agg(F.countDistinct("doc_id").alias("articles"), F.countDistinct("lang").alias("outlets"))
+    day = F.date_add(F.lit("2024-01-05").cast("date"), (F.col("doc_id") % 40).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("drug"), F.col("lang").alias("outlet"), text.first_line(F.col("text")).alias("title"), F.concat(F.lit("https://"), "lang", F.lit(".example/"), (F.col("doc_id") % 211).cast("string")).alias("url"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.date_format(day, "yyyy-MM")).alias("month"), first2(_FOUND).alias("outcomes"), first2(["the", "from", "that"]).alias("journals"))
+    return tables.discover(d, "doc_id")
 
 
 @query("""SELECT doc_id, strftime(CAST('2024-01-05' AS DATE) + CAST(doc_id % 400 AS INT), '%Y-%m') AS month, doc_id % 400 AS days FROM documents""")
@@ -618,15 +438,6 @@ def month_buckets(spark, sf):
     return d.select("doc_id", F.date_format(day, "yyyy-MM").alias("month"), F.datediff(day, first.cast("date")).cast("long").alias("days"))
 
 
-@query(f"""WITH {ARTICLES}, f AS (SELECT article_id, bundle_id, {_level_sql('title')} AS title_strength FROM articles) SELECT f.article_id, f.bundle_id, CASE WHEN f.title_strength >= 5 THEN 'Y' WHEN f.title_strength >= 3 THEN 'N' ELSE 'NA' END AS code,
-  CASE WHEN l.quality IS NULL THEN 'missing' ELSE 'coded' END AS code_source FROM f LEFT JOIN labels l ON article_id = doc_id""")
-def load_codes(spark, sf):
-    a = articles(spark, sf).select("article_id", "bundle_id", level(F.col("title")).alias("s"))
-    code = F.when(F.col("s") >= 5, "Y").when(F.col("s") >= 3, "N").otherwise("NA")
-    l = table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"), "quality")
-    return a.join(l, "article_id", "left").select("article_id", "bundle_id", code.alias("code"), F.when(F.col("quality").isNull(), "missing").otherwise("coded").alias("code_source"))
-
-
 @query("""WITH s AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT source, doc_id, n_chars FROM s WHERE r <= 3""")
 def top_per_group(spark, sf):
     r = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +42,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set and all run in one process."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_skein_folder"):
+        context._skein_folder = f"file://{tempfile.mkdtemp(prefix='skein-')}"
+    return context._skein_folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back; a temporary folder only where none is set and all run in one process."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
-    return df.checkpoint()
+    """df written to the shared folder and read back, so what it costs is paid once and lost executors are made good from files. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -52,7 +52,10 @@ def test_target_gate_masking_and_unit(spark):
     gated = lambda s: one(spark, coder.code(T, ["aspirin", "aspirin plus"], ["falls"]), t=s).level
     assert gated("Rain causes mud.") == 0 and gated("Aspirin causes mud.") == 6 and gated("Rain causes falls.") == 6
     assert one(spark, text.mask_terms(T, ["aspirin", "aspirin plus"]), t="Aspirin Plus or ASPIRIN") == "[D] or [D]"
-    assert one(spark, text.mask_row_terms(T, F.col("d")), t="ab abc", d=["ab", "abc"]) == "[D] [D]"
+    assert one(spark, text.mask_terms(T, text.terms_pattern(F.col("d"))), t="ab abc a.c", d=["ab", "abc", "", "a.c"]) == "[D] [D] [D]"
+    assert one(spark, text.mask_terms(T, text.terms_pattern(F.col("d"))), t="ab", d=[]) == "ab"
+    by_row = lambda s: one(spark, coder.code(T, text.terms_pattern(F.col("d")), text.terms_pattern(F.col("o"))), t=s, d=["aspirin"], o=["fa.ls"]).level
+    assert by_row("Rain causes falls.") == 0 and by_row("Aspirin causes mud.") == 6 and by_row("Rain causes fa.ls.") == 6
     got = one(spark, coder.unit(F.col("s"), require_target=False), s=["Was it linked to x?", "It causes y.", "This causes z."])
     assert (got.level, got.sentence, got.question) == (6, "It causes y.", True)
     assert one(spark, coder.unit(F.col("s")), s=[]) is None
@@ -61,13 +64,13 @@ def test_target_gate_masking_and_unit(spark):
 
 
 def test_segmentation(spark):
-    body = "Study shows a thing in mice\n2024.01.02 10:00\nPhoto: a mouse\nFirst sentence is here. Second one follows! Third is the rest."
+    body = "Study shows a thing in mice\n입력 2024.01.02 10:00\n사진=a mouse in a house.\nFirst sentence is here. Second one follows! Third is the rest."
     got = one(spark, text.segment(F.lit("Study shows a thing in mice"), T), t=body)
     assert list(got.lead) == ["First sentence is here.", "Second one follows!"] and list(got.rest) == ["Third is the rest."]
     only = one(spark, text.segment(F.lit("A title of some length"), T), t="short head\nanother head")
     assert list(only.lead) == ["short head", "another head"]
-    assert one(spark, text.normalize_text(T), t="１．３배 ​ ㎎\n\n\n x ") == "1.3배 mg\nx"
-    assert one(spark, text.strip_leading_byline(T), t="(Seoul) A. Kim reporter = The news.") == "The news."
+    assert one(spark, text.normalize_text(T), t="１．３배 ​ ㎎\n\n\n x ") == "1.3배 mg\n x"
+    assert one(spark, text.strip_leading_byline(T), t="(서울=통신) 김가나 기자 = 새 소식이다.") == "새 소식이다."
     assert one(spark, text.tokens(T, ["the"]), t="The Drug-7 가나 1.5 a 나") == ["drug-7", "가나", "1.5", "나"]
 
 
@@ -131,12 +134,14 @@ def test_kappa_by_hand(spark):
     frame = spark.createDataFrame([("Y", "y"), ("Y", "N"), ("N", "N"), ("NA", "Y"), ("", "N"), ("N", "N")], "a string, b string")
     got = agreement.kappa(frame, "a", "b").first()
     assert (got.n, got.agree_pct, got.kappa) == (4, 75.0, 0.5)
-    ordinal = spark.createDataFrame([("0", "0"), ("1", "3"), ("3", "3"), ("6", "1"), ("x", "1")], "a string, b string")
+    ordinal = spark.createDataFrame([("0", "0"), ("1", "3"), ("3", "3"), ("6", "1")], "a string, b string")
     rank = {0: 0, 1: 1, 3: 2, 6: 3}
     pairs = [(0, 0), (1, 3), (3, 3), (6, 1)]
     seen = sum(abs(rank[a] - rank[b]) for a, b in pairs) / 4
     expected = sum(abs(rank[a] - rank[b]) for a, _ in pairs for _, b in pairs) / 16
     assert agreement.kappa(ordinal, "a", "b", weighted=True).first().kappa == round(1 - seen / expected, 3)
+    dirty = ordinal.unionByName(spark.createDataFrame([("x", "1")], "a string, b string"))
+    assert agreement.kappa(dirty, "a", "b", weighted=True).first().kappa is None and agreement.kappa(dirty, "a", "b").first().n == 5
     assert agreement.kappa(frame.filter("a = 'zzz'"), "a", "b").first().n == 0
 
 
@@ -152,8 +157,13 @@ def test_bootstrap_and_ranks(spark):
     values = [(float(v), s) for v, s in ((1, 0), (2, 0), (3, 1), (4, 0), (5, 1), (6, 1), (7, 1))]
     u = stats.mann_whitney(spark.createDataFrame(values, "v double, s int"), "v", "s").first()
     assert u.u1 == 11 and abs(stats.exact_mann_whitney(11, 4, 3) - 4 / 35) < 1e-12
+    assert abs(u.p - 4 / 35) < 1e-12  # small and without ties: exact
     z = (11 - 6 - 0.5) / math.sqrt(12 / 12 * 8)
-    assert abs(u.p - math.erfc(z / math.sqrt(2))) < 1e-6
+    assert abs(u.z - z) < 1e-12
+    many = [(float(v), int(v % 3 == 0 or v > 35)) for v in range(40)] + [(3.0, 1)]
+    u = stats.mann_whitney(spark.createDataFrame(many, "v double, s int"), "v", "s").first()
+    wins = sum((a > b) + (a == b) / 2 for a, x in many if x for b, y in many if not y)
+    assert u.u1 == wins and abs(u.p - min(1, math.erfc(abs(u.z) / math.sqrt(2)))) < 1e-6
 
 
 def test_gee(spark):
@@ -207,6 +217,9 @@ def test_paging_budget_and_bundles(spark):
     assert tight.used == 1
     good = "- {bundle_id: b1, label: x, drug_terms: [d], outcome_terms: [o], paper: {doi: '1'}, queries: [q], date_from: 2024-01-01, date_to: 2024-02-01}"
     assert readers.load_bundles(spark, good).count() == 1
+    assert readers.select_bundles(readers.load_bundles(spark, good), ["b1", "zz"]).count() == 1
+    with pytest.raises(ValueError, match="no bundle"):
+        readers.select_bundles(readers.load_bundles(spark, good), ["zz"])
     with pytest.raises(ValueError, match="twice.*no doi.*date_from after"):
         readers.load_bundles(spark, good + "\n- {bundle_id: b1, drug_terms: [d], outcome_terms: [o], queries: [q], date_from: 2024-03-01, date_to: 2024-02-01}")
 
@@ -231,8 +244,72 @@ def test_streaming_counts(spark, tmp_path):
 
 def test_titles_ids_and_conditions(spark):
     title = lambda t, o="": one(spark, entities.clean_title(T, F.col("o")), t=t, o=o)
-    assert title("[Only] A &quot;new&quot; study - Daily Health News", "daily health") == 'A "new" study'
-    assert title("A study - of many things that matter", "daily") == "A study - of many things that matter" and title("A study | KBX") == "A study"
+    assert title("[Only] A &quot;new&quot; study - Daily Health News", "Daily Health") == 'A "new" study'
+    assert title("A study - of many things that matter", "Daily") == "A study - of many things that matter" and title("A study | KBX") == "A study"
     ids = lambda u: one(spark, entities.portal_ids(T), t=u)
-    assert tuple(ids("https://n.x.com/mnews/article/001/0012345678?sid=1")) == ("001", "0012345678") and tuple(ids("https://x/read?oid=22&aid=7")) == ("22", "7") and ids("https://x/1") is None
+    assert tuple(ids("https://n.news.naver.com/mnews/article/001/0012345678?sid=1")) == ("001", "0012345678") and tuple(ids("https://naver.com/read?oid=22&aid=7")) == ("22", "7") and ids("https://x/article/001/0012345678") is None
     assert one(spark, entities.key_conditions(T, ["dose", "age"]), t="Age; dose,zzz/dose") == ["age", "dose", "dose"] and one(spark, entities.key_conditions(T, ["a"]), t="") == []
+
+
+def test_clients_budgets_and_retries(tmp_path, monkeypatch):
+    answers = {"a": (200, '{"items": []}'), "b": (401, ""), "c": (429, "slow"), "d": (500, "x")}
+    asked = []
+
+    def get(url, params, headers):
+        asked.append((url, headers))
+        return answers[params["query"]]
+
+    day = ["2024-01-01"]
+    budget_ = readers.CallBudget(5, path=f"{tmp_path}/b/calls.json", today=lambda: day[0])
+    client = readers.SearchClient(get, {"x": ("https://s", "Id", "Key")}, "x", "me", "secret", budget_)
+    assert client({"query": "a"}) == {"items": []} and asked == [("https://s", {"Id": "me", "Key": "secret"})]
+    for query, error in (("b", readers.AccessDenied), ("c", readers.BudgetExceeded), ("d", OSError)):
+        with pytest.raises(error):
+            client({"query": query})
+    again = readers.CallBudget(5, path=f"{tmp_path}/b/calls.json", today=lambda: day[0])
+    assert again.used == 4 and again.remaining == 1
+    again.take()
+    with pytest.raises(readers.BudgetExceeded):
+        again.take()
+    day[0] = "2024-01-02"
+    assert again.used == 0
+    with pytest.raises(ValueError, match="backend"):
+        readers.SearchClient(get, {}, "x", "", "", budget_)
+    slept, codes = [], iter([503, 429, 200])
+    assert readers.with_retries(lambda: (next(codes), "t"), sleep=slept.append)() == (200, "t") and slept == [1.5, 3.0]
+    assert readers.with_retries(lambda: (503, ""), tries=2, sleep=slept.append)()[0] == 503
+    pages = {1: 'cb({"result": {"commentList": [{"contents": " a ", "commentNo": 1}, {"contents": "b", "deleted": true}, {"contents": ""}], "pageModel": {"lastPage": 2}}});', 2: '{"result": {"commentList": [{"contents": "(c)"}], "pageModel": {"lastPage": 2}}}'}
+    assert [c["text"] for c in readers.fetch_comments(pages.__getitem__)] == ["a", "(c)"] and len(list(readers.fetch_comments(pages.__getitem__, 1))) == 1
+    (tmp_path / ".env").write_text("SKEIN_A=1\nSKEIN_B='two'\n")
+    monkeypatch.setenv("SKEIN_A", "kept")
+    monkeypatch.delenv("SKEIN_B", raising=False)
+    import os
+
+    readers.load_dotenv(f"{tmp_path}/.env")
+    assert (os.environ["SKEIN_A"], os.environ.pop("SKEIN_B")) == ("kept", "two")
+
+
+def test_written_sheets_begin_with_a_mark(spark, tmp_path):
+    readers.write_csv(spark.createDataFrame([("1", "가")], "id string, t string"), f"file://{tmp_path}/s")
+    part = next((tmp_path / "s").glob("part-*"))
+    assert part.read_bytes() == b"\xef\xbb\xbfid,t\n1,\xea\xb0\x80\n"
+    assert readers.read_csv(spark, f"file://{tmp_path}/s", ["id", "t"]).first().id == "1"
+
+
+def test_relevance_guards_and_literal_terms(spark):
+    b = spark.createDataFrame([("b", ["n.th", "vitamin (c"], ["x"], "", "", None, None, None)], "bundle_id string, drug_terms array<string>, outcome_terms array<string>, journal string, first_author string, date_from date, date_to date, published date")
+    c = spark.createDataFrame([("b", "nothing", "", ""), ("b", "Vitamin (C and X", "n.th", ""), ("b", "n.th x", "", "2024-01-01")], "bundle_id string, title string, description string, pub_date string")
+    got = sorted((r.relevance_score, r.auto_include, r.relevance_reasons) for r in tables.relevance(c, b, {"jama": ["JAMA"]}).collect())
+    assert got == [(0, "N", ""), (4, "?", "drug:2; outcome:2"), (4, "?", "drug:2; outcome:2")]
+
+
+def test_upserts_of_a_stream(spark, tmp_path):
+    kept = {"rows": spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")}
+    apply = budget.upsert_batches(lambda: kept["rows"], lambda df: kept.update(rows=spark.createDataFrame(df.collect(), df.schema)), ["k"])
+    apply(spark.createDataFrame([(2, "B"), (3, "c"), (3, "c")], "k long, v string"), 0)
+    assert sorted(map(tuple, kept["rows"].collect())) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_intervals_as_text(spark):
+    shown = lambda e, lo, hi, pct=True: one(spark, text.format_ci(F.lit(e).cast("double"), F.lit(lo).cast("double"), F.lit(hi).cast("double"), pct), t="")
+    assert shown(0.5, 0.25, 0.75) == "50.0% [25.0, 75.0]" and shown(None, None, None) == "–" and shown(0.5, None, None) == "50.0%" and shown(1.5, 1, 2, False) == "1.5 [1.0, 2.0]"

@@ -7,21 +7,22 @@ from skein.operators import features, mining, papers
 from skein.plans import catalog, report
 from skein.sources import demo, policy, readers
 
-LEX = Lexicon({**KOREAN.sections, "conditions": {"age": ["노인"], "design": ["관찰 연구"]}, "hedges": ["필요"], "boosters": ["획기적"], "sensational": ["충격"], "caveats": ["한계", "다만"], "advice": {"3": ["중단"], "2": ["상담"], "1": ["주의"]}})
+LEX = Lexicon({**KOREAN.sections, "conditions": {"age": ["노인"], "design": ["관찰 연구"], "limitation": ["한계", "다만"]}, "hedges": ["필요"], "boosters": ["획기적"], "sensational": ["충격"], "advice": {"3": ["중단"], "2": ["상담"], "1": ["주의"]}})
 
 
 def test_abstracts(spark):
     raws = ["<jats:title>Methods</jats:title><jats:p>We did.</jats:p><jats:title>Conclusions</jats:title><jats:p>It causes x.</jats:p>", "<h4>Background</h4>B.<h4>Interpretation</h4>No effect.", "OBJECTIVE: To see. CONCLUSIONS: Linked to y.", "One. Two here. Three there."]
     frame = spark.createDataFrame([(r,) for r in raws], "raw string").coalesce(1)
     got = [r.c for r in frame.select(papers.conclusion(papers.abstract_sections(F.col("raw"))).alias("c")).collect()]
-    assert got == ["It causes x.", "No effect.", "Linked to y.", "Two here. Three there."]
+    assert [c.source for c in got] == ["section:conclusions", "section:interpretation", "section:conclusions", "last_two_sentences"]
+    assert [c.text for c in got] == ["It causes x.", "No effect.", "Linked to y.", "Two here. Three there."]
 
 
 def test_designs_and_picks(spark):
     lex = Lexicon({"designs": {"meta": ["meta-analysis"], "rct": ["randomized"], "cohort": ["cohort"]}})
-    rows = [("A randomized trial", "", "", "rct"), ("Emulated randomized trial in a cohort", "", "", "cohort"), ("Things", "", "Review", "review"), ("A meta-analysis", "", "Review", "meta"), ("x", "", "", "")]
+    rows = [("A randomized trial", "", "", "rct"), ("Emulated randomized trial in a cohort", "", "", "cohort"), ("Things", "", "Review", "review"), ("A meta-analysis", "", "Review", "meta"), ("x", "", "", "unknown")]
     frame = spark.createDataFrame(rows, "t string, a string, p string, want string")
-    assert all(r.d == r.want for r in frame.select("want", papers.guess_design(lex, F.col("t"), F.col("a"), F.col("p"), ["meta", "rct", "cohort"]).alias("d")).collect())
+    assert all(r.d.design == r.want for r in frame.select("want", papers.guess_design(lex, F.col("t"), F.col("a"), F.col("p"), ["meta", "rct", "cohort"]).alias("d")).collect())
     picks = spark.createDataFrame([("3", "5"), (" ", "5"), ("", "")], "h string, a string")
     assert [tuple(r.p) for r in picks.select(papers.pick(F.col("h"), F.col("a"), True).alias("p")).collect()] == [("3", "coded"), ("5", "auto"), (None, "missing")]
     assert [r.p.source for r in picks.select(papers.pick(F.col("h"), F.col("a"), False).alias("p")).collect()] == ["coded", "missing", "missing"]
@@ -37,7 +38,8 @@ def test_demo_study_end_to_end(spark):
     assert articles.count() == 48 and articles.exceptAll(demo.demo_articles(spark, 8, 6)).count() == 0
     none = spark.createDataFrame([], "article_id string")
     bad = articles.limit(1).select("article_id")
-    selection, rows = features.precode(articles, bad, none, 4, lexicon=LEX, drugs=demo.DRUGS, outcomes=demo.OUTCOMES, journals={"jama": ["JAMA"]}, own_journal="jama")
+    bundles = demo.demo_bundles(spark, 8).withColumn("journal", F.element_at("paper", F.lit("journal")))
+    selection, rows = features.precode(articles, bundles, bad, none, 4, lexicon=LEX, journals={"jama": ["JAMA"]})
     assert selection.count() == 47 and selection.filter("selected = 'Y'").count() == 32
     got = {r.article_id: r for r in rows.collect()}
     assert len(got) == 32
@@ -71,21 +73,78 @@ def test_policy_gates():
     assert asked.count("https://a.kr/robots.txt") == 2
 
 
-def test_report(spark):
-    text = report.build_report(catalog.coded(spark, "/root/testdata/sf0.001"), ["strong_title", "exceeds_title"], 50)
-    assert "## Rates" in text and "| strong_title |" in text and "strength_ladder" in text
+def test_markdown(spark):
     rows = spark.range(50).select("id", F.lit("a|b\nc").alias("t"), F.lit(1).alias("_hidden"))
     shown = report.to_markdown(rows, 3)
     assert shown.count("\n| ") == 4 and "a\\|b c" in shown and "First 3 of 50 rows." in shown and "_hidden" not in shown
 
 
 def test_commands(spark, tmp_path, capsys):
-    from skein.__main__ import main
+    from skein.__main__ import STEPS, main
 
+    assert len(STEPS) == 14
     assert main(["list"]) == 0 and "outlet_rates" in capsys.readouterr().out
     assert main(["search-plan", "a", "b", "--max-results", "250"]) == 0 and capsys.readouterr().out == "6 calls\n"
     assert main(["run", "status_table", "/root/testdata/sf0.001", f"{tmp_path}/s"]) == 0 and spark.read.parquet(f"{tmp_path}/s").count() > 0
-    assert main(["demo", f"{tmp_path}/d", "--bundles", "2"]) == 0 and spark.read.json(f"{tmp_path}/d/articles").count() == 8
+    assert main(["discover", f"{tmp_path}/e", "--estimate", "--drugs", "x", "y", "--max-results", "100"]) == 0 and "at most 2 calls" in capsys.readouterr().out
+    assert main(["collect-comments", f"{tmp_path}/e"]) == 1 and main(["finalize", f"{tmp_path}/e"]) == 1
+
+
+def test_the_demo_study_from_the_command_line(spark, tmp_path, capsys):
+    """All steps over a synthetic study: sheets, agreement, final codes, every table, figure and section of the report."""
+    from skein.__main__ import main
+
+    root = f"{tmp_path}/study"
+    assert main(["demo", root, "--bundles", "10", "--n-boot", "40"]) == 0
+    text = (tmp_path / "study/report.md").read_text()
+    assert all(f"## {title}" in text for title in report.TITLES.values()) and "| exceeds_title |" in text and "comment_reactions.svg" in text
+    tables = {p.name for p in (tmp_path / "study/tables").iterdir()}
+    assert {"analysis_dataset", "agreement", "feasibility", "rq1_overall", "rq1_by_outlet_type", "rq1_bundle_ladder", "rq1_title_vs_lead", "rq1_press_release", "rq2_condition_long", "rq2_condition_summary", "rq3_comments_per_article", "rq3_comment_reactions", "tm_logodds_title_vs_body", "tm_tfidf_outlet"} <= tables | {"agreement"}
+    from xml.etree import ElementTree
+
+    drawn = sorted((tmp_path / "study/figures").glob("*.svg"))
+    assert len(drawn) == 4 and all(ElementTree.parse(p) for p in drawn)
+    capsys.readouterr()
+    assert main(["status", root]) == 0 and "coder1: 36 of 36" in capsys.readouterr().out
+    assert main(["analyze", root, "--source", "auto", "--n-boot", "20"]) == 0 and "Automatic codes" in (tmp_path / "study/report.md").read_text()
+    assert main(["analyze", root, "--source", "nobody"]) == 1
+
+
+def test_collecting_into_a_folder(spark, tmp_path):
+    """Seeds, search, papers, texts and comments from canned answers; a second run keeps what people entered and asks for nothing twice."""
+    import json
+
+    from skein.plans.workspace import Workspace
+
+    (tmp_path / "bundles.yaml").write_text("- {bundle_id: b1, drug_terms: [aspirin], outcome_terms: [falls], paper: {doi: '10.1/1', journal: jama, published: 2024-01-03}, queries: [aspirin falls], date_from: 2024-01-01, date_to: 2024-02-01, known_articles: [{title_hint: Aspirin and falls, url: 'https://a.kr/1', outlet: A}]}")
+    w = Workspace(spark, str(tmp_path), LEX, {"jama": ["JAMA"]}, spark.createDataFrame([("A", "daily", "a.kr")], "outlet string, outlet_type string, domain string"))
+    assert w.seed_candidates().count() == 1
+    items = [{"title": "<b>Aspirin</b> falls in JAMA", "originallink": "https://a.kr/2", "link": "https://n.news.naver.com/article/001/0000000002", "pubDate": "Fri, 05 Jan 2024 09:00:00 +0900"}, {"title": "Aspirin falls", "originallink": "https://a.kr/3", "pubDate": "Fri, 05 Apr 2024 09:00:00 +0900"}]
+    assert w.search_news(lambda p: {"total": 2, "items": items}).count() == 2  # the third is outside the window
+    c = w.sheet("candidates")
+    w.save(c.withColumn("include", F.when(F.contains("url", F.lit("/2")), "Y").otherwise("")), "candidates")
+    assert {r.url: r.include for r in w.seed_candidates().collect()} == {"https://a.kr/1": "", "https://a.kr/2": "Y"}
+    answers = {"https://api.crossref.org/works/10.1/1": json.dumps({"message": {"DOI": "10.1/1", "title": ["Aspirin"], "issued": {"date-parts": [[2024, 1]]}, "abstract": "CONCLUSIONS: Aspirin was linked to falls. METHODS: a trial."}})}
+    got = w.fetch_papers(lambda url, params=None: (200, answers[url]) if url in answers else (404, "")).first()
+    assert (got.title, got.published, got.conclusion_en, got.strength_auto, got.fetch_status) == ("Aspirin", "2024-01", "Aspirin was linked to falls.", "2", "crossref_ok, europepmc_not_found")
+    asked = []
+
+    def page(url):
+        asked.append(url)
+        return (404, "") if url.endswith("robots.txt") else (200, "<html><title>Aspirin</title><article><p>" + "Aspirin was linked to falls. " * 20 + "</p></article></html>")
+
+    assert [r.flag for r in w.scrape(page, delay=0).collect()] == ["ok"] and asked.count("https://a.kr/2") == 1
+    w.scrape(page, delay=0)
+    assert asked.count("https://a.kr/2") == 1 and w.articles().count() == 1
+    said = []
+    jsonp = lambda oid, aid, n: said.append((oid, aid)) or 'cb({"result": {"commentList": [{"contents": "good", "commentNo": "1"}]}});'
+    assert w.collect_comments(jsonp) == 1 and w.collect_comments(jsonp) == 1 and said == [("001", "0000000002")]
+    assert w.precode(coders=["c1"], blind=[]) == 1
+    answers = iter(["6", "x", "2", "inc", "0", "Y", "N", "NA", "N", "fine"])
+    assert w.annotate("c1", lambda field, shown: next(answers)) == (1, 1)
+    row = w.sheet("article_coding_c1").first()
+    assert (row.title_strength, row.lead_strength, row.coder_notes) == ("6", "2", "fine")
+    assert w.precode(coders=["c1"], blind=[]) == 1 and w.sheet("article_coding_c1").first().title_strength == "6"
 
 
 def test_figures_are_well_formed(spark):
@@ -100,19 +159,11 @@ def test_figures_are_well_formed(spark):
     assert {"b<1", "a & b", "50.0 %", "80%", "10%"} <= set(texts) and len(list(roots[0].iter("{http://www.w3.org/2000/svg}path"))) == 1
 
 
-def test_written_figures(spark, tmp_path):
-    from skein.plans import catalog, report
-
-    tables = "/root/testdata/sf0.001"
-    names = report.write_figures(catalog.coded(spark, tables), catalog.condition_summary(spark, tables), str(tmp_path), 50)
-    assert names == ["condition_retention", "outlet_rates", "strength_ladder"] and all((tmp_path / f"{n}.svg").read_text().startswith("<svg") for n in names)
-
-
 def test_article_features_of_the_whole_body(spark):
     lex = Lexicon({"causal": ["causes"], "negation": [], "may": [], "can": [], "up": ["higher"], "down": ["lower"], "conditions": {"dose": ["daily"]}, "hedges": ["perhaps"], "boosters": ["surely"], "sensational": ["shock"], "advice": {"3": ["ask your doctor"], "2": [], "1": []}, "attribution": ["said"]})
     body = "Drugx causes lower risk daily, perhaps.\nSurely a shock, they said. Ask your doctor."
     rows = spark.createDataFrame([("a", "b", "Title", body), ("c", "b", "Title", "Drugx daily. Two said. Three from Old Gazette in signatures said.")], "article_id string, bundle_id string, title string, body string")
-    got = {r.article_id: r for r in features.article_features(rows, lex, ["drugx", "perhaps not"], ["risk"], {"nature": ["nature"]}, "nature", ["Old Gazette", "Gazette"]).collect()}
+    got = {r.article_id: r for r in features.article_features(rows, spark.createDataFrame([("b", ["drugx", "perhaps not"], ["risk"], "nature")], "bundle_id string, drug_terms array<string>, outcome_terms array<string>, journal string"), lex, {"nature": ["nature"]}, ["Old Gazette", "Gazette"]).collect()}
     a, c = got["a"], got["c"]
     assert (a.auto_cond_lead_dose, a.auto_cond_body_dose, a.n_hedges_lead, a.n_hedges_body, a.n_boosters_body, a.n_sensational_body) == (1,) * 6
     assert (a.auto_direction, a.n_attribution, a.auto_advice, a.auto_advice_cues, a.non_journal_sources, a.auto_journal_match) == ("decrease", 1, 3, "Ask your doctor", "", None)
