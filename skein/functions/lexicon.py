@@ -59,13 +59,28 @@ class Lexicon:
         take = lambda a, s: F.when(s["start"] >= a["end"], F.struct((s["start"] + s["len"]).alias("end"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a)
         return F.aggregate(ordered, start, take)["kept"]
 
+    def _plain(self, *keys: str) -> str | None:
+        """One pattern that finds what spans() finds, where all entries are literal and none can overlap itself: the longest at the earliest place."""
+        entries = set(self.entries(*keys))
+        if not entries or any(e.startswith("re:") or not e.strip() or _overlaps_itself(e.lower()) for e in entries):
+            return None
+        return "(?iuU)" + "|".join(map(literal, sorted(entries, key=lambda e: (-len(e), e))))
+
     def texts(self, text: Column, *keys: str) -> Column:
+        if plain := self._plain(*keys):
+            return F.regexp_extract_all(text, F.lit(plain), F.lit(0))
         return F.transform(self.spans(text, *keys), lambda s: s["text"])
 
     def count(self, text: Column, *keys: str) -> Column:
+        if plain := self._plain(*keys):
+            return F.regexp_count(text, F.lit(plain))
         return F.size(self.spans(text, *keys))
 
 
+def _overlaps_itself(entry: str) -> bool:
+    return any(entry[:k] == entry[-k:] for k in range(1, len(entry)))
+
+
 def _spans_of(text: Column, regex: str) -> Column:
     """Spans of one pattern: what lies between matches, and the matches, laid end to end."""
     return F.when(text.rlike(regex), _all_spans(text, regex)).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -17,7 +17,7 @@ from skein.operators.tables import stratified, usable
 SECTIONS = ("title", "lead", "body")
 
 
-def article_features(articles: DataFrame, bundles: DataFrame, lexicon: Lexicon, journals: Mapping[str, Sequence[str]], not_journals: Sequence[str] = (), window: int = 8) -> DataFrame:
+def article_features(articles: DataFrame, bundles: DataFrame, lexicon: Lexicon, journals: Mapping[str, Sequence[str]], not_journals: Sequence[str] = (), window: int = 8, cues: bool = True) -> DataFrame:
     """One row per article of a bundle of `bundles` (bundle_id, drug_terms, outcome_terms, journal), in one narrow projection.
 
     The title is coded without the target gate, lead and rest with it; the body section is all sentences, lead
@@ -47,7 +47,8 @@ def article_features(articles: DataFrame, bundles: DataFrame, lexicon: Lexicon,
     for k in lexicon.subkeys("conditions"):
         for s in SECTIONS:
             out[f"auto_cond_{s}_{k}"] = lexicon.any_(masked[s], "conditions", k).cast("int")
-            out[f"auto_cond_{s}_{k}_cues"] = text.ordered_join(lexicon.texts(masked[s], "conditions", k))
+            if cues:
+                out[f"auto_cond_{s}_{k}_cues"] = text.ordered_join(lexicon.texts(masked[s], "conditions", k))
     for k in ("hedges", "boosters", "sensational"):
         there = k in lexicon.sections
         for s in SECTIONS:
@@ -59,14 +60,16 @@ def article_features(articles: DataFrame, bundles: DataFrame, lexicon: Lexicon,
     said = F.array_join(F.concat(F.array(title), "_leading", "_trailing"), " ")
     if "advice" in lexicon.sections:
         level = advice_level(lexicon, said)
-        cues = F.coalesce(*[F.when(level == k, F.array_join(F.array_distinct(lexicon.texts(said, "advice", str(k))), "; ")) for k in (3, 2, 1) if lexicon.entries("advice", str(k))], F.lit(""))
-        out |= {"auto_advice": level, "auto_advice_cues": cues}
+        named = F.coalesce(*[F.when(level == k, F.array_join(F.array_distinct(lexicon.texts(said, "advice", str(k))), "; ")) for k in (3, 2, 1) if lexicon.entries("advice", str(k))], F.lit(""))
+        out |= {"auto_advice": level, "auto_advice_cues": named}
     else:
         out |= {"auto_advice": F.lit(0), "auto_advice_cues": F.lit("")}
     full = F.concat_ws(" ", title, "_body")
     cited, others = find_journals(full, journals, not_journals), find_not_journals(full, not_journals)
     out |= {"journals_mentioned": F.array_join(cited, "; "), "non_journal_sources": F.array_join(others, "; "), "auto_journal_match": F.when((F.size(cited) > 0) | (F.size(others) > 0), F.array_contains(cited, F.col("_journal")).cast("int"))}
     out["n_attribution"] = lexicon.count(full, "attribution") if "attribution" in lexicon.sections else F.lit(0)
+    if not cues:
+        out = {k: v for k, v in out.items() if not k.endswith("_cues")}
     return coded.select(*[c for c in ("article_id", "bundle_id", "outlet", "outlet_type", "published", "url") if c in articles.columns], *[v.alias(k) for k, v in out.items()])
 
 

@@ -164,8 +164,8 @@ FEATURES = f"""{SEGMENTS}, {BUNDLES}, joined AS (SELECT segments.*, drugs, outco
 FEATURE_COLUMNS = ["article_id", "bundle_id", "outlet_type", "title", "lead", "body_len", "n_sentences", "auto_title_strength", "auto_title_label", "auto_title_direction", "auto_lead_strength", "auto_lead_label", "auto_lead_direction", "auto_body_max_strength", "auto_direction", "auto_title_question", "auto_title_quoted", *[f"auto_cond_{s}_{k}" for k in KEYS for s in _SECTIONS], *[f"n_{k}_{s}" for k in ("hedges", "boosters", "sensational") for s in _SECTIONS], "auto_caveat", "auto_caveat_sentences", "auto_advice", "n_attribution"]
 
 
-def feature_rows(spark, sf) -> DataFrame:
-    return features.article_features(articles(spark, sf), bundles(spark, sf), LEXICON, JOURNALS, NOT_JOURNALS)
+def feature_rows(spark, sf, cues: bool = False) -> DataFrame:
+    return features.article_features(articles(spark, sf), bundles(spark, sf), LEXICON, JOURNALS, NOT_JOURNALS, cues=cues)
 
 
 @query(f"WITH {FEATURES} SELECT * FROM features")
@@ -176,7 +176,7 @@ def features_wide(spark, sf):
 @query()
 def article_features(spark, sf):
     """The whole feature row of every document, with the cues' lists."""
-    return feature_rows(spark, sf)
+    return feature_rows(spark, sf, cues=True)
 
 
 @query(f"WITH {SEGMENTS} SELECT article_id, array_to_string(s[1:2], ' ') AS lead, greatest(len(s) - 2, 0) AS n_rest FROM segments")
@@ -267,7 +267,7 @@ def _sheet_sql(blind: bool) -> str:
 
 def _coding_sheet(spark, sf, blind):
     old = sheet(spark, sf, 1).withColumn("article_id", F.col("article_id").cast("string"))
-    got = dataset.coding_sheet(feature_rows(spark, sf), paper_table(spark, sf), KEYS, blind, old)
+    got = dataset.coding_sheet(feature_rows(spark, sf, cues=True), paper_table(spark, sf), KEYS, blind, old)
     drop = ["lead_strength", "direction", "advice", "caveat_in_body", "title_omission_misleading", "animal_generalization", "_stale", "auto_title_cues", "auto_lead_cues", "auto_advice_cues", "journals_mentioned", "non_journal_sources"]
     return got.drop(*drop)
 

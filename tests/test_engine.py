@@ -47,6 +47,17 @@ def test_english_levels_look_in_front(spark, sentence, level):
     assert one(spark, ClaimCoder(ENGLISH, window=0, before=30).code(T, require_target=False), t=sentence).level == level
 
 
+def test_counts_are_those_of_the_spans(spark):
+    rng = random.Random(11)
+    lex = Lexicon({"plain": ["ab", "abc", "cab", "b c", "É"], "selfish": ["aba", "xab"], "regex": ["re:a+b?", "c"]})
+    texts = ["".join(rng.choice("abcxé É") for _ in range(rng.randrange(40))) for _ in range(200)] + ["xababa", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert lex._plain("plain") and not lex._plain("selfish") and not lex._plain("regex")
+    for key in lex.sections:
+        for r in frame.select(lex.count(T, key).alias("n"), lex.texts(T, key).alias("x"), lex.spans(T, key).alias("s")).collect():
+            assert r.n == len(r.s) and list(r.x) == [s.text for s in r.s]
+
+
 def test_target_gate_masking_and_unit(spark):
     coder = ClaimCoder(ENGLISH, window=0, before=30)
     gated = lambda s: one(spark, coder.code(T, ["aspirin", "aspirin plus"], ["falls"]), t=s).level
