@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +180,34 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return files.select("part", "first_start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
+def tokens_at(spark: SparkSession, path: str, places: Sequence[int]) -> DataFrame:
+    """place, id: the ids at given numbers of the whole sequence of the files of write_tokens(); numbers outside it have no row.
+
+    A number's range follows from the ranges' sizes, its segment from the segments' starts; only segments of these ranges
+    are read, and in each only the bits and chunks on the id's way.
+    """
+    files = spark.read.schema(SEGMENTS).parquet(path)
+    totals = dict(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # one number per range, see read_tokens()
+    parts = sorted(totals)
+    ends = np.cumsum([totals[p] for p in parts]) if parts else np.zeros(0, np.int64)
+    inside = [int(p) for p in set(places) if 0 <= p < (int(ends[-1]) if len(ends) else 0)]
+    at = np.searchsorted(ends, inside, "right")
+    wanted = [(p, int(parts[k]), p - int(ends[k] - totals[parts[k]])) for p, k in zip(inside, at.tolist())]
+    asked = spark.createDataFrame(wanted, "place long, part int, local long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = []
+            for local, first, payload in zip(batch.column("local").to_pylist(), batch.column("first_start").to_pylist(), batch.column("payload")):
+                raw = payload.as_py()
+                (n,) = struct.unpack_from("<I", raw)
+                ids.append(DacReader(raw[4 + 12 * n :])[local - first])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(ids, pa.int64())], ["place", "id"])
+
+    mine = files.filter(F.col("part").isin(sorted({w[1] for w in wanted}))).join(F.broadcast(asked), "part")  # the places that were asked for
+    return mine.filter("local >= first_start and local < first_start + n_ids").select("place", "local", "first_start", "payload").mapInArrow(run, "place long, id long")
+
+
 def roundtrip(docs: DataFrame, **options) -> DataFrame:
     """Writes docs to fresh files in the shared folder and reads them back."""
     path = scratch_path(docs.sparkSession, "tokens")

@@ -287,3 +287,15 @@ def test_shards_by_brute_force(spark):
         assert (r.size, r.text_crc32, r.law) == (len(texts[r.doc_id]) + 8, zlib.crc32(texts[r.doc_id]), "key")
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_tokens_by_their_number(spark, docs, tmp_path):
+    """Single ids out of the written files, against all of them in order."""
+    path = f"file://{tmp_path}/tokens"
+    dac.write_tokens(docs, path, rows_per_range=30, segment_ids=3000)
+    rows = sorted(dac.read_tokens(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    every = [i for r in rows for i in r.ids]
+    rng = random.Random(3)
+    places = [0, len(every) - 1, *(rng.randrange(len(every)) for _ in range(60))]
+    got = {r.place: r.id for r in dac.tokens_at(spark, path, [*places, -1, len(every), 10**12]).collect()}
+    assert got == {p: every[p] for p in places}
