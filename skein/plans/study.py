@@ -170,7 +170,8 @@ def feature_rows(spark, sf, cues: bool = False) -> DataFrame:
 
 @query(f"WITH {FEATURES} SELECT * FROM features")
 def features_wide(spark, sf):
-    return feature_rows(spark, sf).select(*FEATURE_COLUMNS)
+    long = {"body_len", "n_sentences", *[c for c in FEATURE_COLUMNS if c.startswith("n_")]}
+    return feature_rows(spark, sf).select(*[F.col(c).cast("long").alias(c) if c in long else c for c in FEATURE_COLUMNS])
 
 
 @query()
@@ -182,7 +183,7 @@ def article_features(spark, sf):
 @query(f"WITH {SEGMENTS} SELECT article_id, array_to_string(s[1:2], ' ') AS lead, greatest(len(s) - 2, 0) AS n_rest FROM segments")
 def segment_lead(spark, sf):
     a = articles(spark, sf).withColumn("s", text.segment(F.col("title"), F.col("body")))
-    return a.select("article_id", F.array_join("s.lead", " ").alias("lead"), F.size("s.rest").alias("n_rest"))
+    return a.select("article_id", F.array_join("s.lead", " ").alias("lead"), F.size("s.rest").cast("long").alias("n_rest"))
 
 
 # ---- codes, papers, dataset
